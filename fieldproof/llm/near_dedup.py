@@ -1,22 +1,23 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 Documents are sets of distinct five-word shingles. Equal sets become one class first, so a group of copies costs one
-row. Each class has a sketch of minwise values. A tree node is a set of classes; the root level splits all classes by
-``branches`` minwise values per tree, deeper levels split each large node by minwise values that the node's own hash
-chooses (more than one now and then, so that a similar pair is expected to go on together in one child). Nodes of at
-most ``leaf`` classes are compared exhaustively on sketches. In a larger node all classes are compared with a few
-pivots only; those nearly equal to a pivot stop there, as whatever resembles them resembles the pivot too. The trees'
-candidate links, thinned to spanning forests, give clusters that are a little too coarse; inside each cluster links are
-confirmed on the full sets, exactly, and the final groups come from confirmed links alone.
-
-Recall: a pair of similarity s meets at the root of one branch with probability s; with trees * branches = 12 a pair at
-0.75 is missed there with probability 0.25**12, and the sketch bound (coarse) lies over four standard deviations under
-the threshold.
+row. Each class has minwise values. The roots of ROOTS independent trees split all classes by one minwise value each;
+deeper levels split each large node by minwise values that the node's own hash chooses (one, and for a third of the
+nodes a second: 4/3 children on average, the inverse of 0.75, so that a similar pair is expected to go on together in
+one child). Nodes of at most ``leaf`` classes are compared exhaustively on sketches. In a larger node all classes are
+compared with a pivot; with d = 1 - likeness, a metric, what is within 0.2 of the pivot goes no deeper, as whatever is
+within 0.25 of it is within 0.45 of the pivot and so linked to it. The trees' candidate links, thinned to spanning
+forests, give clusters that are a little too coarse; inside each cluster links are confirmed on the full sets, exactly,
+and the groups come from confirmed links alone.
+
+Recall: a pair at 0.75 parts at all roots with probability 0.25**ROOTS, and the bound for comparing sketches (coarse)
+lies over four standard deviations under the threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,26 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import components, stored, text_column
 
-SKETCH = 128
+SKETCH = 128  # minwise values kept at 8 bits, for estimates
+ROOTS = 12  # minwise values kept at 32 bits, for the root level's branches
+_BYTES = 4 * ROOTS + SKETCH
 _rng = np.random.default_rng(75)
-_MUL = _rng.integers(1, 2**63, SKETCH, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, SKETCH, dtype=np.int64).astype(np.uint64)
+_MUL = _rng.integers(1, 2**63, SKETCH + ROOTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 2**63, SKETCH + ROOTS, dtype=np.int64).astype(np.uint64)
 
 
 def minwise(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, SKETCH) uint32 minwise values; no text may be empty."""
-    out = np.empty((len(bounds) - 1, SKETCH), np.uint32)
+    """(texts, _BYTES) bytes: ROOTS minwise values of 32 bits, then SKETCH of 8 bits; no text may be empty."""
+    out = np.empty((len(bounds) - 1, _BYTES), np.uint8)
+    roots = out[:, : 4 * ROOTS].view(np.uint32) if len(out) else None
     if len(out):
         with np.errstate(over="ignore"):
-            for j in range(SKETCH):
-                out[:, j] = np.minimum.reduceat(hashes * _MUL[j] + _ADD[j], bounds[:-1]) >> np.uint64(32)
+            for j in range(SKETCH + ROOTS):
+                low = np.minimum.reduceat(hashes * _MUL[j] + _ADD[j], bounds[:-1])
+                if j < ROOTS:
+                    roots[:, j] = low >> np.uint64(32)
+                else:
+                    out[:, 4 * ROOTS + j - ROOTS] = K.mix(low) >> np.uint64(56)
     return out
 
 
@@ -59,7 +67,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.concatenate(([np.uint64(0)], np.cumsum(values, dtype=np.uint64)))
                 other = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(values + np.uint64(99)), dtype=np.uint64)))
                 k1, k2 = total[bounds[1:]] - total[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]] + size.astype(np.uint64)
-            rows = minwise(values, bounds[np.concatenate((some, [len(size)]))]) if len(some) else np.empty((0, SKETCH), np.uint32)
+            rows = minwise(values, bounds[np.concatenate((some, [len(size)]))]) if len(some) else np.empty((0, _BYTES), np.uint8)
             sketch: list[bytes | None] = [None] * len(size)
             for i, row in zip(some, rows):
                 sketch[i] = row.tobytes()
@@ -77,21 +85,23 @@ def _node(*parts: np.ndarray | int) -> np.ndarray:
     return out
 
 
-def _roots(trees: int, branches: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sketch = _sketches(batch.column("sketch"))
-                ids = np.asarray(batch.column("rep"))
-                nodes = [_node(t, c, sketch[:, c]) for t in range(trees) for c in ((t * branches + b) * 7 % SKETCH for b in range(branches))]
-                yield pa.RecordBatch.from_arrays([K.as_i64(np.concatenate(nodes)), pa.array(np.tile(ids, len(nodes)))], names=["node", "rep"])
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            rows = _rows(batch.column("sketch"))
+            roots = np.ascontiguousarray(rows[:, : 4 * ROOTS]).view(np.uint32)
+            ids = np.asarray(batch.column("rep"))
+            nodes = [_node(c, roots[:, c]) for c in range(ROOTS)]
+            yield pa.RecordBatch.from_arrays([K.as_i64(np.concatenate(nodes)), pa.array(np.tile(ids, len(nodes)))], names=["node", "rep"])
 
-    return run
+
+def _rows(column: pa.Array) -> np.ndarray:
+    raw, _ = K.text_bytes(column)
+    return raw.reshape(-1, _BYTES) if len(raw) else np.empty((0, _BYTES), np.uint8)
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    raw, _ = K.text_bytes(column)
-    return raw.view(np.uint32).reshape(-1, SKETCH) if len(raw) else np.empty((0, SKETCH), np.uint32)
+    return _rows(column)[:, 4 * ROOTS :]
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -135,6 +145,15 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["u", "v"])
 
 
+def _alike(s: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs of sketches agree in at least ``least`` places."""
+    out = np.empty((len(s), len(s)), bool)
+    step = max(1, (4 << 20) // (len(s) * SKETCH))
+    for a in range(0, len(s), step):
+        out[a : a + step] = np.count_nonzero(s[a : a + step, None, :] == s[None, :, :], axis=2) >= least
+    return out
+
+
 def _compare_small(coarse: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -142,10 +161,10 @@ def _compare_small(coarse: int):
             ids = np.asarray(group.column("rep"))
             s = _sketches(group.column("sketch").combine_chunks())
             if len(ids) == 2:
-                if (s[0] == s[1]).sum() >= coarse:
+                if np.count_nonzero(s[0] == s[1]) >= coarse:
                     out.append((int(ids.max()), int(ids.min())))
             elif len(ids) > 2:
-                out += _forest((s[:, None, :] == s[None, :, :]).sum(axis=2) >= coarse, ids)
+                out += _forest(_alike(s, coarse), ids)
             if len(out) > 20_000:
                 yield _pairs(out)
                 out = []
@@ -154,7 +173,7 @@ def _compare_small(coarse: int):
     return run
 
 
-def _compare_pivots(coarse: int, absorbed: int, level: int):
+def _compare_pivots(coarse: int, absorbed: int):
     """Of (node, rep, sketch, pivot, pivot_sketch): links to the pivot (node null), and children of what goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,42 +202,93 @@ def _compare_pivots(coarse: int, absorbed: int, level: int):
     return run
 
 
-def candidate_links(reps: DataFrame, trees: int, branches: int, leaf: int, coarse: float, absorbed: float, depth: int) -> DataFrame:
+def candidate_links(reps: DataFrame, leaf: int, coarse: float, pivot_coarse: float, absorbed: float, depth: int) -> DataFrame:
     """Links (u, v) between classes that resemble each other by sketch: per node a spanning forest or a star."""
-    spark = reps.sparkSession
-    least, most = int(coarse * SKETCH), int(np.ceil(absorbed * SKETCH))
-    rows = reps.mapInArrow(_roots(trees, branches), "node long, rep long")
-    found = []
+    least, star, most = int(coarse * SKETCH), int(pivot_coarse * SKETCH), int(np.ceil(absorbed * SKETCH))
+    rows = reps.mapInArrow(_roots, "node long, rep long")
+    stars, leaves = [], []
     for level in range(depth):
         rows = stored(rows, "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.expr("min_by(rep, xxhash64(rep, node))").alias("pivot")).where("size > 1")
         members = stored(rows.join(sizes, "node").join(reps, "rep"), "members")
-        small = members.where(F.col("size") <= leaf).select("node", "rep", "sketch")
-        found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small(least), "u long, v long"))
+        leaves.append(members.where(F.col("size") <= leaf).select("node", "rep", "sketch"))
         big = members.where(F.col("size") > leaf)
-        if level + 1 == depth or big.isEmpty():
+        if big.isEmpty():
             break
         pivots = big.where("rep = pivot").select("node", F.col("sketch").alias("pivot_sketch"))
         step = stored(big.join(pivots, "node").select("node", "rep", "sketch", "pivot", "pivot_sketch")
-                      .mapInArrow(_compare_pivots(least, most, level), "node long, u long, v long"), "step")
-        found.append(step.where("node is null").select("u", "v"))
+                      .mapInArrow(_compare_pivots(star, most), "node long, u long, v long"), "step")
+        stars.append(step.where("node is null").select("u", "v"))
         rows = step.where("node is not null").select("node", F.col("u").alias("rep"))
-    if level + 1 == depth:
-        # what no level has split: all with the node's pivot, and in blocks among themselves
-        big = members.where(F.col("size") > leaf).withColumn("node", F.xxhash64("node", F.expr(f"pmod(xxhash64(rep, node), ceil(size / {leaf}))")))
-        found.append(big.select("node", "rep", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small(least), "u long, v long"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+    else:
+        # what no level has split is compared in blocks; its star of links to the pivot is there already
+        block = F.xxhash64("node", F.expr(f"pmod(xxhash64(rep, node), ceil(size / {leaf}))"))
+        leaves.append(big.select(block.alias("node"), "rep", "sketch"))
+    small = reduce(DataFrame.union, leaves)
+    return reduce(DataFrame.union, stars, small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small(least), "u long, v long"))
+
+
+def _bitmap(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+    """Bits at hashed ids, in at most ``most_bits`` whatever the input: a filter that may let others through."""
+    n = ids.count()
+    bits = min(most_bits, max(1 << 16, 1 << (16 * n).bit_length()))
+    at = F.expr(f"pmod(xxhash64(rep), {bits})")
+    words = ids.select(at.alias("b")).groupBy(F.expr("b div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))").alias("bits")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).astype(np.uint32)
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in K.chunks(batch, "text"):
-            values, bounds = distinct_sets(*K.text_shingles(part.column("text")))
-            sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("size"), part.column("doc_id"), pa.array(sets, pa.binary())], names=["cluster", "size", "rep", "shingles"])
+def _sets(filtered):
+    """(rep, shingles) of the documents whose place in the bitmap is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = filtered.value
+        for batch in batches:
+            at = np.asarray(batch.column("place").fill_null(0))
+            batch = batch.filter(pa.array((words[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)))
+            for part in K.chunks(batch, "text"):
+                values, bounds = distinct_sets(*K.text_shingles(part.column("text")))
+                sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return run
+
+
+def confirmed_links(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links (id, smallest id of its group) over all pairs with den * |A & B| >= num * |A | B|.
+
+    Breadth first: each member is compared with those that no group has reached yet, so a group of very similar
+    documents costs few passes; the set of one member is marked in a table of all values, and one pass counts the
+    marks of all others.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, sets = ids[order], [sets[i] for i in order]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(column, np.cumsum(size)[:-1])
+    mark = np.zeros(len(values), bool)
+    rows = np.arange(len(sets))  # not reached yet
+    flat, bounds = column, np.concatenate(([0], np.cumsum(size)))
+    out: list[tuple[int, int]] = []
+    while len(rows) > 1:
+        root, queue = rows[0], [rows[0]]
+        gone = np.zeros(len(rows), bool)
+        gone[0] = True
+        while queue and not gone.all():
+            p = queue.pop()
+            mark[own[p]] = True
+            both = np.add.reduceat(mark[flat], bounds[:-1], dtype=np.int64)
+            mark[own[p]] = False
+            hit = ~gone & (den * both >= num * (size[p] + size[rows] - both))
+            gone |= hit
+            queue += rows[hit].tolist()
+            out += [(int(ids[x]), int(ids[root])) for x in rows[hit]]
+        keep = np.flatnonzero(~gone)
+        flat = np.concatenate([own[r] for r in rows[keep]]) if len(keep) else flat[:0]
+        rows = rows[keep]
+        bounds = np.concatenate(([0], np.cumsum(size[rows])))
+    return out
 
 
 def _exact(num: int, den: int):
@@ -228,21 +298,9 @@ def _exact(num: int, den: int):
         out: list[tuple[int, int]] = []
         for group in _by_key(batches, "cluster"):
             ids = np.asarray(group.column("rep"))
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            size = np.fromiter(map(len, sets), np.int64, len(sets))
-            values, column = np.unique(np.concatenate(sets), return_inverse=True)
-            row = np.repeat(np.arange(len(sets)), size)
-            both = np.zeros((len(sets), len(sets)), np.float32)
-            step = max(1, (8 << 20) // len(sets))
-            order = np.argsort(column, kind="stable")
-            row, column = row[order], column[order]
-            for a in range(0, len(values), step):  # the 0/1 matrix in strips of columns
-                lo, hi = np.searchsorted(column, (a, a + step))
-                strip = np.zeros((len(sets), min(step, len(values) - a)), np.float32)
-                strip[row[lo:hi], column[lo:hi] - a] = 1
-                both += strip @ strip.T
-            union = size[:, None] + size[None, :] - both
-            out += _forest(den * both.astype(np.float64) >= num * union, ids)
+            raw, off = K.text_bytes(group.column("shingles").combine_chunks())
+            flat = raw.view(np.uint64) if len(raw) else np.empty(0, np.uint64)
+            out += confirmed_links(ids, [flat[a // 8 : b // 8] for a, b in zip(off[:-1], off[1:])], num, den)
             if len(out) > 20_000:
                 yield _pairs(out)
                 out = []
@@ -251,65 +309,70 @@ def _exact(num: int, den: int):
     return run
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays without repeats."""
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())
+def _grid(num: int, den: int):
+    """Of rows sorted by (cell, member): the cell's first rows (member false) are compared with all its others.
 
+    Emits (u, v): u of the first rows, v the known group of the other; each once per batch.
+    """
 
-def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (cluster, rep, shingles, others, other_shingles): those of the others with a likeness of 5/8 or more."""
-    for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        cached: dict[bytes, np.ndarray] = {}
-        for cluster, rep, raw, others, more in zip(*(batch.column(c).to_pylist() for c in ("cluster", "rep", "shingles", "others", "other_shingles"))):
-            a = np.frombuffer(raw, np.uint64)
-            for other, b in zip(others, more):
-                b = cached.setdefault(b, np.frombuffer(b, np.uint64))
-                if min(len(a), len(b)) * 8 >= max(len(a), len(b)) * 5:
-                    n = _shared(a, b)
-                    if 8 * n >= 5 * (len(a) + len(b) - n):
-                        for x, y in zip(rows, (cluster, rep, other, n, len(a) + len(b) - n)):
-                            x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["cluster", "rep", "other", "shared", "joint"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, heads = None, []
+        for batch in batches:
+            found = set()
+            for c, member, rep, known, raw in zip(*(batch.column(x).to_pylist() for x in ("cell", "member", "rep", "known", "shingles"))):
+                a = np.frombuffer(raw, np.uint64)
+                if c != cell:
+                    cell, heads = c, []
+                if not member:
+                    heads.append((rep, a))
+                    continue
+                for head, b in heads:
+                    if (head, known) not in found and den * min(len(a), len(b)) >= num * max(len(a), len(b)):
+                        both = np.concatenate((a, b))
+                        both.sort(kind="stable")
+                        n = int(np.count_nonzero(both[1:] == both[:-1]))
+                        if den * n >= num * (len(a) + len(b) - n):
+                            found.add((head, known))
+            yield _pairs([x for x in found if x[0] != x[1]])
 
+    return run
 
-_AGAINST = "cluster long, rep long, other long, shared long, joint long"
+
+def _compared(heads: DataFrame, members: DataFrame, num: int, den: int, rows: int = 256) -> DataFrame:
+    """Links of heads (cluster, block, rep, shingles) with members (cluster, parts, rep, known, shingles).
+
+    Members are dealt to cells of about ``rows``; a block of heads goes to each cell of its cluster.
+    """
+    parts = members.groupBy("cluster").agg(F.ceil(F.count("*") / rows).alias("parts"))
+    blocks = heads.select("cluster", "block").distinct()
+    first = heads.join(parts, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(False).alias("member"), "rep", F.lit(None).cast("long").alias("known"), "shingles")
+    other = members.join(parts, "cluster").join(blocks, "cluster").select("cluster", "block", F.expr("pmod(xxhash64(rep, 3L), parts)").alias("part"), F.lit(True).alias("member"), "rep", "known", "shingles")
+    cells = first.union(other).select(F.xxhash64("cluster", "block", "part").alias("cell"), "member", "rep", "known", "shingles")
+    return cells.repartition("cell").sortWithinPartitions("cell", "member").mapInArrow(_grid(num, den), "u long, v long")
 
 
-def _large_clusters(sets: DataFrame, num: int, den: int, rounds: int = 3, pivots: int = 8) -> DataFrame:
+def _large_clusters(sets: DataFrame, num: int, den: int, pivots: int = 32, block: int = 64) -> DataFrame:
     """Confirmed links (u, v) of clusters too large for one task, exact as to groups.
 
-    With d = 1 - likeness, a metric: in each round some members of each cluster become pivots, and all members are
-    compared with them. A member within half the radius of a pivot is settled unless another pivot lies beyond the
-    radius but within one and a half: only through such a one could it have links that its pivot's links don't imply.
-    All that is not settled is then compared with all members, in blocks.
+    All members are compared with some pivots. What those links don't join to its cluster's largest group is then
+    compared with all members in cells of bounded size: any further link has an end outside the largest group.
     """
-    sets = stored(sets, "large")
-    radius = 1 - num / den
-    settled = f"shared >= {1 - radius / 2} * joint"
-    done, seen = None, None
-    for r in range(rounds):
-        left = sets if done is None else sets.join(done, "rep", "left_anti")
-        heads = left.groupBy("cluster", F.expr(f"pmod(xxhash64(rep, {r}), {pivots})").alias("g")).agg(F.expr("min_by(rep, xxhash64(rep))").alias("rep"))
-        heads = sets.join(heads.select("rep"), "rep", "left_semi").groupBy("cluster").agg(F.collect_list("rep").alias("others"), F.collect_list("shingles").alias("other_shingles"))
-        now = stored(sets.join(heads, "cluster").mapInArrow(_against, _AGAINST), "against")
-        seen = now if seen is None else seen.union(now)
-        done = seen.where(settled).select("rep").distinct()
-    own = seen.groupBy("rep").agg(F.max(F.expr(settled)).alias("near"), F.max(F.expr(f"{den} * shared < {num} * joint")).alias("doubt"), F.max(F.expr("rep = other")).alias("pivot"), F.expr("max_by(other, shared / joint)").alias("home"))
-    own = stored(own, "own")
-    left = sets.join(own.where("pivot or (near and not doubt)").select("rep"), "rep", "left_anti")
-    left = left.join(left.groupBy("cluster").agg(F.ceil(F.count("*") / 64).alias("blocks")), "cluster")
-    blocks = left.groupBy("cluster", F.expr("pmod(xxhash64(rep), blocks)").alias("g")).agg(F.collect_list("rep").alias("others"), F.collect_list("shingles").alias("other_shingles"))
-    rest = sets.join(blocks, "cluster").mapInArrow(_against, _AGAINST)
-    linked = F.expr(f"{den} * shared >= {num} * joint and rep != other")
-    far = rest.where(linked).join(own.where("near and not doubt").select("rep", "home"), "rep", "left").select(F.coalesce("home", "rep").alias("u"), F.col("other").alias("v"))
-    return seen.where(linked).select(F.col("rep").alias("u"), F.col("other").alias("v")).union(far).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, num: int = 75, den: int = 100, trees: int = 4,
-                    branches: int = 3, leaf: int = 64, coarse: float = 0.58, absorbed: float = 0.92, depth: int = 12, cluster_limit: int = 512) -> DataFrame:
+    sets = stored(sets.withColumn("known", F.col("rep")), "large")
+    heads = sets.groupBy("cluster", F.expr(f"pmod(xxhash64(rep), {pivots})").alias("g")).agg(F.expr("min_by(rep, xxhash64(rep, 5L))").alias("rep")).select("rep")
+    heads = sets.join(heads, "rep", "left_semi").withColumn("block", F.lit(0))
+    first = stored(_compared(heads, sets, num, den), "links")
+    groups = components(first)
+    known = sets.select("cluster", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("known"))
+    known = stored(known, "known")
+    main = known.groupBy("cluster", "known").count().groupBy("cluster").agg(F.expr("max_by(known, struct(count, known))").alias("main"))
+    rest = known.join(main, "cluster").where("known != main").select("cluster", "rep")
+    rest = rest.join(rest.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("n")), "cluster").select("rep", F.expr("pmod(xxhash64(rep, 7L), n)").alias("block"))
+    members = sets.drop("known").join(known.select("rep", "known"), "rep")
+    return first.union(_compared(sets.join(rest, "rep"), members, num, den))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, num: int = 75, den: int = 100, leaf: int = 2048,
+                    coarse: float = 0.58, pivot_coarse: float = 0.48, absorbed: float = 0.8, depth: int = 12, most_shingles: int = 1_500_000) -> DataFrame:
     """doc_id, n_shingles (set size), component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
     Links join documents with den * |A & B| >= num * |A | B|; A and B are sets of five-word shingles. A text of one to
@@ -322,16 +385,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = features.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = stored(features.where("k1 is not null").join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
                   .select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"]), "classes")
-    links = candidate_links(reps, trees, branches, leaf, coarse, absorbed, depth)
-    clusters = components(links).withColumnsRenamed({"node": "rep", "root": "cluster"})
-    clusters = stored(clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster"), "clusters")
-    sets = base.join(clusters.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_sets, "cluster long, size long, rep long, shingles binary")
+    links = candidate_links(reps, leaf, coarse, pivot_coarse, absorbed, depth)
+    clusters = stored(components(links).select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "clusters")
+    some = docs.sparkSession.sparkContext.broadcast(_bitmap(clusters.select("rep")))
+    place = F.expr(f"pmod(xxhash64(doc_id), {len(some.value) * 32})").alias("place")
+    sets = base.select("doc_id", "text", place).mapInArrow(_sets(some), "rep long, shingles binary").dropDuplicates(["rep"]).join(clusters, "rep")
     sets = stored(sets, "sets")
-    confirmed = sets.where(F.col("size") <= cluster_limit).repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact(num, den), "u long, v long")
-    large = sets.where(F.col("size") > cluster_limit)
-    if not large.isEmpty():
-        confirmed = confirmed.union(_large_clusters(large.drop("size"), num, den))
-    groups = components(confirmed)
+    weight = sets.groupBy("cluster").agg(F.sum(F.length("shingles") / 8).alias("weight"))
+    heavy = stored(weight.where(F.col("weight") > most_shingles).select("cluster"), "heavy")
+    confirmed = sets.join(heavy, "cluster", "left_anti").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact(num, den), "u long, v long")
+    # a cluster's links all come from its one task, each to the smallest id of its group
+    groups = confirmed.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if not heavy.isEmpty():
+        groups = groups.union(components(_large_clusters(sets.join(heavy, "cluster", "left_semi"), num, den)))
     known = classes.select("k1", "k2", "rep").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "k1", "k2").join(known, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
