@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, language_id, lm_score, near_dedup, secrets, toxicity
+from . import byte_bpe, decontaminate, fingerprints, language_id, line_dedup, lm_score, near_dedup, secrets, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbours(documents(spark, sf_dir))
 
@@ -34,6 +38,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents(spark, sf_dir))
 
@@ -43,11 +55,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secrets": op4_secrets,
     "op5_lm_score": op5_lm_score,
     "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
