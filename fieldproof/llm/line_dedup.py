@@ -98,14 +98,13 @@ def _runs(min_words: int):
     return run
 
 
-def _ranked(rows: DataFrame, ranges: int = 1024) -> DataFrame:
-    """rows with r: how many rows have a smaller (a, b). Distinct pairs are counted first; ranges of a are summed apart."""
-    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
-    # ranges of about equal width; a is a hash or a rank
-    span = rows.agg(F.min("a").cast("double").alias("lo"), F.max("a").cast("double").alias("hi")).first()
-    width = max(1.0, ((span.hi or 0.0) - (span.lo or 0.0)) / ranges) if span.lo is not None else 1.0
-    at = F.floor((F.col("a").cast("double") - F.lit(span.lo if span.lo is not None else 0.0)) / width)
-    pairs = stored(pairs.withColumn("g", at), "pairs")
+def _ranked(rows: DataFrame, low: float, high: float, ranges: int = 1024) -> DataFrame:
+    """rows with r: how many rows have a smaller (a, b); a lies in [low, high).
+
+    Distinct pairs are counted first; each range of a is summed for itself, and ranges are joined by their totals.
+    """
+    at = F.floor((F.col("a").cast("double") - low) / ((high - low) / ranges))
+    pairs = stored(rows.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("g", at), "pairs")
     below = pairs.groupBy("g").agg(F.sum("n").alias("t")).select("g", (F.sum("t").over(Window.orderBy("g")) - F.col("t")).alias("base"))  # a row per range
     inside = Window.partitionBy("g").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     names = pairs.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(below), "g").select("a", "b", (F.col("base") + F.col("before")).alias("r"))
@@ -126,10 +125,11 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(rows.withColumn("all", F.sum("words").over(whole)).where(F.col("all") >= min_words).select("doc_id", "key", "part", "q", "line", "h", "words"), "stretches")
     runs = stored(rows.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "part", "q").mapInArrow(_runs(min_words), _RUNS), "runs")
     levels = sorted(r.level for r in runs.select("level").distinct().collect())  # a few small numbers
+    count = float(rows.count() + 1)
     marked: DataFrame | None = None
     suffixes = rows.select("doc_id", "key", "part", "q", F.col("h").alias("a"), F.lit(0).cast("long").alias("b"))
     for level in range(max(levels, default=-1) + 1):
-        ranks = stored(_ranked(suffixes).select("doc_id", "key", "part", "q", "r"), "ranks")
+        ranks = stored(_ranked(suffixes, *((0.0, count) if level else (-(2.0**63), 2.0**63))).select("doc_id", "key", "part", "q", "r"), "ranks")
         if level in levels:
             of = runs.where(F.col("level") == level)
             last = ranks.select("doc_id", "key", (F.col("q") + 2**level).alias("stop"), F.col("r").alias("r2"))
@@ -137,6 +137,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             place = F.struct("doc_id", "key", "q")
             first = named.groupBy("r", "r2", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
             later = named.join(first, ["r", "r2", "len"]).where(place > F.col("first")).select("doc_id", "key", "q", "len")
+            later = stored(later, "later")
             marked = later if marked is None else marked.union(later)
         # the pair of ranks at distance 2**level; past a stretch's end nothing repeats
         order = Window.partitionBy("doc_id", "key", "part").orderBy("q")
@@ -144,7 +145,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if marked is None:
         return rows.select("doc_id", "key", F.array("line").alias("lines")).limit(0)
     gone = marked.select("doc_id", "key", F.explode(F.expr("sequence(q, q + len - 1)")).alias("q")).distinct()
-    return gone.join(rows.select("doc_id", "key", "q", "line"), ["doc_id", "key", "q"]).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return stored(gone.join(rows.select("doc_id", "key", "q", "line"), ["doc_id", "key", "q"]), "gone").groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
