@@ -2,8 +2,10 @@
 
 Texts and items are folded to bytes: A-Z and Latin-1 capitals in lower case, runs of anything but letters and digits as
 one space. An item of m bytes may be k = rate * m edits away. It is split in k + 1 pieces, one of which any match holds
-unchanged; an Aho-Corasick automaton finds all piece hits in one pass over the texts. Around each hit the item's 5-grams
-are counted (k edits spoil at most 5 k of them), and what is left is verified with Myers' bit-parallel distance.
+unchanged; an Aho-Corasick automaton finds all piece hits in one pass over the texts. Pieces are paired: as k edits can't spoil
+every pair twice, some unchanged piece has a partner with one edit at most, so a hit goes on only if one half of its
+partner stands beside it, shifted by one at most. Around what is left the item's 5-grams are counted (k edits spoil at
+most 5 k of them), and the rest is verified with Myers' bit-parallel distance.
 """
 
 from __future__ import annotations
@@ -115,17 +117,31 @@ class Item:
 
 
 def _matcher(items: list[Item]) -> ahocorasick.Automaton:
+    """Pieces with (length, [(item, place in the item, partner)]); a partner is (is it on the right, its halves)."""
     out = ahocorasick.Automaton()
-    places: dict[str, list[tuple[int, int]]] = {}
+    places: dict[str, list[tuple]] = {}
     for i, item in enumerate(items):
-        for at, piece in item.pieces:
-            places.setdefault(piece, []).append((i, at))
+        for j, (at, piece) in enumerate(item.pieces):
+            partner = None
+            if j ^ 1 < len(item.pieces):
+                text = item.pieces[j ^ 1][1]
+                partner = (j % 2 == 0, text[: len(text) // 2], text[len(text) // 2 :])
+            places.setdefault(piece, []).append((i, at, partner))
     for piece, where in places.items():
         out.add_word(piece, (len(piece), where))
     out.make_automaton()
     return out
 
 
+def _beside(text: str, begin: int, end: int, partner: tuple[bool, str, str]) -> bool:
+    """Whether a half of the partner stands where it should beside text[begin:end], or one place off."""
+    right, a, b = partner
+    n, m = len(a), len(b)
+    if right:
+        return a in text[max(0, end - 1) : end + n + 1] or b in text[max(0, end + n - 1) : end + n + m + 1]
+    return b in text[max(0, begin - m - 1) : begin + 1] or a in text[max(0, begin - m - n - 1) : max(0, begin - m + 1)]
+
+
 def _find(sent, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [Item(i, t, rate) for i, t in sent.value]
@@ -147,7 +163,9 @@ def _find(sent, rate: float):
                         row += 1
                     if begin < bounds[row]:
                         continue
-                    for i, at in where:
+                    for i, at, partner in where:
+                        if partner and not _beside(text, begin, last + 1, partner):
+                            continue
                         item = items[i]
                         start = begin - at
                         seen = tried.setdefault((row, i), [])
