@@ -151,5 +151,21 @@ def pick(options: Column, *parts: Column) -> Column:
     return F.element_at(options, (F.floor(uniform(*parts) * F.size(options)) + 1).cast("int"))
 
 
+def has_accents(made: Column) -> Column:
+    """Whether a FORMS struct's text loses accents in its plain form."""
+    return made["text"] != made["plain"]
+
+
+def id_of_file_name(name: Column) -> Column:
+    """The document id that a file name begins with, or null."""
+    found = F.regexp_extract(name, r"^((?:test|holdout|val|train|fairness)-\d{5})", 1)
+    return F.when(found != "", found)
+
+
+def document_kind(doc_type: Column) -> Column:
+    """The family of a document type, for display."""
+    return F.when(doc_type.startswith("invoice"), "Invoice").otherwise("Claim form")
+
+
 def percent(x: Column) -> Column:
     return F.coalesce(F.format_string("%.1f%%", x * 100), F.lit("n/a"))

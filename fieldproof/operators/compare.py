@@ -44,6 +44,11 @@ def best_per_metric(values: DataFrame, lower_is_better: list[str]) -> DataFrame:
     return values.withColumn("best", F.col("value") == top)
 
 
+def results_table(evaluations: DataFrame, splits: list[str], metrics: list[str]) -> DataFrame:
+    """A row per model, a column per split and metric."""
+    return evaluations.groupBy("model").pivot("split", splits).agg(*[F.first(m).alias(m) for m in metrics])
+
+
 def model_of_run(run_id):
     """The model of a run named <model>_v2_greedy_<split>; null for other names and quick runs."""
     mark = "_v2_greedy_"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FIELDS
@@ -101,3 +101,14 @@ def first_and_last(history: DataFrame, columns: tuple[str, ...], window: int = 1
     marked = some.withColumns({"_a": F.row_number().over(up), "_z": F.row_number().over(down)})
     marked = marked.where((F.col("_a") <= window) | (F.col("_z") <= window)).unpivot([*keys, "_a", "_z"], [F.col(c).cast("double").alias(c) for c in columns], "metric", "value")
     return marked.groupBy(*keys, "metric").agg(F.avg(F.when(F.col("_a") <= window, F.col("value"))).alias("first"), F.avg(F.when(F.col("_z") <= window, F.col("value"))).alias("last"))
+
+
+def kl_k3(policy: Column, reference: Column) -> Column:
+    """The k3 estimate of the divergence from log-probabilities: exp(d) - d - 1 with d = reference - policy; never negative."""
+    d = reference - policy
+    return F.exp(d) - d - 1
+
+
+def loss_averages(history: DataFrame, keys: tuple[str, ...] = ("epoch",)) -> DataFrame:
+    """Mean training loss per epoch and the validation loss at its end."""
+    return history.groupBy(*keys).agg(F.avg("train_loss").alias("train_loss"), F.max("val_loss").alias("val_loss"), F.max("update").alias("updates"))

@@ -290,6 +290,17 @@ def test_monitors(spark):
     assert training.rolling(steps, "reward_mean").orderBy("step").collect()[-1].reward_mean_rolling == 7.5
 
 
+def test_small_functions(spark):
+    row = spark.createDataFrame([("test-00001.jpg", "x.jpg", "invoice_b", -1.0, -2.0, ["José", "Jose"])], "a string, b string, c string, p double, r double, t array<string>").select(
+        T.id_of_file_name(F.col("a")).alias("a"), T.id_of_file_name(F.col("b")).alias("b"), T.document_kind(F.col("c")).alias("c"), training.kl_k3(F.col("p"), F.col("r")).alias("k"), F.transform(T.forms_of(F.col("t")), T.has_accents).alias("t")).first()
+    assert (row.a, row.b, row.c, row.t) == ("test-00001", None, "Invoice", [True, False]) and abs(row.k - 0.36787944) < 1e-6
+    evaluations = spark.createDataFrame([("m", "test", 0.9), ("m", "holdout", 0.8), ("n", "test", 0.7)], "model string, split string, field_accuracy double")
+    got = {r.model: r for r in compare.results_table(evaluations, ["test", "holdout"], ["field_accuracy"]).collect()}
+    assert (got["m"].test, got["m"].holdout, got["n"].holdout) == (0.9, 0.8, None)
+    history = spark.createDataFrame([(1, 1, 2.0, None), (1, 2, 1.0, 1.5)], "epoch int, update int, train_loss double, val_loss double")
+    assert training.loss_averages(history).first().train_loss == 1.5
+
+
 def test_prompts():
     assert len(prompt_hash()) == 16 and prompt_hash() != prompt_hash(version="v1")
     assert "980 x 1260" in build_prompt(980, 1260) and all(f in build_prompt(1, 1, "v1") for f in FIELDS)
