@@ -38,21 +38,21 @@ def scored_fields(spark: SparkSession, sf: str) -> DataFrame:
     return scored_rows(spark, sf).drop("p_norm", "schema_valid", "parse_error")
 
 
-@query("""select f.field, avg(correct::int)::double as accuracy, avg(case when gold_present then (correct and citation_ok)::int end)::double as grounded_accuracy,
+@query("""select f.field, sum(correct::int)::double / count(correct::int) as accuracy, sum(case when gold_present then (correct and citation_ok)::int end)::double / count(case when gold_present then (correct and citation_ok)::int end) as grounded_accuracy,
   count(*) filter (where gold_present) as n_present from scored f group by f.field""", claims=True)
 def field_accuracy_by_field(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.per_field(scored_rows(spark, sf), digits=None).where("accuracy is not null").select("field", "accuracy", "grounded_accuracy", "n_present")
 
 
-@query("""select avg(correct::int)::double as field_accuracy, avg(case when gold_present then (correct and citation_ok)::int end)::double as grounded_accuracy,
-  avg(case when pred_present then evidence_supported::int end)::double as evidence_supported_rate, avg(case when not gold_present then pred_present::int end)::double as hallucination_rate,
-  avg(case when gold_present then (not pred_present)::int end)::double as miss_rate from scored""", claims=True)
+@query("""select sum(correct::int)::double / count(correct::int) as field_accuracy, sum(case when gold_present then (correct and citation_ok)::int end)::double / count(case when gold_present then (correct and citation_ok)::int end) as grounded_accuracy,
+  sum(case when pred_present then evidence_supported::int end)::double / count(case when pred_present then evidence_supported::int end) as evidence_supported_rate, sum(case when not gold_present then pred_present::int end)::double / count(case when not gold_present then pred_present::int end) as hallucination_rate,
+  sum(case when gold_present then (not pred_present)::int end)::double / count(case when gold_present then (not pred_present)::int end) as miss_rate from scored""", claims=True)
 def summary_populations(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.field_summary(scored_rows(spark, sf))
 
 
 @query(" union all ".join(f"""select '{c}' as slice, case when {c}::varchar = 'true' then 'True' when {c}::varchar = 'false' then 'False' else coalesce({c}::varchar, 'None') end as value,
-  count(*) as n_fields, avg(correct::int)::double as field_accuracy from scored group by {c}""" for c in metrics.SLICES), claims=True)
+  count(*) as n_fields, sum(correct::int)::double / count(correct::int) as field_accuracy from scored group by {c}""" for c in metrics.SLICES), claims=True)
 def slice_accuracy_sets(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.slices(scored_rows(spark, sf), digits=None)
 
@@ -92,19 +92,19 @@ def cost_by_error_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- fairness -------------------------------------------------------------------------------------------------------
-@query("""select 'group' as key, "group" as value, avg(case when field != 'claimant_name' then correct::int end)::double as other_fields_accuracy,
-  avg(case when field = 'claimant_name' then correct::int end)::double as name_accuracy, count(distinct doc_id) as n_docs from scored group by "group\"""", claims=True)
+@query("""select 'group' as key, "group" as value, sum(case when field != 'claimant_name' then correct::int end)::double / count(case when field != 'claimant_name' then correct::int end) as other_fields_accuracy,
+  sum(case when field = 'claimant_name' then correct::int end)::double / count(case when field = 'claimant_name' then correct::int end) as name_accuracy, count(distinct doc_id) as n_docs from scored group by "group\"""", claims=True)
 def group_parity(spark: SparkSession, sf: str) -> DataFrame:
     return fairness.parity(scored_rows(spark, sf), "group", digits=None)
 
 
 @query("""select 'gender' as key, max(o) - min(o) as other_fields_accuracy_gap, max(n) - min(n) as name_accuracy_gap from (
-  select gender, avg(case when field != 'claimant_name' then correct::int end)::double as o, avg(case when field = 'claimant_name' then correct::int end)::double as n from scored group by gender)""", claims=True)
+  select gender, sum(case when field != 'claimant_name' then correct::int end)::double / count(case when field != 'claimant_name' then correct::int end) as o, sum(case when field = 'claimant_name' then correct::int end)::double / count(case when field = 'claimant_name' then correct::int end) as n from scored group by gender)""", claims=True)
 def parity_gap(spark: SparkSession, sf: str) -> DataFrame:
     return fairness.gaps(fairness.parity(scored_rows(spark, sf), "gender", digits=None), digits=None)
 
 
-@query("""select count(*) as counterfactual_sets, avg((not f)::int)::double as counterfactual_consistency from (
+@query("""select count(*) as counterfactual_sets, sum((not f)::int)::double / count((not f)::int) as counterfactual_consistency from (
   select set_id, bool_or(n > 1) as f from (select set_id, field, count(distinct coalesce(pred_value, '#none')) as n from scored where field in ('incident_type', 'claim_number') group by 1, 2) group by 1)""", claims=True)
 def counterfactual_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return fairness.consistency(scored_rows(spark, sf).where(F.col("field").isin("incident_type", "claim_number")), digits=None)
@@ -140,7 +140,7 @@ def iou_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.histogram(scored_rows(spark, sf), "iou")
 
 
-@query("select field, accuracy from (select field, avg(correct::int)::double as accuracy from scored group by field) order by accuracy, field limit 1", claims=True)
+@query("select field, accuracy from (select field, sum(correct::int)::double / count(correct::int) as accuracy from scored group by field) order by accuracy, field limit 1", claims=True)
 def weakest_field(spark: SparkSession, sf: str) -> DataFrame:
     return analysis.field_accuracy(scored_rows(spark, sf)).agg(F.min_by("field", F.struct("accuracy", "field")).alias("field"), F.min("accuracy").alias("accuracy"))
 
@@ -270,7 +270,7 @@ def replay_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- comparison, gate, cost -----------------------------------------------------------------------------------------
-_RUNS = """m as (select source as run_id, cast(substr(source, 4) as int) as run_order, avg(quality)::double as field_accuracy, avg(toxic)::double as hallucination_rate
+_RUNS = """m as (select source as run_id, cast(substr(source, 4) as int) as run_order, sum(quality)::double / count(quality) as field_accuracy, sum(toxic)::double / count(toxic) as hallucination_rate
   from documents d join labels l on d.doc_id = l.doc_id group by source),
   v as (select run_id, run_order, 'field_accuracy' as metric, field_accuracy as value from m union all select run_id, run_order, 'hallucination_rate', hallucination_rate from m)"""
 
@@ -302,7 +302,7 @@ def error_type_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GATE = """m as (select case when d.doc_id % 2 = 0 then 'new' else 'old' end as model, case when lang = 'en' then 'test' else 'holdout' end as split, '1.1' as evaluator_version,
-  avg(quality)::double as field_accuracy, avg(1 - toxic)::double as grounded_accuracy, avg(toxic)::double as hallucination_rate from documents d join labels l on d.doc_id = l.doc_id group by 1, 2),
+  sum(quality)::double / count(quality) as field_accuracy, sum(1 - toxic)::double / count(1 - toxic) as grounded_accuracy, sum(toxic)::double / count(toxic) as hallucination_rate from documents d join labels l on d.doc_id = l.doc_id group by 1, 2),
   spec as (select * from (values """ + ", ".join(f"('{s}', '{m}', {str(h).lower()}, {x}::double)" for s, m, h, x in GATE) + """) t(split, metric, higher, slack)),
   v as (select model, split, 'field_accuracy' as metric, field_accuracy as value from m union all select model, split, 'grounded_accuracy', grounded_accuracy from m union all select model, split, 'hallucination_rate', hallucination_rate from m),
   g as (select s.split, s.metric, c.value as candidate, p.value as production, case when p.value is null then true when higher then c.value >= p.value - slack else c.value <= p.value + slack end as passed
