@@ -91,11 +91,29 @@ def fold(doc_id: str, parts: int, held: int):
     return F.crc32(F.col(doc_id).cast("string")) % parts == held
 
 
-def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, bad, good): in how many of the task's texts of either label each feature occurs."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         for part in K.chunks(batch, "text"):
-            rows = [f.tobytes() for f in features(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "features"])
+            for y, f in zip(part.column("toxic").to_pylist(), features(part.column("text"))):
+                counts[y][f] += 1
+    some = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[1][some]), pa.array(counts[0][some])], names=["feature", "bad", "good"])
+
+
+def _sample_rows(known):
+    """(toxic, features): of each text those features that tell something, as places in the sorted array ``known``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[known.value] = np.arange(len(known.value))
+        for batch in batches:
+            for part in K.chunks(batch, "text"):
+                found = (place[f] for f in features(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([x[x >= 0].tobytes() for x in found], pa.binary())], names=["toxic", "features"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, held_out=None, per_class: int = PER_CLASS, rounds: int = 80, sigmas: float = 3.5) -> tuple[np.ndarray, float]:
@@ -106,26 +124,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picks = [named.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # at most 2 * per_class rows of two numbers
-    rows = text_column(docs, id_col, text_col).join(F.broadcast(picks[0].union(picks[1])), "doc_id").select("toxic", "text").mapInArrow(_sample_rows, "toxic int, features binary").toArrow()
+    sample = text_column(docs, id_col, text_col).join(F.broadcast(picks[0].union(picks[1])), "doc_id").select("toxic", "text")
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
+    out = np.zeros(1 << BITS, np.float32)
+    if not n_bad or not n_good:
+        return out, -2.0 if n_good or not n_bad else 2.0
+    part = n_bad / (n_bad + n_good)
+    counted = sample.mapInArrow(_sample_counts, "feature int, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    expected = (F.col("bad") + F.col("good")) * part
+    telling = counted.where(F.abs(F.col("bad") - expected) >= sigmas * F.sqrt(expected * (1 - part) + 1)).orderBy("feature").toArrow()
+    names, bad, good = (np.asarray(telling.column(c)) for c in ("feature", "bad", "good"))
+    r = np.log((bad + 1) / (good * (n_bad / n_good) + 1))
+    rows = sample.mapInArrow(_sample_rows(docs.sparkSession.sparkContext.broadcast(names)), "toxic int, features binary").toArrow()
     y = np.asarray(rows.column("toxic")).astype(np.float64)
-    size = 1 << BITS
-    if len(y) == 0:
-        return np.zeros(size, np.float32), -2.0
-    sets = [np.frombuffer(x, np.int32) for x in rows.column("features").to_pylist()]
-    length = np.fromiter(map(len, sets), np.int64, len(sets))
-    idx = np.concatenate(sets)
-    own = np.repeat(np.arange(len(sets)), length)
-    bad, good = (np.bincount(idx[y[own] == v], minlength=size).astype(np.float64) for v in (1, 0))
-    share = max(y.sum(), 1) / max((1 - y).sum(), 1)
-    ratio = np.log((bad + 1) / (good * share + 1))
-    expected = (bad + good) * y.mean()
-    ratio[np.abs(bad - expected) < sigmas * np.sqrt(expected * (1 - y.mean()) + 1)] = 0
-    use = ratio[idx] != 0
-    idx, own = idx[use], own[use]
-    names, idx = np.unique(idx, return_inverse=True)
-    r = ratio[names]
+    raw, off = K.text_bytes(rows.column("features"))
+    idx = raw.view(np.int32)
+    own = np.repeat(np.arange(len(y)), np.diff(off) // 4)
     w, bias = np.full(len(names), 0.05), 0.0
-    speed, weight = np.zeros(len(names)), np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    speed, weight = np.zeros(len(names)), np.where(y == 1, 0.5 / n_bad, 0.5 / n_good)
     scaled = r[idx]
     square = np.full(len(names), 1e-12)
     for _ in range(rounds):
@@ -136,7 +153,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         speed = 0.8 * speed + 0.1 * grad / np.sqrt(square)
         w = w - speed
         bias -= 2.0 * error.sum()
-    out = np.zeros(size, np.float32)
     out[names] = w * r
     return out, float(bias)
 
