@@ -11,7 +11,7 @@ stands directly before. As contexts are that few, one batched matrix product giv
 are normalised exactly. Within a class of other words, P(word) = (c + 1) / (sum of (c + 1) over the class + 1), where
 the last 1 is for all words that the training texts lack.
 
-Counts of the most frequent ``HEAD`` words are broadcast (a bound of 4 MB); counts of all others are joined.
+Counts of the most frequent ``HEAD`` words are broadcast (a bound of 9 MB); counts of all others are joined.
 """
 
 from __future__ import annotations
