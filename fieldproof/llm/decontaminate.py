@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import text_column
+from .shared import small_batches, text_column
 
 RATE = 0.1
 #: Benchmark text sent to executors at once; more items go in further passes.
@@ -224,6 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of docs whose text holds no test item."""
     spark = docs.sparkSession
+    small_batches(spark)
     rate = parameters.get("rate", RATE)
     out = docs
     for block in _blocks(benchmark, parameters.get("item_col", "item_id"), "text", parameters.get("block_bytes", BLOCK_BYTES)):

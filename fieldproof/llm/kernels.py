@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SHINGLE_WORDS = 5
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20250101)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import text_column
+from .shared import small_batches, text_column
 
 ORDER = 4
 #: Expected number of labelled rows that training takes of each language at most.
@@ -171,6 +171,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, held_out=None, per_language: int = PER_LANGUAGE) -> Models:
     """Models of all languages from a bounded sample of labelled rows: those with the smallest hashes of doc_id, about
     ``per_language`` of each language. Rows with a null text or language, or within ``held_out``, teach nothing."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
     if held_out is not None:
         rows = rows.where(~held_out)

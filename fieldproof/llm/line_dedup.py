@@ -16,6 +16,7 @@ maximal repeated run, whole. Intervals are aggregated before any shuffle brings
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import stored
+from .shared import small_batches, stored
 
 MIN_WORDS = 50
 
@@ -60,39 +61,48 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _LINES = "doc_id long, key long, q long, line long, h long, words long"
-_RUNS = "doc_id long, key long, q long, len long, level int"
+_STRETCH = "doc_id long, key long, part long, q long, line long, h long, lens array<long>"
 
 
-def _runs(min_words: int):
-    """Of rows sorted by (doc_id, key, part, q): per part the shortest runs from each line and up to each line."""
+def run_lengths(words: list[int], least: int) -> list[list[int]]:
+    """Per line the lengths of runs that begin there: the shortest of ``least`` words from it on, and those that are the
+    shortest up to some line."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    n = len(words)
+    out: list[list[int]] = [[] for _ in words]
+    stop = np.searchsorted(total, total[:-1] + least)
+    begin = np.searchsorted(total, total[1:] - least, side="right") - 1
+    pairs = {(a, b) for a, b in enumerate(stop.tolist()) if b <= n} | {(a, b + 1) for b, a in enumerate(begin.tolist()) if a >= 0}
+    for a, b in sorted(pairs):
+        out[a].append(b - a)
+    return out
 
-    def flush(doc: tuple, q0: int, words: list[int], out: list) -> None:
-        total = np.concatenate(([0], np.cumsum(words)))
-        n = len(words)
-        stop = np.searchsorted(total, total[:-1] + min_words)  # of the run from each line on
-        ahead = np.flatnonzero(stop <= n)
-        begin = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # of the run up to each line
-        back = np.flatnonzero(begin >= 0)
-        for a, b in sorted({*zip(ahead.tolist(), stop[ahead].tolist()), *zip(begin[back].tolist(), (back + 1).tolist())}):
-            out.append((*doc, q0 + a, b - a, (b - a).bit_length() - 1))
 
-    def batch_of(out: list) -> pa.RecordBatch:
-        columns = list(zip(*out)) if out else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.int32()])], names=["doc_id", "key", "q", "len", "level"])
+def _stretches(least: int):
+    """Rows sorted by (doc_id, key, part, q) with the lengths of the runs that begin at them."""
+    names = ["doc_id", "key", "part", "q", "line", "h", "lens"]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 6 + [pa.list_(pa.int64())])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, q0, words, out = None, 0, [], []
+        now, held, out = None, [], []
+
+        def flush() -> None:
+            for row, lens in zip(held, run_lengths([x[6] for x in held], least)):
+                out.append((*row[:6], lens))
+            held.clear()
+
         for batch in batches:
-            for doc_id, key, part, q, w in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "part", "q", "words"))):
-                if (doc_id, key, part) != now:
-                    if now is not None:
-                        flush(now[:2], q0, words, out)
-                    now, q0, words = (doc_id, key, part), q, []
-                words.append(w)
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names[:6], "words"))):
+                if row[:3] != now:
+                    flush()
+                    now = row[:3]
+                held.append(row)
             yield batch_of(out)
-            out = []
-        if now is not None:
-            flush(now[:2], q0, words, out)
+            out.clear()
+        flush()
         yield batch_of(out)
 
     return run
@@ -116,36 +126,36 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     key is the text's 64-bit hash. A null doc_id comes before all others; rows of equal doc_id and text are one document.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     lines = stored(base.withColumn("key", F.xxhash64("text")).mapInArrow(_lines, _LINES), "lines")
     often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     own = Window.partitionBy("doc_id", "key").orderBy("q")
     rows = lines.join(often, "h").dropDuplicates(["doc_id", "key", "q"]).withColumn("part", F.col("q") - F.row_number().over(own))
-    whole = Window.partitionBy("doc_id", "key", "part")
-    rows = stored(rows.withColumn("all", F.sum("words").over(whole)).where(F.col("all") >= min_words).select("doc_id", "key", "part", "q", "line", "h", "words"), "stretches")
-    runs = stored(rows.repartition("doc_id", "key").sortWithinPartitions("doc_id", "key", "part", "q").mapInArrow(_runs(min_words), _RUNS), "runs")
-    levels = sorted(r.level for r in runs.select("level").distinct().collect())  # a few small numbers
-    count = float(rows.count() + 1)
-    marked: DataFrame | None = None
-    suffixes = rows.select("doc_id", "key", "part", "q", F.col("h").alias("a"), F.lit(0).cast("long").alias("b"))
-    for level in range(max(levels, default=-1) + 1):
-        ranks = stored(_ranked(suffixes, *((0.0, count) if level else (-(2.0**63), 2.0**63))).select("doc_id", "key", "part", "q", "r"), "ranks")
-        if level in levels:
-            of = runs.where(F.col("level") == level)
-            last = ranks.select("doc_id", "key", (F.col("q") + 2**level).alias("stop"), F.col("r").alias("r2"))
-            named = of.join(ranks.select("doc_id", "key", "q", "r"), ["doc_id", "key", "q"]).withColumn("stop", F.col("q") + F.col("len")).join(last, ["doc_id", "key", "stop"])
-            place = F.struct("doc_id", "key", "q")
-            first = named.groupBy("r", "r2", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-            later = named.join(first, ["r", "r2", "len"]).where(place > F.col("first")).select("doc_id", "key", "q", "len")
-            later = stored(later, "later")
-            marked = later if marked is None else marked.union(later)
+    whole = rows.withColumn("all", F.sum("words").over(Window.partitionBy("doc_id", "key", "part"))).where(F.col("all") >= min_words)
+    stretches = stored(whole.select("doc_id", "key", "part", "q", "line", "h", "words").sortWithinPartitions("doc_id", "key", "part", "q").mapInArrow(_stretches(min_words), _STRETCH), "stretches")
+    facts = stretches.agg(F.count("*").alias("n"), F.max(F.array_max("lens")).alias("longest")).first()
+    named: list[DataFrame] = []
+    of = ("doc_id", "key", "part")
+    suffixes = stretches.select(*of, F.struct("q", "line", "lens").alias("x"), F.col("h").alias("a"), F.lit(0).cast("long").alias("b"))
+    for level in range((facts.longest or 0).bit_length()):
+        bounds = (0.0, float(facts.n + 1)) if level else (-(2.0**63), 2.0**63)
+        # a row per stretch: its suffixes in order, with their ranks
+        ranked = stored(_ranked(suffixes, *bounds).groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("x.q", "x.line", "x.lens", "r"))).alias("s")), "suffixes")
+        # a run's name: the ranks of its first and its last 2**level lines
+        names = F.expr(f"""inline(flatten(transform(s, (x, i) -> transform(filter(x.lens, n -> n >= {2**level} and n < {2 ** (level + 1)}),
+            n -> named_struct('q', x.q, 'len', n, 'r1', x.r, 'r2', get(s, cast(i + n - {2**level} as int)).r, 'lines', transform(slice(s, i + 1, cast(n as int)), y -> y.line))))))""")
+        named.append(ranked.select("doc_id", "key", names))
         # the pair of ranks at distance 2**level; past a stretch's end nothing repeats
-        order = Window.partitionBy("doc_id", "key", "part").orderBy("q")
-        suffixes = ranks.select("doc_id", "key", "part", "q", F.col("r").alias("a"), F.coalesce(F.lead("r", 2**level).over(order), F.lit(-1)).alias("b"))
-    if marked is None:
-        return rows.select("doc_id", "key", F.array("line").alias("lines")).limit(0)
-    gone = marked.select("doc_id", "key", F.explode(F.expr("sequence(q, q + len - 1)")).alias("q")).distinct()
-    return stored(gone.join(rows.select("doc_id", "key", "q", "line"), ["doc_id", "key", "q"]), "gone").groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+        pairs = F.expr(f"inline(transform(s, (x, i) -> named_struct('x', named_struct('q', x.q, 'line', x.line, 'lens', x.lens), 'a', x.r, 'b', coalesce(get(s, i + {2**level}).r, -1L))))")
+        suffixes = ranked.select(*of, pairs)
+    if not named:
+        return stretches.select("doc_id", "key", F.array("line").alias("lines")).limit(0)
+    runs = reduce(DataFrame.union, named)
+    place = F.struct("doc_id", "key", "q")
+    first = runs.groupBy("r1", "r2", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = runs.join(first, ["r1", "r2", "len"]).where(place > F.col("first"))
+    return later.select("doc_id", "key", F.explode("lines").alias("line")).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:

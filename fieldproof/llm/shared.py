@@ -61,6 +61,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB at most go to Python workers (one longer text makes a batch), where the session has Spark's 64 MB."""
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":
+        spark.conf.set(_BATCH_BYTES, "8m")
+
+
 def text_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id, text), so that other columns, whatever their names, neither clash nor travel."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
