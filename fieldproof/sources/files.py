@@ -28,7 +28,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     if not exists(spark, path):
         return spark.createDataFrame([], "log_id string, line_no int, line string")
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("log_id"), F.split("value", "\r?\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), F.split("value", "\r?\n").alias("lines"))
     return whole.select("log_id", F.posexplode("lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
