@@ -2,16 +2,20 @@
 
 Documents are sets of distinct five-word shingles. Equal sets become one class first, so a group of copies costs one
 row. Each class has minwise values. The roots of ROOTS independent trees split all classes by one minwise value each;
-deeper levels split each large node by minwise values that the node's own hash chooses (one, and for a third of the
-nodes a second: 4/3 children on average, the inverse of 0.75, so that a similar pair is expected to go on together in
-one child). Nodes of at most ``leaf`` classes are compared exhaustively on sketches. In a larger node all classes are
-compared with a pivot; with d = 1 - likeness, a metric, what is within 0.2 of the pivot goes no deeper, as whatever is
-within 0.25 of it is within 0.45 of the pivot and so linked to it. The trees' candidate links, thinned to spanning
+deeper levels split each large node by two minwise values that the node's own hash chooses among its level's own, so
+that no path meets one twice. Nodes of at most ``leaf`` classes are compared exhaustively on sketches. In a larger node
+all classes are compared with a pivot; with d = 1 - likeness, a metric, what is within 0.2 of the pivot goes no deeper,
+as whatever is within 0.25 of it is within 0.45 of the pivot and so linked to it. Where all but a 64th is linked to
+the pivot, the rest is linked as well and the node ends there: it is one cluster. What ``depth`` levels have not split
+is compared exhaustively in cells, every block with every other. The trees' candidate links, thinned to spanning
 forests, give clusters that are a little too coarse; inside each cluster links are confirmed on the full sets, exactly,
 and the groups come from confirmed links alone.
 
-Recall: a pair at 0.75 parts at all roots with probability 0.25**ROOTS, and the bound for comparing sketches (coarse)
-lies over four standard deviations under the threshold.
+Recall: a pair at 0.75 has 1.5 common children per level on average, so it goes on together below a large root with
+probability s = 1 - (1 - 0.75 s)**2 = 0.89 at least, however deep. It parts in all trees with probability
+(1 - 0.75 * 0.89)**ROOTS = 2e-6 (0.25**ROOTS where roots are small), if values were independent; and the bound for
+comparing sketches (coarse) lies over four standard deviations under the threshold. Unlinked classes share under half
+of their values with the pivot, so two children hardly let a level's rows grow.
 """
 
 from __future__ import annotations
@@ -173,8 +177,10 @@ def _compare_small(coarse: int):
     return run
 
 
-def _compare_pivots(coarse: int, absorbed: int):
-    """Of (node, rep, sketch, pivot, pivot_sketch): links to the pivot (node null), and children of what goes on."""
+def _compare_pivots(coarse: int, absorbed: int, level: int, depth: int):
+    """Of (node, rep, sketch, pivot, pivot_sketch): links to the pivot (node null; far where the sketches don't bear
+    them), and children of what goes on, with the node they come from."""
+    own = np.arange(level % min(depth, SKETCH // 2), SKETCH, min(depth, SKETCH // 2))  # this level's values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,25 +189,30 @@ def _compare_pivots(coarse: int, absorbed: int):
             node, rep, pivot = (np.asarray(batch.column(c)) for c in ("node", "rep", "pivot"))
             s, p = _sketches(batch.column("sketch")), _sketches(batch.column("pivot_sketch"))
             same = (s == p).sum(axis=1)
-            link = (same >= coarse) & (rep != pivot)
+            link = np.flatnonzero(rep != pivot)
             on = np.flatnonzero(same < absorbed)
             key = node.view(np.uint64)[on]
-            kids, reps = [], []
-            for b in range(2):
-                # the second value is taken by a third of the nodes: 4/3 children on average, the inverse of 0.75
-                use = np.ones(len(on), bool) if b == 0 else _node(key, 11) % np.uint64(3) == 0
-                c = (_node(key, 17 + b) % np.uint64(SKETCH)).astype(np.int64)
-                kids.append(_node(key, b, c, s[on, c])[use])
-                reps.append(rep[on][use])
-            kids, reps = np.concatenate(kids).view(np.int64), np.concatenate(reps)
-            n = int(link.sum())
+            first = _node(key, 17) % np.uint64(len(own))
+            second = (first + np.uint64(1) + _node(key, 18) % np.uint64(len(own) - 1)) % np.uint64(len(own))
+            kids = [_node(key, b, s[on, own[c.astype(np.int64)]]) for b, c in enumerate((first, second))]
+            kids = np.concatenate(kids).view(np.int64)
+            n = len(link)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((np.zeros(n, np.int64), kids)), mask=np.arange(n + len(kids)) < n), pa.array(np.concatenate((rep[link], reps))), pa.array(np.concatenate((pivot[link], reps)))],
-                names=["node", "u", "v"])
+                [pa.array(np.concatenate((np.zeros(n, np.int64), kids)), mask=np.arange(n + len(kids)) < n), pa.array(np.concatenate((rep[link], np.tile(rep[on], 2)))),
+                 pa.array(np.concatenate((pivot[link], np.tile(node[on], 2)))), pa.array(np.concatenate((node[link], np.tile(node[on], 2)))),
+                 pa.array(np.concatenate((same[link] < coarse, np.zeros(len(kids), bool))))],
+                names=["node", "u", "v", "parent", "far"])
 
     return run
 
 
+def _cells(big: DataFrame, leaf: int) -> DataFrame:
+    """(node, rep, sketch): blocks of half a leaf, each put together with every other of its node, so all pairs meet."""
+    parts = F.expr(f"if(size <= {leaf}, 1L, ceil(size / {max(1, leaf // 2)}))")
+    dealt = big.withColumn("parts", parts).withColumn("a", F.expr("pmod(xxhash64(rep, node), parts)")).withColumn("b", F.explode(F.expr("sequence(0L, parts - 1)")))
+    return dealt.select(F.xxhash64("node", F.least("a", "b"), F.greatest("a", "b")).alias("node"), "rep", "sketch")
+
+
 def candidate_links(reps: DataFrame, leaf: int, coarse: float, pivot_coarse: float, absorbed: float, depth: int) -> DataFrame:
     """Links (u, v) between classes that resemble each other by sketch: per node a spanning forest or a star."""
     least, star, most = int(coarse * SKETCH), int(pivot_coarse * SKETCH), int(np.ceil(absorbed * SKETCH))
@@ -217,13 +228,17 @@ def candidate_links(reps: DataFrame, leaf: int, coarse: float, pivot_coarse: flo
             break
         pivots = big.where("rep = pivot").select("node", F.col("sketch").alias("pivot_sketch"))
         step = stored(big.join(pivots, "node").select("node", "rep", "sketch", "pivot", "pivot_sketch")
-                      .mapInArrow(_compare_pivots(star, most), "node long, u long, v long"), "step")
-        stars.append(step.where("node is null").select("u", "v"))
-        rows = step.where("node is not null").select("node", F.col("u").alias("rep"))
+                      .mapInArrow(_compare_pivots(star, most, level, depth), "node long, u long, v long, parent long, far boolean"), "step")
+        # a node that is nearly all one star becomes one cluster; the others, a row per large node, go on
+        ended = stored(step.where("node is null").groupBy("parent").agg(F.expr("64 * count_if(far) <= count(*)").alias("ended")), "ended")
+        stars.append(step.where("node is null").join(F.broadcast(ended), "parent").where("ended or not far").select("u", "v"))
+        rows = step.where("node is not null").join(F.broadcast(ended), "parent").where("not ended").select("node", F.col("u").alias("rep"))
     else:
-        # what no level has split is compared in blocks; its star of links to the pivot is there already
-        block = F.xxhash64("node", F.expr(f"pmod(xxhash64(rep, node), ceil(size / {leaf}))"))
-        leaves.append(big.select(block.alias("node"), "rep", "sketch"))
+        # what no level has split
+        rows = stored(rows, "nodes")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        members = rows.join(sizes, "node").join(reps, "rep")
+        leaves.append(_cells(members, leaf).select("node", "rep", "sketch"))
     small = reduce(DataFrame.union, leaves)
     return reduce(DataFrame.union, stars, small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small(least), "u long, v long"))
 

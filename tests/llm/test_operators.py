@@ -381,6 +381,24 @@ def test_near_duplicates_against_brute_force(spark, parameters):
     assert all(x.n_shingles == len(sets[i]) and x.kept == (i == expected[i]) for i, x in got.items())
 
 
+@pytest.mark.parametrize("depth", [2, 12])
+def test_near_duplicates_of_a_large_node(spark, depth):
+    """Documents that share a passage stand in one large node; pairs within it are found whatever its depth."""
+    passage, rows = prose(100, 900), []
+
+    def own(n, seed):
+        return [f"w{seed}x{i}" for i in range(n)]
+
+    for i in range(900):
+        tail = own(75, i)
+        rows.append((2 * i, f"{passage} {' '.join(tail)}"))
+        if i < 300:
+            rows.append((2 * i + 1, f"{passage} {' '.join(tail[:-24] + own(24, 10_000 + i))}"))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=8, depth=depth).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(900))
+    assert [i for i in range(300) if got[2 * i + 1] != 2 * i] == []
+
+
 def test_near_duplicates_edges(spark, edges):
     got = near_dedup.near_duplicates(edges).collect()
     assert len(got) == len(edge_rows())
