@@ -1,16 +1,19 @@
 """Secret scans: three fixed patterns, and novelty under a dictionary-primed zstandard compressor.
 
-A candidate is a long unbroken string near a sensitive word. Its novelty is what it adds to the compressed size of the
-text around it, under a raw-content dictionary of code and identifiers. What the dictionary and the surroundings
-explain adds few bytes; a random string adds nearly its own information.
+A candidate is an unbroken string of 16 characters or more within 48 characters of a sensitive word, on either side.
+Its novelty is what it adds to the compressed size of the text around it, under a raw-content dictionary: of code and
+identifiers where it has digits, of those and ordinary words where it has only letters (and signs). What the dictionary
+and the surroundings explain adds few bytes; a random string adds nearly its own information.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,6 +46,20 @@ https://www.example.com/index.html application/json content-type text/plain char
 """
 
 
+#: Least share of its length that a string without digits must add: of one case, of one case from 36 characters (where
+#: literals are entropy-coded), of both cases. About one in a hundred random strings adds less; ordinary long words,
+#: compounds and identifiers add less than these.
+LETTERS_LEAST = (0.82, 0.71, 0.85)
+LETTERS_LONG = 36
+
+
+def ordinary_words() -> bytes:
+    """The words and long parts of words of a public vocabulary of several languages."""
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        tokens = {base64.b64decode(x.split()[0]).strip() for x in lines if x.strip()}
+    return b" ".join(sorted(t for t in tokens if len(t) >= 5 and t.isalpha()))
+
+
 class Novelty:
     """Marginal compressed bytes of a string within its surroundings."""
 
@@ -71,22 +88,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, novelty: Novelty, near: int = 48, least_share: float = 0.55) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of candidates with letters and digits, within ``near`` characters after a sensitive word, that
-    add at least ``least_share`` of their length to the compressed size."""
+def _is_novel(text: str, start: int, end: int, novelty: Novelty, wordy: Novelty, least_share: float) -> bool:
+    s = text[start:end]
+    if any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+        return novelty.bytes_added(text, start, end) >= least_share * len(s)
+    one_case = s == s.lower() or s == s.upper()
+    least = LETTERS_LEAST[2 if not one_case else 1 if len(s) >= LETTERS_LONG else 0]
+    if one_case and s != s.lower():  # the vocabulary is in lower case
+        text = text[:start] + s.lower() + text[end:]
+    return wordy.bytes_added(text, start, end) >= least * len(s)
+
+
+def novel_spans(text: str, novelty: Novelty, wordy: Novelty, near: int = 48, least_share: float = 0.55) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of candidates within ``near`` characters of a sensitive word, on either side, that add at least
+    their share to the compressed size: ``least_share`` with digits, LETTERS_LEAST without."""
     low = text.lower()
     if not any(w in low for w in _SENSITIVE_WORDS):
         return []
-    out, done = [], 0
-    for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(done, word.end())):
-            if m.start() > word.end() + near:
+    spans, done = [], 0
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    for _, after in words:
+        for m in _CANDIDATE.finditer(text, max(done, after)):
+            if m.start() > after + near:
                 break
             done = m.end()
-            s = m[0]
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and novelty.bytes_added(text, m.start(), m.end()) >= least_share * len(s):
-                out.append((m.start(), 3, m.end()))
-    return out
+            spans.append(m.span())
+    taken, gap = list(spans), 0
+    for before, after in words:
+        for m in _CANDIDATE.finditer(text, gap, before):
+            if m.end() + near >= before and not any(a < m.end() and m.start() < b for a, b in taken):
+                spans.append(m.span())
+        gap = after
+    return [(a, 3, b) for a, b in spans if _is_novel(text, a, b, novelty, wordy, least_share)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -101,15 +134,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, lea
     table gives an empty result.
     """
 
+    vocabulary = ordinary_words()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty, wordy = Novelty(), Novelty(vocabulary + IDENTIFIERS)
         for batch in batches:
             for part in K.chunks(batch, "text"):
                 counts: tuple[list[int], ...] = ([], [], [], [])
                 shas, spans = [], []
                 for x in part.column("text").to_pylist():
                     base = base_spans(x or "")
-                    every = sorted(base + novel_spans(x or "", novelty, least_share=least_share))
+                    every = sorted(base + novel_spans(x or "", novelty, wordy, least_share=least_share))
                     for k, c in enumerate(counts):
                         c.append(sum(s[1] == k for s in every))
                     shas.append(hashlib.sha256(joined(base).encode()).hexdigest())

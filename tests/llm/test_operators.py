@@ -155,6 +155,15 @@ def test_byte_bpe_over_rows(spark, edges):
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------------------
+def test_secrets_of_one_alphabet_on_either_side(spark):
+    found = ["bearer kXqLwZtRbVmPsYhGcDfN", "the secret key is 83920174650918273645501928374655", "kX9qLw27ZtRb41VmPs8Y is the secret key", "token qzxvkjwpbgtrhycmdlfn", "token QZXVKJWPBGTRHYCMDLFN",
+             "the key kXqLwZtRbVmPsYhGcDfN was the bearer and token", "kXqLwZtRbVmPsYhGcDfN_token"]
+    plain = ["bearer of responsibilities and internationalization", "token REFRESH_TOKEN_EXPIRATION_TIME", "secret getAuthenticationProvider Krankenversicherung", "token ========================",
+             "kX9qLw27ZtRb41VmPs8Y " + "stands far from it " * 3 + "secret"]
+    got = {r.doc_id: r.n_novel for r in secrets.scan(spark.createDataFrame(list(enumerate(found + plain)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(found + plain))] == [1] * len(found) + [0] * len(plain)
+
+
 def test_secrets(spark, edges):
     secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     texts = [
