@@ -173,6 +173,26 @@ def test_gold_evidence_normalises_to_its_value(spark):
     assert {r.doc_type for r in made[1].select("doc_type").distinct().collect()} == set(generator.HOLDOUT_TYPES)
 
 
+def test_each_template_has_its_own_layout(spark):
+    kinds = ("claim_form", "invoice", *generator.HOLDOUT_TYPES, *generator.RANDOM_TYPES)
+    keys = generator._keys(spark, "six", 60, 5).withColumn("doc_type", F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % 6 + 1).cast("int")))
+    rows = generator.labels(generator.records(keys).withColumn("skew_deg", F.lit(0.0))).collect()
+    words, orders, places = {k: set() for k in kinds}, {k: set() for k in kinds}, {k: set() for k in kinds}
+    for r in rows:
+        labels = [s.text for s in r.layout if s.role == "label"]
+        words[r.doc_type].update(labels)
+        orders[r.doc_type].add(tuple(s.field for s in r.layout if s.role == "value" and s.field not in ("provider_name", "claim_number", "policy_number")))
+        places[r.doc_type].update(tuple(s.bbox[:2]) for s in r.layout if s.field == "date_of_loss" and s.role == "value")
+        assert all(s.text and len(s.bbox) == 4 and s.bbox[0] < s.bbox[2] and s.bbox[1] < s.bbox[3] for s in r.layout), r.doc_type
+        assert {n for n, f in r.fields.asDict().items() if f} == {s.field for s in r.layout if s.role == "value"}
+        dates = sum(s.role == "distractor" and s.field == "date_of_loss" for s in r.layout)
+        assert dates == {"claim_form": 3, "claim_form_b": 3, "claim_form_r": 2}.get(r.doc_type, 1)
+        assert any(s.role == "other" for s in r.layout) and any(s.role == "header" for s in r.layout)
+    assert "OUR REFERENCE" in words["claim_form_b"] and "BALANCE DUE" in words["invoice_b"]
+    assert all(len(places[k]) == 1 and len(orders[k]) == 1 for k in kinds[:4]) and all(len(places[k]) > 3 for k in kinds[4:]) and len(orders["claim_form_r"]) > 3
+    assert len({frozenset(places[k]) for k in kinds}) == 6
+
+
 def test_generation_is_deterministic(spark):
     a, b = (generator.split_hash(generator.labels(generator.split_records(spark, "t", 30, seed)).withColumn("split", F.lit("t"))).first().hash for seed in (1, 1))
     c = generator.split_hash(generator.labels(generator.split_records(spark, "t", 30, 2)).withColumn("split", F.lit("t"))).first().hash
