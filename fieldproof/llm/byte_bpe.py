@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -52,19 +53,21 @@ class _Pieces(dict):
 class Tokenizer:
     """Encoder and decoder for one rank file (base64 token and rank per line)."""
 
-    def __init__(self, ranks_file: bytes, pattern: str, leaf_chars: int = 16384, leaf_bytes: int = 48, look: int = 3, cache: int = 400_000):
+    def __init__(self, ranks_file: bytes, pattern: str, leaf_chars: int = 16384, leaf_bytes: int = 48, long_bytes: int = 4096, look: int = 3, cache: int = 400_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks_file.splitlines() if line)}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.text = {b: str(b) for b in self.tokens}
         self.pattern = regex.compile(pattern)
-        self.leaf_chars, self.leaf_bytes, self.look = leaf_chars, leaf_bytes, look
+        self.leaf_chars, self.leaf_bytes, self.long_bytes, self.look = leaf_chars, leaf_bytes, long_bytes, look
         self.pieces = _Pieces(self.piece, cache)
 
     def merged(self, raw: bytes) -> list[int]:
-        """Ranks merged lowest first, leftmost of equals, over a short byte string."""
+        """Ranks merged lowest first, leftmost of equals, over a byte string."""
         known = self.ranks.get(raw)
         if known is not None:
             return [known]
+        if len(raw) > 2 * self.leaf_bytes:
+            return self._merged_long(raw)
         rank = self.ranks.get
         parts = [raw[i : i + 1] for i in range(len(raw))]
         pairs = [rank(raw[i : i + 2], _FAR) for i in range(len(raw) - 1)]
@@ -81,12 +84,47 @@ class Tokenizer:
                 pairs[i] = rank(parts[i] + parts[i + 1], _FAR)
         return [self.ranks[p] for p in parts]
 
-    def piece(self, raw: bytes) -> list[int]:
-        """The tokens of one match."""
-        if len(raw) <= self.leaf_bytes:
+    def _merged_long(self, raw: bytes) -> list[int]:
+        """The same over a long string: the pairs wait in a heap of (rank, place), parts are a linked list of places."""
+        rank, n = self.ranks.get, len(raw)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the part at i ends where the next one begins
+        heap = [(r, i) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        open_rank = [-1] * n  # the rank of the pair that begins at a place, -1 for none or a part that is gone
+        for r, i in heap:
+            open_rank[i] = r
+        while heap:
+            r, i = heapq.heappop(heap)
+            if open_rank[i] != r:
+                continue
+            j = after[i]
+            end = after[j]
+            after[i], open_rank[j], open_rank[i] = end, -1, -1
+            if end < n:
+                before[end] = i
+                found = rank(raw[i : after[end]])
+                if found is not None:
+                    open_rank[i] = found
+                    heapq.heappush(heap, (found, i))
+            k = before[i]
+            if k >= 0:
+                found = rank(raw[k:end])
+                open_rank[k] = -1 if found is None else found
+                if found is not None:
+                    heapq.heappush(heap, (found, k))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[raw[i : after[i]]])
+            i = after[i]
+        return out
+
+    def piece(self, raw: bytes, leaf: int = 0) -> list[int]:
+        """The tokens of one match; a very long one has larger leaves, as its joins may each re-encode all of it."""
+        leaf = leaf or (self.leaf_bytes if len(raw) <= self.long_bytes else self.long_bytes)
+        if len(raw) <= leaf:
             return self.merged(raw) if raw else []
         half = len(raw) // 2
-        return self.join(self.piece(raw[:half]), self.piece(raw[half:]))
+        return self.join(self.piece(raw[:half], leaf), self.piece(raw[half:], leaf))
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The tokens of the concatenated bytes of two encodings."""
@@ -97,7 +135,7 @@ class Tokenizer:
             made = self.merged(window)
             if (len(a) == len(left) or made[0] == a[0]) and (len(b) == len(right) or made[-1] == b[-1]):
                 return left[: len(left) - len(a)] + made + right[len(b) :]
-            k *= 2
+            k *= 4
 
     def matches(self, text: str) -> list[str]:
         """The pattern's matches over the text, from halves."""
