@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -29,7 +30,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CHARS, NEAR = 16, 48
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}")
 _SENSITIVE = re.compile(r"passw|passphrase|secret|token|api_?key|access_?key|private_?key|credential|bearer|authorization|signature|client_?id", re.IGNORECASE | re.ASCII)
 _SENSITIVE_WORDS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "client")
 
@@ -71,9 +73,9 @@ class Novelty:
     def size(self, text: str) -> int:
         return len(self.compressor.compress(text.encode()))
 
-    def bytes_added(self, text: str, start: int, end: int) -> int:
-        left, right = text[max(0, start - self.before) : start], text[end : end + self.after]
-        return self.size(left + text[start:end] + right) - self.size(left + right)
+    def bytes_added(self, text: str, start: int, end: int, lower: bool = False) -> int:
+        left, own, right = text[max(0, start - self.before) : start], text[start:end], text[end : end + self.after]
+        return self.size(left + (own.lower() if lower else own) + right) - self.size(left + right)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -94,32 +96,51 @@ def _is_novel(text: str, start: int, end: int, novelty: Novelty, wordy: Novelty,
         return novelty.bytes_added(text, start, end) >= least_share * len(s)
     one_case = s == s.lower() or s == s.upper()
     least = LETTERS_LEAST[2 if not one_case else 1 if len(s) >= LETTERS_LONG else 0]
-    if one_case and s != s.lower():  # the vocabulary is in lower case
-        text = text[:start] + s.lower() + text[end:]
-    return wordy.bytes_added(text, start, end) >= least * len(s)
+    # the vocabulary is in lower case
+    return wordy.bytes_added(text, start, end, one_case and s != s.lower()) >= least * len(s)
 
 
-def novel_spans(text: str, novelty: Novelty, wordy: Novelty, near: int = 48, least_share: float = 0.55) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of candidates within ``near`` characters of a sensitive word, on either side, that add at least
-    their share to the compressed size: ``least_share`` with digits, LETTERS_LEAST without."""
-    low = text.lower()
-    if not any(w in low for w in _SENSITIVE_WORDS):
+def candidates(text: str, near: int = NEAR) -> list[tuple[int, int]]:
+    """(start, end) of unbroken strings within ``near`` characters after or before a sensitive word, in time linear in
+    the text: runs are found once, and each word looks at the few runs beside it.
+
+    A run that a word lies in counts from the word's end, or up to its beginning.
+    """
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    if not runs:
         return []
-    spans, done = [], 0
     words = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [a for a, _ in runs], [b for _, b in runs]
+    found, done = [], 0
     for _, after in words:
-        for m in _CANDIDATE.finditer(text, max(done, after)):
-            if m.start() > after + near:
+        for k in range(bisect_left(ends, after + 1), len(runs)):
+            a = max(runs[k][0], after, done)
+            if a > after + near:
                 break
-            done = m.end()
-            spans.append(m.span())
-    taken, gap = list(spans), 0
+            if runs[k][1] - a >= LEAST_CHARS:
+                found.append((a, runs[k][1]))
+                done = runs[k][1]
+    taken, gap = [b for _, b in found], 0  # in order, as these don't overlap
+    own = list(found)
     for before, after in words:
-        for m in _CANDIDATE.finditer(text, gap, before):
-            if m.end() + near >= before and not any(a < m.end() and m.start() < b for a, b in taken):
-                spans.append(m.span())
+        for k in range(bisect_left(starts, before) - 1, -1, -1):
+            a, b = max(runs[k][0], gap), min(runs[k][1], before)
+            if b + near < before or runs[k][1] <= gap:
+                break
+            at = bisect_left(taken, a + 1)
+            if b - a >= LEAST_CHARS and not (at < len(own) and own[at][0] < b):
+                found.append((a, b))
         gap = after
-    return [(a, 3, b) for a, b in spans if _is_novel(text, a, b, novelty, wordy, least_share)]
+    return found
+
+
+def novel_spans(text: str, novelty: Novelty, wordy: Novelty, near: int = NEAR, least_share: float = 0.55) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of candidates that add at least their share to the compressed size: ``least_share`` with digits,
+    LETTERS_LEAST without."""
+    low = text.lower()
+    if not any(w in low for w in _SENSITIVE_WORDS):
+        return []
+    return [(a, 3, b) for a, b in candidates(text, near) if _is_novel(text, a, b, novelty, wordy, least_share)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

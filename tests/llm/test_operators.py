@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -179,6 +180,90 @@ def test_secrets(spark, edges):
     assert secrets.scan(edges).count() == len(edge_rows()) and secrets.scan(empty(spark)).count() == 0
 
 
+def plain_candidates(text, near=secrets.NEAR):
+    """Straight from the rule: of each word the strings that begin after it, then those that end before it."""
+    words_at = [m.span() for m in secrets._SENSITIVE.finditer(text)]
+    spans, done, gap = [], 0, 0
+    for _, after in words_at:
+        for m in secrets._CANDIDATE.finditer(text, max(done, after)):
+            if m.start() > after + near:
+                break
+            done = m.end()
+            spans.append(m.span())
+    taken = list(spans)
+    for before, after in words_at:
+        for m in secrets._CANDIDATE.finditer(text, gap, before):
+            if m.end() + near >= before and not any(a < m.end() and m.start() < b for a, b in taken):
+                spans.append(m.span())
+        gap = after
+    return spans
+
+
+def plain_base(text):
+    """The three fixed patterns by a walk over the text, character by character."""
+    out, ascii_low = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    i = 0
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+    good = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    while i < len(text):
+        j = next((i + len(n) for n in names if ascii_low.startswith(n, i)), None)
+        if j is not None:
+            j += j < len(text) and text[j] in "\"'"
+            while j < len(text) and text[j] == " ":
+                j += 1
+            if j < len(text) and text[j] in ":=":
+                j += 1
+                while j < len(text) and text[j] == " ":
+                    j += 1
+                j += j < len(text) and text[j] in "\"'"
+                k = j
+                while k < len(text) and text[k] in good:
+                    k += 1
+                if k > j:
+                    if k - j >= 6:
+                        out.append((i, 0, k))
+                    i = k
+                    continue
+        i += 1
+    for kind, least, prefix, allowed in ((1, 20, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")), (2, 24, "", set("0123456789abcdef"))):
+        i = 0
+        while i < len(text):
+            if text.startswith(prefix, i):
+                k = i + len(prefix)
+                while k < len(text) and text[k] in allowed:
+                    k += 1
+                if k > i + len(prefix):
+                    if k - i >= least:
+                        out.append((i, kind, k))
+                    i = k
+                    continue
+            i += 1
+    return sorted(out)
+
+
+def test_secret_spans_against_a_plain_walk(spark):
+    r = random.Random(21)
+    parts = ["token", "Secret", "api_key", "APIKEY", "password", "passwd", "bearer", " ", "  ", "=", ": ", '"', "'", "AKIA", "kX9qLw27ZtRb41VmPs8Y", "deadbeef01", "plain words", "é", "A" * 9, "-", "\n", "0123456789abcdef", "x" * 17]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 40))) for _ in range(600)]
+    for text in texts:
+        assert secrets.base_spans(text) == plain_base(text), text
+        assert sorted(secrets.candidates(text)) == sorted(plain_candidates(text)), text
+    got = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        base = plain_base(text)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("unit", ["token is here and so ", "x", "secret ABCDEFGHQWERTYUIOPZX ", "token"])
+def test_secrets_take_time_in_proportion_to_the_text(unit):
+    text = "token " + unit * (1_000_000 // len(unit))
+    novelty, wordy = secrets.Novelty(), secrets.Novelty(secrets.ordinary_words() + secrets.IDENTIFIERS)
+    began = time.perf_counter()
+    secrets.base_spans(text), secrets.novel_spans(text, novelty, wordy)
+    assert time.perf_counter() - began < 20
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("head", [1 << 18, 50])
 def test_lm_counts_are_exact_and_the_model_is_normalised(spark, edges, head, monkeypatch):
