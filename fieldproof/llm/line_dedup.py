@@ -8,9 +8,11 @@ stops at the depth that runs of ``min_words`` words need.
 
 The runs asked for are, from each line on and up to each line, the shortest of at least ``min_words`` words. A run's
 interval is named by the ranks of its two halves (which may overlap), so runs are equal when names are. Of each interval
-the first run in order of (doc_id, line) stays and all others are marked. Each maximal repeated run is the union of the
-runs inside it, as these begin at its first line and end at its last, so what is marked is every later copy of a
-maximal repeated run, whole. Intervals are aggregated before any shuffle brings their members together.
+the first run in order of (doc_id, line) stays and all others are marked; one that overlaps the first is marked from
+the first one's end on. Each maximal repeated run is the union of the runs inside it, as these begin at its first line
+and end at its last, so what is marked is every later copy of a maximal repeated run, whole. Intervals are aggregated
+before any shuffle brings their members together, and stored before they are joined, so that a very common line or run
+can be split.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import small_batches, stored
+from .shared import discard, small_batches, stored
 
 MIN_WORDS = 50
 
@@ -108,8 +110,8 @@ def _stretches(least: int):
     return run
 
 
-def _ranked(rows: DataFrame, low: float, high: float, ranges: int = 1024) -> DataFrame:
-    """rows with r: how many rows have a smaller (a, b); a lies in [low, high).
+def _ranked(rows: DataFrame, low: float, high: float, ranges: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """rows with r: how many rows have a smaller (a, b); a lies in [low, high). Also the stored table of ranks.
 
     Distinct pairs are counted first; each range of a is summed for itself, and ranges are joined by their totals.
     """
@@ -118,7 +120,7 @@ def _ranked(rows: DataFrame, low: float, high: float, ranges: int = 1024) -> Dat
     below = pairs.groupBy("g").agg(F.sum("n").alias("t")).select("g", (F.sum("t").over(Window.orderBy("g")) - F.col("t")).alias("base"))  # a row per range
     inside = Window.partitionBy("g").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     names = pairs.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(below), "g").select("a", "b", (F.col("base") + F.col("before")).alias("r"))
-    return rows.join(names, ["a", "b"])
+    return rows.join(names, ["a", "b"]), pairs
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -129,11 +131,12 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     lines = stored(base.withColumn("key", F.xxhash64("text")).mapInArrow(_lines, _LINES), "lines")
-    often = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    often = stored(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
     own = Window.partitionBy("doc_id", "key").orderBy("q")
     rows = lines.join(often, "h").dropDuplicates(["doc_id", "key", "q"]).withColumn("part", F.col("q") - F.row_number().over(own))
     whole = rows.withColumn("all", F.sum("words").over(Window.partitionBy("doc_id", "key", "part"))).where(F.col("all") >= min_words)
     stretches = stored(whole.select("doc_id", "key", "part", "q", "line", "h", "words").sortWithinPartitions("doc_id", "key", "part", "q").mapInArrow(_stretches(min_words), _STRETCH), "stretches")
+    discard(lines, often)
     facts = stretches.agg(F.count("*").alias("n"), F.max(F.array_max("lens")).alias("longest")).first()
     named: list[DataFrame] = []
     of = ("doc_id", "key", "part")
@@ -141,38 +144,49 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for level in range((facts.longest or 0).bit_length()):
         bounds = (0.0, float(facts.n + 1)) if level else (-(2.0**63), 2.0**63)
         # a row per stretch: its suffixes in order, with their ranks
-        ranked = stored(_ranked(suffixes, *bounds).groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("x.q", "x.line", "x.lens", "r"))).alias("s")), "suffixes")
+        rows, pairs = _ranked(suffixes, *bounds)
+        ranked = stored(rows.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("x.q", "x.line", "x.lens", "r"))).alias("s")), "suffixes")
+        discard(pairs)
         # a run's name: the ranks of its first and its last 2**level lines
         names = F.expr(f"""inline(flatten(transform(s, (x, i) -> transform(filter(x.lens, n -> n >= {2**level} and n < {2 ** (level + 1)}),
             n -> named_struct('q', x.q, 'len', n, 'r1', x.r, 'r2', get(s, cast(i + n - {2**level} as int)).r, 'lines', transform(slice(s, i + 1, cast(n as int)), y -> y.line))))))""")
         named.append(ranked.select("doc_id", "key", names))
         # the pair of ranks at distance 2**level; past a stretch's end nothing repeats
-        pairs = F.expr(f"inline(transform(s, (x, i) -> named_struct('x', named_struct('q', x.q, 'line', x.line, 'lens', x.lens), 'a', x.r, 'b', coalesce(get(s, i + {2**level}).r, -1L))))")
-        suffixes = ranked.select(*of, pairs)
+        next_pair = F.expr(f"inline(transform(s, (x, i) -> named_struct('x', named_struct('q', x.q, 'line', x.line, 'lens', x.lens), 'a', x.r, 'b', coalesce(get(s, i + {2**level}).r, -1L))))")
+        suffixes = ranked.select(*of, next_pair)
     if not named:
         return stretches.select("doc_id", "key", F.array("line").alias("lines")).limit(0)
     runs = reduce(DataFrame.union, named)
     place = F.struct("doc_id", "key", "q")
-    first = runs.groupBy("r1", "r2", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stored(runs.groupBy("r1", "r2", "len").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     later = runs.join(first, ["r1", "r2", "len"]).where(place > F.col("first"))
-    return later.select("doc_id", "key", F.explode("lines").alias("line")).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    # lines that the first copy holds stay
+    shared_lines = F.expr("case when doc_id = first.doc_id and key = first.key then greatest(0L, first.q + len - q) else 0L end").cast("int")
+    rest = later.select("doc_id", "key", F.explode(F.slice("lines", shared_lines + 1, F.size("lines"))).alias("line"))
+    return rest.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated runs of lines taken out of the texts, and the columns n_lines, n_deleted.
 
     Every row stays and keeps its other columns; a null text stays null. Runs under ``min_words`` words stay, and so
-    does the first copy of each run, by (doc_id, line).
+    does the first copy of each run, by (doc_id, line), but for lines that belong to a later copy of another run. Rows of
+    equal doc_id and text are one document, so repeated rows lose the same lines; a null doc_id comes before all others.
+    Input columns named n_lines or n_deleted are replaced; any other names may stand beside. An empty table gives an
+    empty result.
     """
-    gone = later_copies(docs, id_col, text_col, min_words=min_words).withColumnsRenamed({"doc_id": "_id", "key": "_key", "lines": "_gone"})
-    text = F.col(f"`{text_col}`")
-    keyed = docs.withColumn("_of", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))))
-    out = keyed.join(gone, (F.col("_of") == F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    gone = later_copies(docs, id_col, text_col, min_words=min_words).select("doc_id", "key", F.col("lines").alias("gone"))
+    of = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row").getField(text_col)
+    of = of.select("row", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("key"))
+    out = of.join(gone, ["doc_id", "key"], "left")
     lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("_gone"))
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.element_at(lines, (i + 1).cast("int"))), "\n")
-    return out.withColumns({
+    made = {
+        text_col: F.when(F.col("gone").isNull(), text).otherwise(kept),
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_deleted": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-        text_col: F.when(F.col("_gone").isNull(), text).otherwise(kept),
-    }).drop("_of", "_id", "_key", "_gone")
+        "n_deleted": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"),
+    }
+    names = [*docs.columns, *(c for c in ("n_lines", "n_deleted") if c not in docs.columns)]
+    return out.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in names])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldproof.llm import byte_bpe, decontaminate, fingerprints, language_id, line_dedup, lm_score, near_dedup, secrets, sharding, toxicity
 from fieldproof.llm import kernels as K
-from fieldproof.llm.shared import components
+from fieldproof.llm.shared import components, stored
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, slot string, size string, node string"
@@ -356,7 +356,7 @@ def test_toxicity(spark, edges):
 
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 def line_brute(rows, least):
-    gone, seen = {i: set() for i, _ in rows}, set()
+    gone, seen = {i: set() for i, _ in rows}, {}
     for i, text in rows:
         lines = [(k, line.rstrip(" \t\n\r\x0b\x0c"), len(line.split())) for k, line in enumerate(text.split("\n"))]
         s, runs = [x for x in lines if x[2]], set()
@@ -371,8 +371,10 @@ def line_brute(rows, least):
         for a, b in sorted(runs):
             key = tuple(x[1] for x in s[a:b])
             if key in seen:
-                gone[i] |= {x[0] for x in s[a:b]}
-            seen.add(key)
+                doc, end = seen[key]
+                gone[i] |= {x[0] for x in s[max(a, end) if doc == i else a : b]}
+            else:
+                seen[key] = i, b
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
 
 
@@ -380,10 +382,31 @@ def test_line_dedup_against_brute_force(spark):
     r = random.Random(5)
     pool = [prose(r.randint(1, 9), i) for i in range(25)]
     rows = [(i, "\n".join(r.choice(["", *pool, *pool]) + r.choice(["", "", " ", "\r"]) for _ in range(r.randint(1, 40)))) for i in range(60)]
-    rows += [(60, rows[0][1]), (61, "x\n" + rows[1][1] + "\ny")]
-    for least in (3, 12, 30):
-        got = {x.doc_id: x.text for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=least).collect()}
-        assert got == line_brute(rows, least)
+    rows += [(60, rows[0][1]), (61, "x\n" + rows[1][1] + "\ny"), (62, "\n".join(["one line that stands here ten times over"] * 10))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_id", "_key", "_of", "_gone", "key", "lines", "row", "a.b")})
+    for least in (3, 30):
+        made = line_dedup.dedup(frame, min_words=least).collect()
+        assert {x.doc_id: x.text for x in made} == line_brute(rows, least)
+        assert all(x["_id"] == "_id" and x["_of"] == "_of" and x["a.b"] == "a.b" for x in made)
+
+
+def test_a_hot_key_is_split(spark):
+    """A line on half of all rows: the join of lines and common lines runs as a skewed join in parts."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+                "spark.sql.files.maxPartitionBytes": "32k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        lines = stored(spark.range(40_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 4000).alias("h"), F.col("id").alias("q")).repartition(8), "test")
+        for common, split in ((lines.groupBy("h").count().where("count > 1"), False), (stored(lines.groupBy("h").count().where("count > 1"), "test"), True)):
+            made = lines.join(common, "h").agg(F.sum("q"))
+            made.collect()
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert ("skew=true" in plan) == split, plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_line_dedup_edges(spark, edges):
