@@ -1,7 +1,7 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
-Documents are sets of distinct five-word shingles. Equal sets become one class first, so a group of copies costs one
-row. Each class has minwise values. The roots of ROOTS independent trees split all classes by one minwise value each;
+Documents are sets of distinct five-word shingles. Equal sets become one class first, with a number of its own, so a
+group of copies costs one row. Each class has minwise values. The roots of ROOTS independent trees split all classes by one minwise value each;
 deeper levels split each large node by two minwise values that the node's own hash chooses among its level's own, so
 that no path meets one twice. Nodes of at most ``leaf`` classes are compared exhaustively on sketches. In a larger node
 all classes are compared with a pivot; with d = 1 - likeness, a metric, what is within 0.2 of the pivot goes no deeper,
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import components, stored, text_column
+from .shared import components, discard, stored, text_column
 
 SKETCH = 128  # minwise values kept at 8 bits, for estimates
 ROOTS = 12  # minwise values kept at 32 bits, for the root level's branches
@@ -61,24 +61,29 @@ def distinct_sets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.concatenate(([0], np.cumsum(sizes)))
 
 
+def set_names(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each text's set."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(values, dtype=np.uint64)))
+        other = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(values + np.uint64(99)), dtype=np.uint64)))
+        return total[bounds[1:]] - total[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]] + np.diff(bounds).astype(np.uint64)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.chunks(batch, "text"):
             values, bounds = distinct_sets(*K.text_shingles(part.column("text")))
             size = np.diff(bounds)
             some = np.flatnonzero(size)
-            with np.errstate(over="ignore"):
-                total = np.concatenate(([np.uint64(0)], np.cumsum(values, dtype=np.uint64)))
-                other = np.concatenate(([np.uint64(0)], np.cumsum(K.mix(values + np.uint64(99)), dtype=np.uint64)))
-                k1, k2 = total[bounds[1:]] - total[bounds[:-1]], other[bounds[1:]] - other[bounds[:-1]] + size.astype(np.uint64)
+            k1, k2 = set_names(values, bounds)
             rows = minwise(values, bounds[np.concatenate((some, [len(size)]))]) if len(some) else np.empty((0, _BYTES), np.uint8)
             sketch: list[bytes | None] = [None] * len(size)
             for i, row in zip(some, rows):
                 sketch[i] = row.tobytes()
             none = size == 0
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size), pa.array(k1.view(np.int64), mask=none), pa.array(k2.view(np.int64), mask=none), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "sketch"])
+                [part.column("doc_id"), part.column("key"), pa.array(size), pa.array(k1.view(np.int64), mask=none), pa.array(k2.view(np.int64), mask=none), pa.array(sketch, pa.binary())],
+                names=["doc_id", "key", "n_shingles", "k1", "k2", "sketch"])
 
 
 def _node(*parts: np.ndarray | int) -> np.ndarray:
@@ -217,11 +222,14 @@ def candidate_links(reps: DataFrame, leaf: int, coarse: float, pivot_coarse: flo
     """Links (u, v) between classes that resemble each other by sketch: per node a spanning forest or a star."""
     least, star, most = int(coarse * SKETCH), int(pivot_coarse * SKETCH), int(np.ceil(absorbed * SKETCH))
     rows = reps.mapInArrow(_roots, "node long, rep long")
-    stars, leaves = [], []
+    stars, leaves, kept = [], [], []
     for level in range(depth):
         rows = stored(rows, "nodes")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.expr("min_by(rep, xxhash64(rep, node))").alias("pivot")).where("size > 1")
+        # a very common value's node is joined to its stored size, so that it can be split
+        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("size"), F.expr("min_by(rep, xxhash64(rep, node))").alias("pivot")).where("size > 1"), "sizes")
         members = stored(rows.join(sizes, "node").join(reps, "rep"), "members")
+        discard(rows, sizes)
+        kept.append(members)
         leaves.append(members.where(F.col("size") <= leaf).select("node", "rep", "sketch"))
         big = members.where(F.col("size") > leaf)
         if big.isEmpty():
@@ -231,16 +239,21 @@ def candidate_links(reps: DataFrame, leaf: int, coarse: float, pivot_coarse: flo
                       .mapInArrow(_compare_pivots(star, most, level, depth), "node long, u long, v long, parent long, far boolean"), "step")
         # a node that is nearly all one star becomes one cluster; the others, a row per large node, go on
         ended = stored(step.where("node is null").groupBy("parent").agg(F.expr("64 * count_if(far) <= count(*)").alias("ended")), "ended")
+        kept += [step, ended]
         stars.append(step.where("node is null").join(F.broadcast(ended), "parent").where("ended or not far").select("u", "v"))
         rows = step.where("node is not null").join(F.broadcast(ended), "parent").where("not ended").select("node", F.col("u").alias("rep"))
     else:
         # what no level has split
         rows = stored(rows, "nodes")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = stored(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        kept += [rows, sizes]
         members = rows.join(sizes, "node").join(reps, "rep")
         leaves.append(_cells(members, leaf).select("node", "rep", "sketch"))
     small = reduce(DataFrame.union, leaves)
-    return reduce(DataFrame.union, stars, small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small(least), "u long, v long"))
+    links = reduce(DataFrame.union, stars, small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_small(least), "u long, v long"))
+    out = stored(links.distinct(), "candidates")
+    discard(*kept)
+    return out
 
 
 def _bitmap(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
@@ -255,7 +268,7 @@ def _bitmap(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
 
 
 def _sets(filtered):
-    """(rep, shingles) of the documents whose place in the bitmap is set."""
+    """(k1, k2, shingles) of the documents whose place in the bitmap is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = filtered.value
@@ -264,8 +277,9 @@ def _sets(filtered):
             batch = batch.filter(pa.array((words[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)))
             for part in K.chunks(batch, "text"):
                 values, bounds = distinct_sets(*K.text_shingles(part.column("text")))
+                k1, k2 = set_names(values, bounds)
                 sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([K.as_i64(k1), K.as_i64(k2), pa.array(sets, pa.binary())], names=["k1", "k2", "shingles"])
 
     return run
 
@@ -386,45 +400,72 @@ def _large_clusters(sets: DataFrame, num: int, den: int, pivots: int = 32, block
     return first.union(_compared(sets.join(rest, "rep"), members, num, den))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, num: int = 75, den: int = 100, leaf: int = 2048,
-                    coarse: float = 0.58, pivot_coarse: float = 0.48, absorbed: float = 0.8, depth: int = 12, most_shingles: int = 1_500_000) -> DataFrame:
-    """doc_id, n_shingles (set size), component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
+def _classes(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, leaf: int, coarse: float, pivot_coarse: float, absorbed: float, depth: int, most_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(features, classes): the rows' set names, and per set its group's smallest doc_id and its first row.
 
-    Links join documents with den * |A & B| >= num * |A | B|; A and B are sets of five-word shingles. A text of one to
-    four words is one shingle; an empty, blank or null text has none and stays alone, linked with nothing. Repeated
-    rows keep their rows and share a group; a null doc_id never names a group but its row is returned (component null,
-    kept null). An empty table gives an empty result. Further columns are ignored.
+    features: doc_id, key (the text's hash), n_shingles, k1, k2. classes: k1, k2, component_id, first (doc_id, key).
     """
-    base = text_column(docs, id_col, text_col)
-    features = stored(base.mapInArrow(_features, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "features")
-    classes = features.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = stored(features.where("k1 is not null").join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-                  .select(F.col("doc_id").alias("rep"), "sketch").dropDuplicates(["rep"]), "classes")
-    links = candidate_links(reps, leaf, coarse, pivot_coarse, absorbed, depth)
+    base = text_column(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    features = stored(base.mapInArrow(_features, "doc_id long, key long, n_shingles long, k1 long, k2 long, sketch binary"), "features")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    grouped = features.where("k1 is not null").groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("sketch").alias("sketch"))
+    # once written, the numbers stay what they are
+    classes = stored(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    links = candidate_links(classes.select("rep", "sketch"), leaf, coarse, pivot_coarse, absorbed, depth)
     clusters = stored(components(links).select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "clusters")
-    some = docs.sparkSession.sparkContext.broadcast(_bitmap(clusters.select("rep")))
-    place = F.expr(f"pmod(xxhash64(doc_id), {len(some.value) * 32})").alias("place")
-    sets = base.select("doc_id", "text", place).mapInArrow(_sets(some), "rep long, shingles binary").dropDuplicates(["rep"]).join(clusters, "rep")
-    sets = stored(sets, "sets")
+    discard(links)
+    named = stored(clusters.join(classes.select("rep", "k1", "k2", "first"), "rep"), "clustered")
+    some = docs.sparkSession.sparkContext.broadcast(_bitmap(named.select(F.xxhash64("first.doc_id", "first.key").alias("rep"))))
+    at = F.expr(f"pmod(xxhash64(xxhash64(doc_id, key)), {len(some.value) * 32})").alias("place")
+    sets = base.select("text", at).mapInArrow(_sets(some), "k1 long, k2 long, shingles binary").dropDuplicates(["k1", "k2"])
+    sets = stored(sets.join(named.select("k1", "k2", "rep", "cluster"), ["k1", "k2"]).select("rep", "cluster", "shingles"), "sets")
     weight = sets.groupBy("cluster").agg(F.sum(F.length("shingles") / 8).alias("weight"))
     heavy = stored(weight.where(F.col("weight") > most_shingles).select("cluster"), "heavy")
     confirmed = sets.join(heavy, "cluster", "left_anti").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_exact(num, den), "u long, v long")
-    # a cluster's links all come from its one task, each to the smallest id of its group
+    # a cluster's links all come from its one task, each to the smallest number of its group
     groups = confirmed.select(F.col("u").alias("node"), F.col("v").alias("root"))
     if not heavy.isEmpty():
         groups = groups.union(components(_large_clusters(sets.join(heavy, "cluster", "left_semi"), num, den)))
-    known = classes.select("k1", "k2", "rep").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component_id"))
-    out = features.select("doc_id", "n_shingles", "k1", "k2").join(known, ["k1", "k2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
+    groups = stored(groups, "groups")
+    discard(clusters, named, sets, heavy)
+    own = classes.select("rep", "k1", "k2", "first")
+    rooted = stored(own.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", "first", F.coalesce("root", "rep").alias("root")), "rooted")
+    first = stored(rooted.groupBy("root").agg(F.min("first").alias("first")), "firsts")
+    return features.drop("sketch"), rooted.select("k1", "k2", "root").join(first, "root").select("k1", "k2", F.col("first.doc_id").alias("component_id"), F.struct("first.doc_id", "first.key").alias("first"))
+
+
+_DEFAULTS = {"num": 75, "den": 100, "leaf": 2048, "coarse": 0.58, "pivot_coarse": 0.48, "absorbed": 0.8, "depth": 12, "most_shingles": 1_500_000}
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """doc_id, n_shingles (set size), component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
+
+    Parameters and their defaults: num 75 and den 100 (links join documents with den * |A & B| >= num * |A | B|, where A
+    and B are sets of five-word shingles), leaf, coarse, pivot_coarse, absorbed, depth (of the search) and most_shingles
+    (of a cluster that one task confirms). A text of one to four words is one shingle; an empty, blank or null text has
+    none and stays alone, linked with nothing. Each row's own text decides, also where a doc_id stands on several.
+    Repeated rows keep their rows and share a group. Rows with a null doc_id take part in links but never name a group;
+    their component and kept are null where no row of their group has a doc_id, and kept is null always. An empty table
+    gives an empty result. Further columns are ignored.
+    """
+    features, classes = _classes(docs, id_col, text_col, **_DEFAULTS | parameters)
+    out = features.join(classes.drop("first"), ["k1", "k2"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """docs with one document of each near-duplicate group, the one of the smallest id, in one row.
+    """docs with one row of each near-duplicate group: that of the smallest doc_id, or of the smallest text hash.
 
-    Documents without words stay. Rows that share a kept id become one row; rows with a null id all stay.
+    Documents without words stay, all of them but rows equal in id and text to another. A group without any doc_id
+    keeps a row too. Of rows equal in id and text one stays, whatever their other columns are.
     """
-    away = near_duplicates(docs, id_col, text_col, **parameters).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    rest = docs.join(away, id_col, "left_anti")
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        return rest
-    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(rest.where(F.col(id_col).isNull()))
+    features, classes = _classes(docs, id_col, text_col, **_DEFAULTS | parameters)
+    own = F.struct("doc_id", "key")
+    away = features.join(classes, ["k1", "k2"]).where(~own.eqNullSafe(F.col("first"))).select("doc_id", "key").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row").getField(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col("row").getField(text_col).cast("string")).alias("key"))
+    a, b = rows.alias("a"), away.alias("b")
+    rest = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
+    if not features.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        rest = rest.dropDuplicates(["doc_id", "key"])
+    return rest.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
