@@ -12,12 +12,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import text_column
+from .shared import discard, stored, text_column
 
 SIZE = 128
 
@@ -111,23 +112,32 @@ def merge_parts(parts: DataFrame, key: str, size: int = SIZE) -> DataFrame:
     return out
 
 
-def _heads(ids: DataFrame, ranges: int) -> tuple[list[int], list[int], dict[int, int]]:
-    """Bounds of id ranges, the largest id of each non-empty range, and for each such id the range before it.
+def _heads(keys: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first key (a, b) of each of about so many ranges of rows, in order: 16 bytes per task of the main pass."""
+    dealt = keys.repartitionByRange(ranges, "a", "b").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("a", "b")).alias("head"))
+    found = sorted({(r.head.a, r.head.b) for r in dealt.collect()})
+    return np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64)
 
-    Ranges hold about the same number of rows; there are ``ranges`` at most, so this is bounded whatever the input.
-    """
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)} if ranges > 1 else set())
-    tops = ids.groupBy(_range(cuts).alias("r")).agg(F.max("doc_id").alias("top")).orderBy(F.desc("r")).collect()
-    above = {row.top: tops[i - 1].r for i, row in enumerate(tops)}  # the first follows the last
-    return cuts, [row.top for row in tops], above
 
+def _ranges(sent):
+    """Of keys (a, b): twice the range they lie in, and one more for the first key of a range."""
+
+    @F.pandas_udf("long")
+    def place(a: pd.Series, b: pd.Series) -> pd.Series:
+        heads_a, heads_b = sent.value
+        a, b = a.to_numpy(np.int64), b.to_numpy(np.int64)
+        low, high = np.searchsorted(heads_a, a, "left"), np.searchsorted(heads_a, a, "right")
+        at = low - 1
+        for i in np.flatnonzero(high > low):  # ids that begin a range, or fill several
+            at[i] = low[i] + np.searchsorted(heads_b[low[i] : high[i]], b[i], "right") - 1
+        at = np.maximum(at, 0)
+        return pd.Series(2 * at + ((heads_a[at] == a) & (heads_b[at] == b)))
 
-def _range(cuts: list[int]):
-    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    return place.asNondeterministic()
 
 
 def _edit(size: int):
-    """Rows of whole ranges in falling doc_id, each range ended by the document that follows it (guest)."""
+    """Rows of whole ranges in order, each range ended by the document that follows it (guest)."""
 
     def _edited_rows(out: list) -> pa.RecordBatch:
         cuts = [len(a[1]) // 3 for a, _ in out]
@@ -160,29 +170,35 @@ def _edit(size: int):
     return run
 
 
-def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, rows_per_range: int = 2000, most_ranges: int = 4096) -> DataFrame:
+def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SIZE, range_bytes: int = 64 << 20, least_tasks: int = 32) -> DataFrame:
     """Fingerprints of each text, of its edited text and their likeness, and the likeness to the next text.
 
     The next document is the one of the next smaller doc_id; after the smallest comes the largest. The edited text has
     its last floor(n / 3) code points replaced by the next text's first as many, or all of them where it has fewer. A
-    null text reads as empty. Rows of the same doc_id follow each other by text; rows without a doc_id have no place in
-    the order and are left out. One document alone follows itself; an empty table gives an empty result.
+    null text reads as empty. Rows of the same doc_id follow each other by their texts' hashes; rows without a doc_id come
+    after all others, likewise. One document alone follows itself; an empty table gives an empty result.
 
-    Documents are dealt out once by ranges of doc_id. The first document of each range is dealt to the range before it
-    too, so that no row needs a look into another task.
+    Documents are dealt out once by ranges of (doc_id, text hash) of about ``range_bytes``, so that an id on very many
+    rows fills several; there are ``least_tasks`` where these have a megabyte each. The first document of each range is
+    dealt to the range before it too, so that no row needs a look into another task.
     """
-    base = text_column(docs, id_col, text_col).where("doc_id is not null")
-    ids = base.select("doc_id")
-    count = ids.count()
-    cuts, tops, above = _heads(ids, max(1, min(most_ranges, count // rows_per_range)))
-    if not tops:
+    base = text_column(docs, id_col, text_col)
+    lowest = F.lit(-(2**63)).cast("long")
+    a, b = F.bitwise_not(F.coalesce("doc_id", lowest)), F.xxhash64("text")
+    keys = stored(base.select(a.alias("a"), b.alias("b"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")), "order")
+    total = keys.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    if not total.rows:
         return base.mapInArrow(_edit(size), _SCHEMA)
-    own = F.struct(_range(cuts).alias("r"), F.lit(False).alias("guest"))
-    before = F.element_at(F.create_map(*[F.lit(x) for pair in above.items() for x in pair]), F.col("doc_id"))
-    to = F.when(F.col("doc_id").isin(tops), F.array(own, F.struct(before.alias("r"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    rows = base.select("doc_id", "text", F.explode(to).alias("to")).select("to.r", "to.guest", "doc_id", "text")
-    dealt = rows.repartitionById(len(cuts) + 1, F.col("r"))
-    return dealt.sortWithinPartitions("r", "guest", F.desc("doc_id"), "text").mapInArrow(_edit(size), _SCHEMA)
+    heads = _heads(keys, max(1, total.n // range_bytes, min(least_tasks, total.n >> 20)))
+    discard(keys)
+    n = len(heads[0])
+    placed = base.select("doc_id", "text", a.alias("a"), b.alias("b")).withColumn("at", _ranges(docs.sparkSession.sparkContext.broadcast(heads))("a", "b"))
+    own, before = F.expr("at div 2").cast("int"), F.expr(f"pmod(at div 2 - 1, {n})").cast("int")
+    to = F.when(F.expr("at % 2 = 1"), F.array(F.struct(own.alias("r"), F.lit(False).alias("guest")), F.struct(before.alias("r"), F.lit(True).alias("guest")))).otherwise(
+        F.array(F.struct(own.alias("r"), F.lit(False).alias("guest"))))
+    rows = placed.select("doc_id", "text", "a", "b", F.explode(to).alias("to")).select("to.r", "to.guest", "a", "b", "doc_id", "text")
+    dealt = rows.repartitionById(n, F.col("r"))
+    return dealt.sortWithinPartitions("r", "guest", "a", "b").select("r", "guest", "doc_id", "text").mapInArrow(_edit(size), _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
