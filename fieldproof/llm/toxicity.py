@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import text_column
+from .shared import discard, stored, text_column
 
 BITS = 20
 INSIDE = 5
@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         named = named.where(~held_out)
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picks = [named.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    # at most 2 * per_class rows of two numbers
-    sample = text_column(docs, id_col, text_col).join(F.broadcast(picks[0].union(picks[1])), "doc_id").select("toxic", "text")
+    # at most 2 * per_class rows of two numbers; their texts are read three times
+    sample = stored(text_column(docs, id_col, text_col).join(F.broadcast(picks[0].union(picks[1])), "doc_id").select("toxic", "text"), "sample")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     out = np.zeros(1 << BITS, np.float32)
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     r = np.log((bad + 1) / (good * (n_bad / n_good) + 1))
     rows = sample.mapInArrow(_sample_rows(docs.sparkSession.sparkContext.broadcast(names)), "toxic int, features binary").toArrow()
     y = np.asarray(rows.column("toxic")).astype(np.float64)
+    discard(sample)
     raw, off = K.text_bytes(rows.column("features"))
     idx = raw.view(np.int32)
     own = np.repeat(np.arange(len(y)), np.diff(off) // 4)

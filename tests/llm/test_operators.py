@@ -483,6 +483,44 @@ def test_language_id(spark, edges):
     assert {r.lang_pred for r in language_id.predict(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def kneser_ney_plain(counts, discount=0.75):
+    """log P(last | before) of one language by the textbook recursion, over dictionaries of tuples."""
+    tables = [counts]
+    for _ in range(3):
+        lower = Counter()
+        for gram in tables[-1]:
+            lower[gram[1:]] += 1
+        tables.append(lower)
+    tables = tables[::-1]  # by order 1 to 4
+
+    def prob(gram, floor):
+        if not gram:
+            return floor
+        table = tables[len(gram) - 1]
+        followers = [n for g, n in table.items() if g[:-1] == gram[:-1]]
+        lower = prob(gram[1:], floor)
+        if not followers:
+            return lower
+        return max(table.get(gram, 0) - discount, 0) / sum(followers) + discount * len(followers) / sum(followers) * lower
+
+    return prob, {g[-1] for g in tables[0]}
+
+
+def test_kneser_ney_against_the_plain_recursion():
+    texts = {"x": "abra cadabra abracadabra brab", "y": "cada rabbit barcarole aab 𐐨𐐩𐐨 abra"}
+    counts = {lang: np.unique(np.concatenate(list(language_id.keys(pa.array([t])))), return_counts=True) for lang, t in texts.items()}
+    unit = lambda code: tuple(int(code) >> s & 0xFFFF for s in (48, 32, 16, 0))
+    plain = {lang: kneser_ney_plain(Counter({unit(c): int(n) for c, n in zip(*counts[lang])})) for lang in texts}
+    floor = 1 / (len(plain["x"][1] | plain["y"][1]) + 1)
+    codes = np.unique(np.concatenate([*(c for c, _ in counts.values()), np.array([0x0061006200630064, 0x00200020007A0061], np.uint64)]))
+    for dense in (1 << 20, 0):  # rows of all languages, and lists of pairs
+        models = language_id.train(counts, dense_bytes=dense)
+        assert (models.grams is None) == (dense == 0)
+        made = models.rows(codes)
+        for j, lang in enumerate(models.languages):
+            assert np.allclose(made[:, j], [math.log(plain[lang][0](unit(c), floor)) for c in codes], atol=1e-4)
+
+
 def test_kneser_ney_is_a_distribution():
     text = pa.array([prose(400, 1)])
     codes = np.concatenate(list(language_id.keys(text)))
@@ -491,7 +529,19 @@ def test_kneser_ney_is_a_distribution():
     for context in (codes[10] >> np.uint64(16), codes[200] >> np.uint64(16), np.uint64(0x000100020003)):
         made = np.array([(int(context) << 16) & (2**64 - 1) | u for u in units], np.uint64)
         total = np.exp(models.rows(made)[:, 0].astype(float)).sum()
-        assert 0.97 < total <= 1.0001  # what is left is for characters never seen
+        assert 0.97 < total <= 1.0001  # what is left is for units never seen
+
+
+def test_letters_beyond_the_basic_plane_keep_apart():
+    a, b = (np.concatenate(list(language_id.keys(pa.array([t])))) for t in ("𐐨", "\u0428"))  # the same low 16 bits
+    assert len(a) == 2 and len(b) == 1 and not set(a.tolist()) & set(b.tolist())
+
+
+def test_language_quality_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.collect() if r.lang}
+    held = [r for r in language_id.predict(docs).collect() if r.held_out and r.doc_id in truth and r.lang_pred != "und"]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held) > 20
 
 
 # -- 10 --------------------------------------------------------------------------------------------------------------
