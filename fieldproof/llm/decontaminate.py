@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import small_batches, text_column
+from .shared import small_batches, stored, text_column
 
 RATE = 0.1
 #: Benchmark text sent to executors at once; more items go in further passes.
@@ -216,21 +217,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     base = text_column(docs, id_col, text_col)
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, distance long, start long, stop long"
-    made = [base.mapInArrow(_find(spark.sparkContext.broadcast(block), rate), schema) for block in _blocks(benchmark, item_col, text_col, block_bytes)]
-    return reduce(DataFrame.union, made) if made else spark.createDataFrame([], schema)
+    blocks = _blocks(benchmark, item_col, text_col, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], _MATCH)
+    if second is None:
+        return base.mapInArrow(_find(spark.sparkContext.broadcast(first), rate), _MATCH)
+    made = []
+    # one block after the other is in the driver's and the executors' memory; matches are written block by block
+    for block in chain((first, second), blocks):
+        sent = spark.sparkContext.broadcast(block)
+        made.append(stored(base.mapInArrow(_find(sent, rate), _MATCH), "matches"))
+        sent.destroy()
+    return reduce(DataFrame.union, made)
+
+
+_MATCH = "doc_id long, item_id long, distance long, start long, stop long"
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of docs whose text holds no test item."""
+    """The rows of docs whose text holds no test item.
+
+    Items of one block are looked for where the rows are. With more blocks, texts are named by their hash, each
+    block's finds are written, and the rows found go in one join at the end.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rate = parameters.get("rate", RATE)
-    out = docs
-    for block in _blocks(benchmark, parameters.get("item_col", "item_id"), "text", parameters.get("block_bytes", BLOCK_BYTES)):
-        find = _find(spark.sparkContext.broadcast(block), rate)
-
-        def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
+    blocks = _blocks(benchmark, parameters.get("item_col", "item_id"), "text", parameters.get("block_bytes", BLOCK_BYTES))
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        find = _find(spark.sparkContext.broadcast(first), rate)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in K.chunks(batch, text_col):
                     numbered = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows), pa.int64()), part.column(text_col)], names=["doc_id", "text"])
@@ -239,5 +260,14 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
                         clean[np.asarray(hits.column("doc_id"))] = False
                     yield part.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return docs.mapInArrow(run, docs.schema)
+    key = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    texts = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = []
+    for block in chain((first, second), blocks):
+        sent = spark.sparkContext.broadcast(block)
+        found.append(stored(texts.mapInArrow(_find(sent, rate), _MATCH).select("doc_id").distinct(), "found"))
+        sent.destroy()
+    away = reduce(DataFrame.union, found).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("doc_id"))
+    return rows.join(away, "doc_id", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

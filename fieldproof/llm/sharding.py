@@ -4,11 +4,14 @@ A record's hash decides its virtual slot, for ever. Bytes are added up per slot,
 shard holds each slot. Version 1 deals slots out in turn; rebalancing edits the table: each shard keeps its heaviest
 slots up to an equal share, and what is over goes, heaviest first, to the shard with the least bytes. Growing to more
 shards is the same edit with a smaller share. Everything is DataFrame and SQL functions; the table has a row per slot.
+
+The table is kept between runs with :func:`save_map` and given back with :func:`load_map`: only what the bytes of the
+day ask for moves then.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
@@ -36,6 +39,27 @@ def first_map(loads: DataFrame, shards: int) -> DataFrame:
     return loads.select(F.lit(1).alias("version"), "virtual_slot", F.pmod("virtual_slot", F.lit(shards)).cast("int").alias("shard"), "bytes", "rows")
 
 
+def save_map(table: DataFrame, path: str) -> None:
+    """Add the versions of the table that the folder lacks; versions that are there stay as they are."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        last = spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
+        table = table.where(F.col("version") > last)
+    table.write.mode("append").partitionBy("version").parquet(path)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(version, virtual_slot, shard) of a version, the last one if none is named."""
+    every = spark.read.parquet(path).select("version", "virtual_slot", "shard")
+    return every.where(F.col("version") == (every.agg(F.max("version")).first()[0] if version is None else version))
+
+
+def with_loads(table: DataFrame, loads: DataFrame) -> DataFrame:
+    """A table (version, virtual_slot, shard) with the bytes and rows that its slots hold now."""
+    return table.select("version", "virtual_slot", "shard").join(loads, "virtual_slot").select("version", "virtual_slot", "shard", "bytes", "rows")
+
+
 def rebalanced(table: DataFrame, shards: int) -> DataFrame:
     """The next version of the table for ``shards`` shards; slots move only where a shard has more than its share."""
     share = table.agg((F.sum("bytes") / shards).alias("share"))
@@ -67,14 +91,25 @@ def assign(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.withColumn("_n", place).join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.col("start") + F.col("_n") - 1).drop("start", "_n")
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot per row; the law is ``bytes``.
 
-    Size is the text's UTF-8 bytes (none for null) plus 16. Equal rows lie in one virtual slot, each at its own place;
-    a null doc_id is hashed like any other value; an empty table gives an empty result.
+    Size is the text's UTF-8 bytes (none for null) plus 16. A row's virtual slot is a hash of its id and text, so copies
+    of one text are spread like any other rows. Equal rows lie in one virtual slot, each at its own place; a null doc_id
+    is hashed like any other value; an empty table gives an empty result. With ``map_path`` the slot-to-shard table of
+    the last run there is where this one starts from, and its edited version is added there.
     """
     rows = stored(records(docs, id_col, text_col, slots), "records")
-    first = first_map(slot_loads(rows, slots), shards)
-    table = stored(first.union(rebalanced(first, shards)), "slot-map", ("version",))
-    out = assign(rows, table.where("version = 2"))
+    loads = slot_loads(rows, slots)
+    spark = docs.sparkSession
+    known = None
+    if map_path is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(map_path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            known = with_loads(load_map(spark, map_path), loads)
+    start = first_map(loads, shards) if known is None else known
+    table = stored(start.union(rebalanced(start, shards)), "slot-map", ("version",))
+    if map_path is not None:
+        save_map(table, map_path)
+    out = assign(rows, table.where(F.col("version") == table.agg(F.max("version")).first()[0]))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

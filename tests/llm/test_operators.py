@@ -98,6 +98,17 @@ def test_growing_moves_only_what_is_over_the_share(spark):
     assert moved < 0.35 and set(grown.version) == {3} and set(grown.shard) == set(range(5))
 
 
+def test_the_slot_map_is_kept_between_runs(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, prose(3 + i % 40, i)) for i in range(1500)]
+    before = {r.doc_id: r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8, slots=512, map_path=path).collect()}
+    more = rows + [(i, prose(3 + i % 40, i)) for i in range(1500, 1600)]
+    after = {r.doc_id: r.shard for r in sharding.shard(spark.createDataFrame(more, "doc_id long, text string"), shards=8, slots=512, map_path=path).collect()}
+    assert sum(before[i] != after[i] for i in before) < 0.15 * len(before)
+    assert sorted(r.version for r in spark.read.parquet(path).select("version").distinct().collect()) == [1, 2, 3]
+    assert sharding.load_map(spark, path).count() == 512 and sharding.load_map(spark, path, 1).where("shard != pmod(virtual_slot, 8)").count() == 0
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("range_bytes", [1 << 26, 40_000, 500])
 def test_fingerprints_against_sets(spark, edges, range_bytes):
@@ -356,12 +367,30 @@ def test_toxicity(spark, edges):
     truth = held.doc_id.astype(int) % 4 == 0
     assert ((held.predicted == 1) == truth).mean() > 0.97
     assert all(h == (zlib.crc32(str(int(i)).encode()) % 3 == 1) for i, h in zip(held.doc_id, held.held_out))
+    # each score is the sum of its features' weights, by a plain walk over the text
+    model = toxicity.fit(docs.union(edges), labels, held_out=toxicity.fold("doc_id", 3, 1))
+    plain = lambda t: {("in", g) for k in range(len(t) - 4) for g in [t[k : k + 5]]} | {("start", n, w[:n]) for w in re.findall(rb"[^ ]+", t) for n in range(3, 11) if len(w) >= n}
+    by_id = dict(zip(got.doc_id, got.score))
+    for i, text, *_ in rows[20:45]:
+        folded = re.sub(rb"[^a-z\x80-\xff]", b" ", text.encode().lower())
+        own = next(toxicity.features(pa.array([text])))
+        assert abs(len(own) - len(plain(folded))) <= 0.01 * len(own) + 2  # hashed to a million places
+        assert abs(by_id[i] - 1 / (1 + math.exp(-(model[0][own].sum(dtype=float) + model[1])))) < 1e-9
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns and abs(kept.count() - 300) <= 5
     assert toxicity.classify(empty(spark), labels).count() == 0
     assert toxicity.classify(docs.limit(3), labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in toxicity.classify(docs, labels).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    right = sum(p == t for p, t in held) / len(held)
+    caught = sum(p for p, t in held if t) / sum(t for _, t in held)
+    assert len(held) > 100 and right > 0.92 and caught > 0.7, (right, caught)
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 def line_brute(rows, least):
     gone, seen = {i: set() for i, _ in rows}, {}
@@ -461,6 +490,8 @@ def test_decontamination_against_brute_force(spark, edges):
     bench = spark.createDataFrame(items, "item_id long, text string")
     clean = decontaminate.without_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=200)
     assert {x.doc_id for x in clean.collect()} == {n for n, _ in rows} - {n for n, _ in got}
+    in_blocks = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=200).collect()
+    assert sorted(map(tuple, in_blocks)) == sorted(map(tuple, got.values()))
     assert decontaminate.contaminated(edges, bench).count() == 0 and decontaminate.contaminated(edges, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
 
