@@ -1,4 +1,4 @@
-"""Command line: generate, run, evaluate, compare, registry, cost, verify-audit."""
+"""Command line: generate, run, evaluate, compare, list, registry, cost, verify-audit."""
 
 from __future__ import annotations
 
@@ -38,6 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     c = sub.add_parser("compare")
     c.add_argument("run_dirs", nargs="+")
     c.add_argument("--out")
+    sub.add_parser("list").add_argument("--runs-dir", default="runs")
     rg = sub.add_parser("registry")
     rg.add_argument("action", choices=["build", "show", "promote"])
     rg.add_argument("name", nargs="?")
@@ -53,17 +54,19 @@ def main(argv: list[str] | None = None) -> int:
     v = sub.add_parser("verify-audit")
     v.add_argument("run_dir")
     a = p.parse_args(argv)
-    if a.verb == "compare":
-        text = runs.compared(a.run_dirs)
-        print(text)
-        if a.out:
-            Path(a.out).write_text(text, encoding="utf-8")
-        return 0
     if a.verb == "registry" and a.action == "show":
         print(Path(a.path).read_text(encoding="utf-8"))
         return 0
     spark = session()
-    if a.verb == "generate":
+    if a.verb == "compare":
+        text = runs.compared(spark, a.run_dirs)
+        print(text)
+        if a.out:
+            Path(a.out).write_text(text, encoding="utf-8")
+    elif a.verb == "list":
+        for row in runs.listed(spark, a.runs_dir):
+            print(json.dumps(row))
+    elif a.verb == "generate":
         print(json.dumps(runs.generate(spark, a.out, {k: getattr(a, k) for k in ("train", "val", "test", "holdout", "rl")}, a.fair_sets, a.fair_variants, a.seed), indent=2))
     elif a.verb in ("run", "evaluate"):
         folder = runs.run(spark, a.data, a.split, a.runs_dir, a.run_id, a.limit, a.bias_group, a.bias_strength) if a.verb == "run" else Path(a.run_dir)

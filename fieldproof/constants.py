@@ -56,8 +56,3 @@ HEADLINE = (
     ("mean_reward", "Mean reward", True),
 )
 REGISTRY_METRICS = ("field_accuracy", "grounded_accuracy", "hallucination_rate", "miss_rate", "doc_exact_match", "mean_reward", "latency_ms_p50")
-
-#: date patterns in the order in which they are tried; a two-digit year comes last.
-DATE_PATTERNS = (
-    "yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMM. d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/M/d",
-)

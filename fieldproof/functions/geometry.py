@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import PAGE_HEIGHT, PAGE_WIDTH
+from .text import rounded
 
 
 def _side(box: Column, low: int) -> Column:
@@ -48,11 +49,11 @@ def text_in_box(layout: Column, box: Column, least: float = 0.5) -> Column:
 def sorted_corners(box: Column, digits: int = 1) -> Column:
     """Corners in rising order, rounded; null unless there are four numbers."""
     made = F.array(F.least(box[0], box[2]), F.least(box[1], box[3]), F.greatest(box[0], box[2]), F.greatest(box[1], box[3]))
-    return F.when(F.size(box) == 4, F.transform(made, lambda x: F.round(x, digits)))
+    return F.when(F.size(box) == 4, F.transform(made, lambda x: rounded(x, digits)))
 
 
 def scaled(box: Column, sx: Column, sy: Column) -> Column:
-    return F.transform(box, lambda x, i: F.round(x * F.when(i % 2 == 0, sx).otherwise(sy), 1))
+    return F.transform(box, lambda x, i: rounded(x * F.when(i % 2 == 0, sx).otherwise(sy), 1))
 
 
 def rotated(box: Column, degrees: Column, width: float = PAGE_WIDTH, height: float = PAGE_HEIGHT) -> Column:

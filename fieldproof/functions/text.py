@@ -1,7 +1,8 @@
 """Normal forms of values.
 
 Spark has no NFKC, NFKD or case folding, so these run as pandas UDFs over plain Python functions; each call normalises
-an array, so one row costs one call; they are marked so that the planner never evaluates a call twice. The UDFs are total: they never raise, as Spark may evaluate them outside a guard.
+an array, so one row costs one call, and a worker keeps the forms of texts that come again. They are marked so that the
+planner never evaluates a call twice. The UDFs are total: they never raise, as Spark may evaluate them outside a guard.
 """
 
 from __future__ import annotations
@@ -9,24 +10,27 @@ from __future__ import annotations
 import re
 import unicodedata
 from datetime import datetime
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import DATE_PATTERNS, KIND_OF_FIELD
+from ..constants import KIND_OF_FIELD
 
 FORMS = "struct<date: string, amount: string, id: string, text: string, plain: string, whole: string>"
 
 # Date formats in the order in which they are tried (US before day-first).
 _FORMATS = ("%Y-%m-%d", "%m/%d/%Y", "%m-%d-%Y", "%d/%m/%Y", "%B %d, %Y", "%b %d, %Y", "%b. %d, %Y", "%d %B %Y", "%d %b %Y", "%Y/%m/%d", "%m/%d/%y")
+#: What any of the formats can read looks like this; most texts don't, and are spared the tries.
+_DATE_SHAPE = re.compile(r"\d{1,4}[-/]\d{1,2}[-/]\d{2,4}|[^\W\d_]+\.? \d{1,2}, \d{4}|\d{1,2} [^\W\d_]+ \d{4}")
 _SPACES = re.compile(r"\s+")
 _CURRENCY = re.compile(r"\b(?:usd|cad|us|ca)\b", re.IGNORECASE)
 _NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
 
 
 def clean(s: str) -> str:
-    return _SPACES.sub(" ", unicodedata.normalize("NFKC", s)).strip()
+    return _SPACES.sub(" ", s if s.isascii() else unicodedata.normalize("NFKC", s)).strip()
 
 
 def folded(s: str) -> str:
@@ -39,6 +43,8 @@ END_MARKS = "[.,;:]+$"
 
 def iso_date(s: str) -> str | None:
     s = clean(s).rstrip(".")
+    if not _DATE_SHAPE.fullmatch(s):
+        return None
     for pattern in _FORMATS:
         try:
             return datetime.strptime(s, pattern).date().isoformat()
@@ -57,9 +63,10 @@ def identifier(s: str) -> str:
 
 
 def without_accents(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
+@lru_cache(100_000)
 def forms(value: str | None) -> tuple[str, ...] | None:
     """All normal forms of a value, or None for a missing or blank one."""
     if value is None or not value.strip():
@@ -78,23 +85,25 @@ def _forms(values: pd.Series) -> pd.Series:
     return values.map(lambda many: None if many is None else [None if (f := forms(v)) is None else dict(zip(names, f)) for v in many])
 
 
-def _round(values: pd.Series, digits: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else round(float(v), int(d)) for v, d in zip(values, digits)], dtype="float64")
-
-
 def forms_of(values: Column) -> Column:
     """FORMS of each text of an array."""
     return F.pandas_udf(_forms, f"array<{FORMS}>").asNondeterministic()(values)
 
 
-def py_round(values: Column, digits: Column) -> Column:
-    """Rounding of the exact binary value, ties to even; for the edges of reports, where frames are small."""
-    return F.pandas_udf(_round, "double")(values, digits)
-
-
 def rounded(value: Column, digits: int | None = 4) -> Column:
-    """py_round, or the value as it is for digits=None."""
-    return value.cast("double") if digits is None else py_round(value.cast("double"), F.lit(digits))
+    """The value rounded as Python rounds: of its exact binary value, ties to even; as it is for digits=None.
+
+    Half a step is compared with the exact product of value and 10**digits, kept in two halves of the value.
+    """
+    x = value.cast("double")
+    if digits is None:
+        return x
+    scale = float(10**digits)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    whole = F.floor(x * scale)
+    over = (high * scale - (whole + 0.5)) + (x - high) * scale
+    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2)) == 1))
+    return F.when(F.abs(x) < 1e9, (whole + F.when(up, 1).otherwise(0)) / scale).otherwise(F.bround(x, digits))
 
 
 def form_for(field: Column, made: Column) -> Column:
@@ -105,32 +114,6 @@ def form_for(field: Column, made: Column) -> Column:
     return out.otherwise(made["text"])
 
 
-# -- forms for ASCII text, all in the JVM ---------------------------------------------------------------------------
-def ascii_clean(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
-
-
-def ascii_identifier(s: Column) -> Column:
-    return F.upper(F.regexp_replace(s, "[^0-9A-Za-z]", ""))
-
-
-def ascii_amount(s: Column) -> Column:
-    """Decimal text with two places, or null."""
-    bare = F.regexp_replace(F.regexp_replace(ascii_clean(s), r"(?i)\b(usd|cad|us|ca)\b", ""), "[$, ]", "")
-    return F.when(bare.rlike(r"^-?\d+(\.\d+)?$"), bare.try_cast("decimal(30,8)").cast("decimal(24,2)").cast("string"))
-
-
-def ascii_date(s: Column) -> Column:
-    """ISO text of the first pattern that fits, or null; two-digit years 69-99 are of the last century."""
-    bare = F.regexp_replace(ascii_clean(s), r"\.+$", "")
-    tries = [F.try_to_timestamp(bare, F.lit(p)).cast("date") for p in DATE_PATTERNS]
-    year = F.regexp_extract(bare, r"/(\d{2})$", 1).try_cast("int")
-    full = F.concat(F.regexp_extract(bare, r"^(\d{1,2}/\d{1,2}/)\d{2}$", 1), F.when(year >= 69, year + 1900).otherwise(year + 2000).cast("string"))
-    two = F.when(bare.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_timestamp(full, F.lit("M/d/yyyy")).cast("date"))
-    guarded = [F.when(bare.rlike(r"\d{4}"), t) for t in tries]
-    return F.coalesce(*guarded, two).cast("string")
-
-
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, over code points; 1 for equal texts, 0 if just one is empty."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
+
 
 def concentration(rows: DataFrame, column: str) -> DataFrame:
     """(value, fields, errors, share_of_fields, share_of_errors, lift, accuracy) by a column's values; nulls drop out.
@@ -16,7 +18,7 @@ def concentration(rows: DataFrame, column: str) -> DataFrame:
     totals = rows.agg(F.count("*").alias("all_fields"), wrong.alias("all_errors"))
     out = made.crossJoin(F.broadcast(totals))  # one row
     of_fields, of_errors = F.col("fields") / F.col("all_fields"), F.col("errors") / F.greatest(F.lit(1), F.col("all_errors"))
-    return out.select("value", "fields", "errors", of_fields.alias("share_of_fields"), of_errors.alias("share_of_errors"), F.round(of_errors / of_fields, 2).alias("lift"), (1 - F.col("errors") / F.col("fields")).alias("accuracy"))
+    return out.select("value", "fields", "errors", of_fields.alias("share_of_fields"), of_errors.alias("share_of_errors"), rounded(of_errors / of_fields, 2).alias("lift"), (1 - F.col("errors") / F.col("fields")).alias("accuracy"))
 
 
 def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -43,13 +45,21 @@ def histogram(rows: DataFrame, column: str, bins: int = 20, low: float = 0.0, hi
 
 
 def failures(rows: DataFrame, n: int, error_type: str | None = None, field: str | None = None, seed: int = 0) -> DataFrame:
-    """n wrong, readable rows, the same ones for a seed: those of the smallest hashes of their key."""
+    """n wrong, readable rows, the same ones for a seed: those of the smallest digests of their key."""
     out = rows.where(~F.col("correct") & (F.col("error_type") != "unparseable"))
     if error_type:
         out = out.where(F.col("error_type") == error_type)
     if field:
         out = out.where(F.col("field") == field)
-    return out.orderBy(F.xxhash64("doc_id", "field", F.lit(seed)), "doc_id", "field").limit(n)
+    return out.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "doc_id", "field"), 256), "doc_id", "field").limit(n)
+
+
+def right_values(rows: DataFrame, least_iou: float | None = None, most_iou: float | None = None) -> DataFrame:
+    """Rows with a right value that the page has, within bounds of their citation's overlap."""
+    out = rows.where(F.col("correct") & F.col("gold_present"))
+    if least_iou is not None:
+        out = out.where(F.col("iou") >= least_iou)
+    return out if most_iou is None else out.where(F.col("iou") < most_iou)
 
 
 def findings(rows: DataFrame, columns: tuple[str, ...], least_lift: float = 1.3) -> list[str]:

@@ -76,7 +76,7 @@ def score_fields(rows: DataFrame) -> DataFrame:
         .when(p == g, "correct")
         .otherwise(wrong))
     box = F.col("pred.bbox")
-    overlap = F.when(p.isNotNull() & F.col("gold").isNotNull(), F.round(G.iou(box, F.col("gold.bbox")), 3)).otherwise(0.0)
+    overlap = F.when(p.isNotNull() & F.col("gold").isNotNull(), T.rounded(G.iou(box, F.col("gold.bbox")), 3)).otherwise(0.0)
     inside = F.filter(segments, lambda s: G.covered(s["layout"]["bbox"], box) >= 0.5)
     # folding a joined text is joining the folded ones, but for the marks at its end
     cited = F.regexp_replace(F.array_join(F.transform(inside, lambda s: s["forms"]["whole"]), " "), T.END_MARKS, "")

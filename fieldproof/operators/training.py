@@ -112,3 +112,21 @@ def kl_k3(policy: Column, reference: Column) -> Column:
 def loss_averages(history: DataFrame, keys: tuple[str, ...] = ("epoch",)) -> DataFrame:
     """Mean training loss per epoch and the validation loss at its end."""
     return history.groupBy(*keys).agg(F.avg("train_loss").alias("train_loss"), F.max("val_loss").alias("val_loss"), F.max("update").alias("updates"))
+
+
+def running_loss(history: DataFrame, keys: tuple[str, ...] = ("epoch",), order: str = "update") -> DataFrame:
+    """history with the mean training loss of its epoch so far."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return history.withColumn("train_loss_mean", F.avg("train_loss").over(w))
+
+
+def parameter_counts(weights: DataFrame) -> DataFrame:
+    """One row over (name, shape, trainable): all parameters, those that training moves, and their share."""
+    size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
+    made = weights.agg(F.sum(size).alias("parameters"), F.sum(F.when(F.col("trainable"), size).otherwise(0)).alias("trainable"))
+    return made.withColumn("share", F.col("trainable") / F.nullif(F.col("parameters"), F.lit(0)))
+
+
+def write_history(history: DataFrame, path: str) -> None:
+    """A training run's steps as JSON Lines, in the order in which they are appended to the folder."""
+    history.write.mode("append").json(path)

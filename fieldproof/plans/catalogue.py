@@ -7,148 +7,106 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import GATE, GENESIS
+from ..constants import FIELDS, GATE, GENESIS, REQUIRED_FIELDS
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import analysis, audit, compare, costs, fairness, metrics, scoring, training
+from ..operators import analysis, audit, compare, costs, fairness, generator, metrics, review, scoring, training
 from ..operators.generator import GENDERS, GROUPS
-from ..operators.parse import json_text
+from ..operators.parse import json_text, with_parsed
 from ..streaming.review import windowed
-from .claims import DOCUMENTS_SQL, scored_rows, table
+from . import claims
+from .claims import DOCUMENTS_SQL, facts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str, claims: bool = False) -> Callable[[Query], Query]:
-    """Register a query under its function's name; claims: its SQL starts from the scored claim rows."""
+def query(sql: str, from_claims: bool = False) -> Callable[[Query], Query]:
+    """Register a query under its function's name; from_claims: its SQL starts from the scored claim rows."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = (f"with {DOCUMENTS_SQL} " if claims else "") + sql
+        SQL[f.__name__] = (f"with {DOCUMENTS_SQL} " if from_claims else "") + sql
         return f
 
     return add
 
 
 # -- scoring and metrics --------------------------------------------------------------------------------------------
-@query("select * from scored", claims=True)
-def scored_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_rows(spark, sf).drop("p_norm", "schema_valid", "parse_error")
-
-
 @query("""select f.field, sum(correct::int)::double / count(correct::int) as accuracy, sum(case when gold_present then (correct and citation_ok)::int end)::double / count(case when gold_present then (correct and citation_ok)::int end) as grounded_accuracy,
-  count(*) filter (where gold_present) as n_present from scored f group by f.field""", claims=True)
+  count(*) filter (where gold_present) as n_present from scored f group by f.field""", from_claims=True)
 def field_accuracy_by_field(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.per_field(scored_rows(spark, sf), digits=None).where("accuracy is not null").select("field", "accuracy", "grounded_accuracy", "n_present")
+    return metrics.per_field(facts(spark, sf), digits=None).select("field", "accuracy", "grounded_accuracy", "n_present")
 
 
 @query("""select sum(correct::int)::double / count(correct::int) as field_accuracy, sum(case when gold_present then (correct and citation_ok)::int end)::double / count(case when gold_present then (correct and citation_ok)::int end) as grounded_accuracy,
   sum(case when pred_present then evidence_supported::int end)::double / count(case when pred_present then evidence_supported::int end) as evidence_supported_rate, sum(case when not gold_present then pred_present::int end)::double / count(case when not gold_present then pred_present::int end) as hallucination_rate,
-  sum(case when gold_present then (not pred_present)::int end)::double / count(case when gold_present then (not pred_present)::int end) as miss_rate from scored""", claims=True)
+  sum(case when gold_present then (not pred_present)::int end)::double / count(case when gold_present then (not pred_present)::int end) as miss_rate from scored""", from_claims=True)
 def summary_populations(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.field_summary(scored_rows(spark, sf))
+    return metrics.field_summary(facts(spark, sf))
 
 
 @query(" union all ".join(f"""select '{c}' as slice, case when {c}::varchar = 'true' then 'True' when {c}::varchar = 'false' then 'False' else coalesce({c}::varchar, 'None') end as value,
-  count(*) as n_fields, sum(correct::int)::double / count(correct::int) as field_accuracy from scored group by {c}""" for c in metrics.SLICES), claims=True)
+  count(*) as n_fields, sum(correct::int)::double / count(correct::int) as field_accuracy from scored group by {c}""" for c in metrics.SLICES), from_claims=True)
 def slice_accuracy_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.slices(scored_rows(spark, sf), digits=None)
+    return metrics.slices(facts(spark, sf), digits=None)
 
 
-@query("select error_type, count(*) as n from scored where not correct group by 1", claims=True)
+@query("select error_type, count(*) as n from scored where not correct group by 1", from_claims=True)
 def error_type_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.error_types(scored_rows(spark, sf)).select("error_type", "n")
-
-
-@query("""select doc_id, json_valid, bool_and(correct) as all_correct, count(*) filter (where correct) as n_correct, count(*) filter (where gold_present and correct and citation_ok) as n_grounded,
-  count(*) filter (where gold_present) as n_present from scored group by doc_id, json_valid""", claims=True)
-def document_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scored_rows(spark, sf)
-    return rows.groupBy("doc_id", "json_valid").agg(F.bool_and("correct").alias("all_correct"), F.count_if("correct").alias("n_correct"), F.count_if(F.col("gold_present") & F.col("correct") & F.col("citation_ok")).alias("n_grounded"), F.count_if("gold_present").alias("n_present"))
-
-
-@query("""select doc_id, round(avg(correct::int), 4)::double as field_accuracy, bool_and(correct) as all_correct from scored group by doc_id""", claims=True)
-def document_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.document_scores(scored_rows(spark, sf)).select("doc_id", "field_accuracy", "all_correct")
-
-
-@query("""select doc_id, count(*) filter (where json_valid and error_type = 'correct') as n_correct, count(*) filter (where json_valid and error_type = 'correct_null') as n_correct_null,
-  count(*) filter (where json_valid and error_type = 'missed') as n_miss, count(*) filter (where json_valid and error_type = 'hallucinated') as n_hallucination,
-  count(*) filter (where json_valid and error_type in ('near_miss', 'wrong_value')) as n_wrong, case when bool_and(json_valid) then 0 else 1 end as n_invalid from scored group by doc_id""", claims=True)
-def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.costed_rewards(scored_rows(spark, sf)).drop("reward")
+    return metrics.error_types(facts(spark, sf)).select("error_type", "n")
 
 
 @query("""select error_type, sum(case error_type when 'correct' then 100 when 'correct_null' then 100 when 'missed' then -50 else -100 end)::bigint as cost_cents, count(*) as n
-  from scored group by error_type""", claims=True)
+  from scored group by error_type""", from_claims=True)
 def cost_by_error_type(spark: SparkSession, sf: str) -> DataFrame:
     from ..constants import DEFAULT_COSTS
 
     prices = F.create_map(*[F.lit(x) for k, v in DEFAULT_COSTS.items() for x in (k, int(v * 100))])
-    rows = scored_rows(spark, sf).withColumn("cost", F.element_at(prices, scoring.outcome(F.col("error_type"))))
+    rows = facts(spark, sf).withColumn("cost", F.element_at(prices, scoring.outcome(F.col("error_type"))))
     return rows.groupBy("error_type").agg(F.sum("cost").cast("bigint").alias("cost_cents"), F.count("*").alias("n"))
 
 
 # -- fairness -------------------------------------------------------------------------------------------------------
 @query("""select 'group' as key, "group" as value, sum(case when field != 'claimant_name' then correct::int end)::double / count(case when field != 'claimant_name' then correct::int end) as other_fields_accuracy,
-  sum(case when field = 'claimant_name' then correct::int end)::double / count(case when field = 'claimant_name' then correct::int end) as name_accuracy, count(distinct doc_id) as n_docs from scored group by "group\"""", claims=True)
+  sum(case when field = 'claimant_name' then correct::int end)::double / count(case when field = 'claimant_name' then correct::int end) as name_accuracy, count(distinct doc_id) as n_docs from scored group by "group\"""", from_claims=True)
 def group_parity(spark: SparkSession, sf: str) -> DataFrame:
-    return fairness.parity(scored_rows(spark, sf), "group", digits=None)
+    return fairness.parity(facts(spark, sf), "group", digits=None)
 
 
 @query("""select 'gender' as key, max(o) - min(o) as other_fields_accuracy_gap, max(n) - min(n) as name_accuracy_gap from (
-  select gender, sum(case when field != 'claimant_name' then correct::int end)::double / count(case when field != 'claimant_name' then correct::int end) as o, sum(case when field = 'claimant_name' then correct::int end)::double / count(case when field = 'claimant_name' then correct::int end) as n from scored group by gender)""", claims=True)
+  select gender, sum(case when field != 'claimant_name' then correct::int end)::double / count(case when field != 'claimant_name' then correct::int end) as o, sum(case when field = 'claimant_name' then correct::int end)::double / count(case when field = 'claimant_name' then correct::int end) as n from scored group by gender)""", from_claims=True)
 def parity_gap(spark: SparkSession, sf: str) -> DataFrame:
-    return fairness.gaps(fairness.parity(scored_rows(spark, sf), "gender", digits=None), digits=None)
-
-
-@query("""select count(*) as counterfactual_sets, sum((not f)::int)::double / count((not f)::int) as counterfactual_consistency from (
-  select set_id, bool_or(n > 1) as f from (select set_id, field, count(distinct coalesce(pred_value, '#none')) as n from scored where field in ('incident_type', 'claim_number') group by 1, 2) group by 1)""", claims=True)
-def counterfactual_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    return fairness.consistency(scored_rows(spark, sf).where(F.col("field").isin("incident_type", "claim_number")), digits=None)
-
-
-@query("""select field, count(*) filter (where n > 1) as flipped, count(*) as sets from (
-  select set_id, field, count(distinct coalesce(pred_value, '#none')) as n from scored where field != 'claimant_name' group by 1, 2) group by field""", claims=True)
-def flip_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return fairness.flips(scored_rows(spark, sf)).groupBy("field").agg(F.count_if("flipped").alias("flipped"), F.count("*").alias("sets"))
+    return fairness.gaps(fairness.parity(facts(spark, sf), "gender", digits=None), digits=None)
 
 
 # -- error analysis -------------------------------------------------------------------------------------------------
-@query("""select quality as value, count(*) as fields, count(*) filter (where not correct) as errors,
-  round((count(*) filter (where not correct) / greatest(1, (select count(*) from scored where not correct))::double) / (count(*) / (select count(*) from scored)::double), 2) as lift
-  from scored group by quality""", claims=True)
-def lift_by_slice(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.concentration(scored_rows(spark, sf), "quality").select("value", "fields", "errors", "lift")
-
-
 @query("""select case when grouping(field) = 1 then 'All' else field end as field, case when grouping(error_type) = 1 then 'All' else error_type end as error_type, count(*) as n
-  from scored group by cube (field, error_type)""", claims=True)
+  from scored group by cube (field, error_type)""", from_claims=True)
 def crosstab_cube(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.crosstab(scored_rows(spark, sf), "field", "error_type")
+    return analysis.crosstab(facts(spark, sf), "field", "error_type")
 
 
-@query("select error_type, count(*) as n, count(*) / (select count(*) from scored where not correct)::double as share from scored where not correct group by 1", claims=True)
+@query("select error_type, count(*) as n, count(*) / (select count(*) from scored where not correct)::double as share from scored where not correct group by 1", from_claims=True)
 def error_share(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.error_shares(scored_rows(spark, sf))
+    return analysis.error_shares(facts(spark, sf))
 
 
-@query("select least(floor(iou * 20), 19)::int as bin, count(*) as n from scored group by 1", claims=True)
+@query("select least(floor(iou * 20), 19)::int as bin, count(*) as n from scored group by 1", from_claims=True)
 def iou_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.histogram(scored_rows(spark, sf), "iou")
+    return analysis.histogram(facts(spark, sf), "iou")
 
 
-@query("select field, accuracy from (select field, sum(correct::int)::double / count(correct::int) as accuracy from scored group by field) order by accuracy, field limit 1", claims=True)
+@query("select field, accuracy from (select field, sum(correct::int)::double / count(correct::int) as accuracy from scored group by field) order by accuracy, field limit 1", from_claims=True)
 def weakest_field(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.field_accuracy(scored_rows(spark, sf)).agg(F.min_by("field", F.struct("accuracy", "field")).alias("field"), F.min("accuracy").alias("accuracy"))
+    return analysis.field_accuracy(facts(spark, sf)).agg(F.min_by("field", F.struct("accuracy", "field")).alias("field"), F.min("accuracy").alias("accuracy"))
 
 
 @query("""select line_of_business as value, errors from (select line_of_business, count(*) filter (where not correct) as errors, count(*) as n from scored group by 1)
-  order by errors / n::double desc, line_of_business limit 1""", claims=True)
+  order by errors / n::double desc, line_of_business limit 1""", from_claims=True)
 def top_slice(spark: SparkSession, sf: str) -> DataFrame:
-    rows = analysis.concentration(scored_rows(spark, sf), "line_of_business")
+    rows = analysis.concentration(facts(spark, sf), "line_of_business")
     return rows.orderBy(F.desc(F.col("errors") / F.col("fields")), "value").limit(1).select("value", "errors")
 
 
@@ -191,84 +149,19 @@ def rotate_bbox(spark: SparkSession, sf: str) -> DataFrame:
     return turned.select("l_orderkey", "l_linenumber", *[F.round(F.col("r")[i], 3).alias(n) for i, n in enumerate(("rx0", "ry0", "rx1", "ry1"))])
 
 
-@query("""select o_orderkey from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R' and floor(l.l_extendedprice) % 7 = 3)""")
-def distractor_exists(spark: SparkSession, sf: str) -> DataFrame:
-    copied = table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.floor("l_extendedprice") % 7 == 3)).select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey").join(copied, "o_orderkey", "left_semi")
-
-
 # -- normal forms ---------------------------------------------------------------------------------------------------
-@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as iso from orders")
-def normalize_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates printed in four ways and read back."""
-    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    printed = F.when(k == 0, F.date_format(d, "MM/dd/yyyy")).when(k == 1, F.date_format(d, "MMMM dd, yyyy")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd MMM yyyy"))
-    return table(spark, sf, "orders").select("o_orderkey", T.ascii_date(printed).alias("iso"))
-
-
-@query("select o_orderkey, round(o_totalprice * 100)::bigint as cents from orders")
-def normalize_amounts(spark: SparkSession, sf: str) -> DataFrame:
-    k, x = F.col("o_orderkey") % 4, F.col("o_totalprice").cast("decimal(18,2)")
-    comma = F.format_number(x, 2)
-    printed = F.when(k == 0, F.concat(F.lit("$"), comma)).when(k == 1, comma).when(k == 2, F.concat(F.lit("$"), x.cast("string"))).otherwise(F.concat(F.lit("CAD "), comma))
-    return table(spark, sf, "orders").select("o_orderkey", (T.ascii_amount(printed).cast("decimal(18,2)") * 100).cast("bigint").alias("cents"))
-
-
-@query("select p_partkey, upper(regexp_replace(p_name || '-' || p_brand || '. ' || cast(p_partkey as varchar), '[^0-9A-Za-z]', '', 'g')) as id from part")
-def normalize_ids(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat("p_name", F.lit("-"), "p_brand", F.lit(". "), F.col("p_partkey").cast("string"))
-    return table(spark, sf, "part").select("p_partkey", T.ascii_identifier(raw).alias("id"))
-
-
-@query("""select p_partkey, (1.0::double - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::double) as similarity from part where p_name != p_type""")
-def similarity_near_miss(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where("p_name != p_type").select("p_partkey", T.similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))
-
-
-@query("""select event_id, json_extract_string(props, '$.k') as k from events""")
-def json_props_parse(spark: SparkSession, sf: str) -> DataFrame:
-    fenced = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
-    return table(spark, sf, "events").select("event_id", F.get_json_object(json_text(fenced), "$.k").alias("k"))
-
-
 @query("""select event_id, trim(props) as body from events""")
 def fenced_json_extract(spark: SparkSession, sf: str) -> DataFrame:
     fenced = F.concat(F.lit("answer ["), F.lit("```"), F.lit("\n "), F.col("props"), F.lit(" \n```]"))
     return table(spark, sf, "events").select("event_id", json_text(fenced).alias("body"))
 
 
-@query("""select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages""")
-def page_title_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
 # -- joins and sets -------------------------------------------------------------------------------------------------
-@query("select d.doc_id, d.lang, l.quality, l.toxic from documents d left join labels l on d.doc_id = l.doc_id")
-def manifest_left_join(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
-
-
 @query("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def missing_labels_anti(spark: SparkSession, sf: str) -> DataFrame:
     return audit.remaining(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"))
 
 
-@query("select doc_id, source from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id)")
-def label_semi(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-
-
-@query("select lang, source from documents union select event_type, 'event' from events")
-def union_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("lang", "source").union(table(spark, sf, "events").select(F.col("event_type"), F.lit("event"))).distinct()
-
-
-@query("""select d.doc_id, p.url, l.toxic, d.n_chars from documents d join labels l on d.doc_id = l.doc_id join pages p on p.page_id = d.doc_id""")
-def replay_join(spark: SparkSession, sf: str) -> DataFrame:
-    docs, labels, pages = (table(spark, sf, t) for t in ("documents", "labels", "pages"))
-    return docs.select("doc_id", "n_chars").join(labels.select("doc_id", "toxic"), "doc_id").join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id").select("doc_id", "url", "toxic", "n_chars")
-
-
 # -- comparison, gate, cost -----------------------------------------------------------------------------------------
 _RUNS = """m as (select source as run_id, cast(substr(source, 4) as int) as run_order, sum(quality)::double / count(quality) as field_accuracy, sum(toxic)::double / count(toxic) as hallucination_rate
   from documents d join labels l on d.doc_id = l.doc_id group by source),
@@ -295,12 +188,6 @@ def best_per_metric(spark: SparkSession, sf: str) -> DataFrame:
     return compare.best_per_metric(long, ["hallucination_rate"])
 
 
-@query("""select lang, source, coalesce(count(*) filter (where toxic = 1), 0) as n from documents d join labels l on d.doc_id = l.doc_id where source in ('src0', 'src1') group by lang, source""")
-def error_type_counts(spark: SparkSession, sf: str) -> DataFrame:
-    joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").where(F.col("source").isin("src0", "src1"))
-    return joined.groupBy("lang", "source").agg(F.count_if(F.col("toxic") == 1).alias("n"))
-
-
 _GATE = """m as (select case when d.doc_id % 2 = 0 then 'new' else 'old' end as model, case when lang = 'en' then 'test' else 'holdout' end as split, '1.1' as evaluator_version,
   sum(quality)::double / count(quality) as field_accuracy, sum(1 - toxic)::double / count(1 - toxic) as grounded_accuracy, sum(toxic)::double / count(toxic) as hallucination_rate from documents d join labels l on d.doc_id = l.doc_id group by 1, 2),
   spec as (select * from (values """ + ", ".join(f"('{s}', '{m}', {str(h).lower()}, {x}::double)" for s, m, h, x in GATE) + """) t(split, metric, higher, slack)),
@@ -327,17 +214,6 @@ def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return compare.verdict(_gate(spark, sf))
 
 
-@query("""select event_type, count(*) as docs, median(value) as median_ms, avg(event_id)::double as mean_tokens from events group by event_type""")
-def cost_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("docs"), F.median("value").alias("median_ms"), F.avg("event_id").alias("mean_tokens"))
-
-
-@query("""select event_type, count(*) as docs, round(avg(event_id))::bigint as input_tokens_mean from events group by event_type""")
-def cost_per_doc(spark: SparkSession, sf: str) -> DataFrame:
-    records = table(spark, sf, "events").select("event_type", F.col("value").alias("latency_ms"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens"))
-    return costs.run_cost(records, ("event_type",), in_price=1.0, out_price=5.0).select("event_type", "docs", "input_tokens_mean")
-
-
 # -- windows, ranks, chains -----------------------------------------------------------------------------------------
 @query("""select event_type, count(*) as n, list_sort(list(value))[count(*) // 2 + 1] as p50, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.95)::bigint) + 1] as p95
   from events where value is not null group by event_type""")
@@ -356,97 +232,270 @@ def first_last_window(spark: SparkSession, sf: str) -> DataFrame:
     return training.first_and_last(table(spark, sf, "events"), ("event_id",), 10, "event_id", ("user_id",)).drop("metric")
 
 
-@query("""select o_orderkey, l_linenumber, l_quantity - avg(l_quantity) over (partition by l_orderkey) as deviation, count(*) over (partition by l_orderkey) as n from lineitem join orders on l_orderkey = o_orderkey""")
-def group_deviation(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey")
-    joined = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select("o_orderkey", "l_linenumber", (F.col("l_quantity") - F.avg("l_quantity").over(w)).alias("deviation"), F.count("*").over(w).alias("n"))
+# -- generation and training sets -----------------------------------------------------------------------------------
+@query("select p_partkey, substr(sha256('7|' || cast(p_partkey as varchar)), 1, 12) as seed_hex from part")
+def stable_seed(spark: SparkSession, sf: str) -> DataFrame:
+    seed = T.stable_seed(F.lit("7"), F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part").select("p_partkey", F.lower(F.lpad(F.hex(seed), 12, "0")).alias("seed_hex"))
 
 
-@query("""select l_orderkey, l_linenumber, round((l_quantity - m) / greatest(s, 0.1), 6)::double as advantage from (
-  select l_orderkey, l_linenumber, l_quantity, avg(l_quantity) over (partition by l_orderkey) as m, stddev_pop(l_quantity) over (partition by l_orderkey) as s from lineitem) where s >= 1e-6""")
-def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
-    rewards = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("reward"))
-    return training.advantages(rewards, ("l_orderkey",)).where("advantage is not null").select("l_orderkey", "l_linenumber", F.round("advantage", 6).alias("advantage"))
+@query("""with d as (select doc_id, source = 'src0' as poor from documents), n as (select count(*) filter (where poor) as p, count(*) filter (where not poor) as o from d)
+  select p as poor, o as other, greatest(0, ceil(0.35 * o / 0.65)::bigint - p) as extra from n""")
+def oversample_poor(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("source") == "src0", "poor").otherwise("clean").alias("quality"))
+    made = training.oversampled(rows, 0.35)
+    copy = F.col("doc_id").contains("#dup")
+    return made.agg(F.count_if((F.col("quality") == "poor") & ~copy).alias("poor"), F.count_if(F.col("quality") != "poor").alias("other"), F.count_if(copy).alias("extra"))
 
 
-@query("""select conv_id, turn, coalesce(lag(role) over (partition by conv_id order by turn), '') as before, role != coalesce(lag(role) over (partition by conv_id order by turn), '') as link_ok from conversations""")
-def chain_verify_links(spark: SparkSession, sf: str) -> DataFrame:
-    before = F.coalesce(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    return table(spark, sf, "conversations").select("conv_id", "turn", before.alias("before"), (F.col("role") != before).alias("link_ok"))
+# -- the parser and the scorer over raw outputs ---------------------------------------------------------------------
+_SCORED = ("doc_id", *claims._META, "json_valid", "schema_valid", "parse_error", "field_pos", "field", "gold_value", "p_norm", "g_norm", "gold_present", "pred_present", "error_type", "iou", "evidence_supported", "correct", "citation_ok")
 
 
-@query(f"""with recursive t as (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from conversations),
-  c as (select conv_id, n, sha256('{GENESIS}' || text) as h from t where n = 1 union all select t.conv_id, t.n, sha256(c.h || t.text) from c join t on t.conv_id = c.conv_id and t.n = c.n + 1)
-  select conv_id, arg_max(h, n) as last_hash from c group by conv_id""")
-def chain_build(spark: SparkSession, sf: str) -> DataFrame:
-    ordered = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("steps"))
-    return ordered.select("conv_id", audit.folded_chain(F.transform("steps", lambda s: s["text"])).alias("last_hash"))
+@query("select " + ", ".join(f'"{c}"' for c in _SCORED) + " from scored", from_claims=True)
+def scored_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw texts through the parser, the scorer and the manifest's join, anew."""
+    return claims.scored_rows(spark, sf).select(*_SCORED)
+
+
+@query("select doc_id, any_value(json_valid) as json_valid, any_value(schema_valid) as schema_valid, any_value(parse_error) as error, count(*) filter (where pred_present) as n_given from scored group by doc_id", from_claims=True)
+def parsed_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    given = F.size(F.filter("parsed.fields", lambda f: f.isNotNull())).cast("bigint")
+    return with_parsed(claims.outputs(spark, sf)).select("doc_id", "parsed.json_valid", "parsed.schema_valid", "parsed.error", given.alias("n_given"))
+
+
+_CREDIT = "case when correct then 0.5 * evidence_supported::int + 0.5 * least(1.0, iou / 0.5) else 0.0 end::double"
+_DOCUMENT = f"""parts as (select doc_id, any_value(json_valid) as json_valid, any_value(schema_valid) as schema_valid, any_value(parse_error) as parse_error, avg(correct::int) as acc,
+  avg(case when gold_present then (correct and citation_ok)::int end) as grounded, avg(case when gold_present then {_CREDIT} end) as credit, bool_and(correct) as all_correct from scored group by doc_id),
+  documents_scored as (select doc_id, json_valid, schema_valid, parse_error, round(acc, 4)::double as field_accuracy, round(coalesce(grounded, 1), 4)::double as grounded_accuracy, all_correct,
+  round(case when json_valid then 0.1 * case when schema_valid then 1.0 else 0.5 end + 0.6 * acc + 0.3 * coalesce(credit, 1) else 0 end, 4)::double as reward,
+  case when json_valid then case when schema_valid then 1.0 else 0.5 end else 0.0 end::double as format_part, round(case when json_valid then acc else 0 end, 4)::double as accuracy_part,
+  round(case when json_valid then coalesce(credit, 1) else 0 end, 4)::double as grounding_part from parts)"""
 
 
-@query("select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1")
-def last_record(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by(F.struct("turn", "role"), "turn").alias("r"))
-    return rows.select("conv_id", "r.*")
+@query(f", {_DOCUMENT} select * from documents_scored", from_claims=True)
+def document_scores(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [F.col(f"reward_components.{c}").alias(f"{c}_part") for c in ("format", "accuracy", "grounding")]
+    return claims.scored_documents(spark, sf).select("doc_id", "json_valid", "schema_valid", "parse_error", "field_accuracy", "grounded_accuracy", "all_correct", "reward", *parts)
+
+
+@query(f""", {_DOCUMENT}, d as (select count(*) as n_docs, avg(json_valid::int) as json_valid_rate, avg(schema_valid::int) as schema_valid_rate, avg(all_correct::int) as doc_exact_match, avg(reward) as mean_reward from documents_scored),
+  f as (select avg(correct::int) as field_accuracy, avg(case when gold_present then (correct and citation_ok)::int end) as grounded_accuracy, avg(case when pred_present then evidence_supported::int end) as evidence_supported_rate,
+  avg(case when not gold_present then pred_present::int end) as hallucination_rate, avg(case when gold_present then (not pred_present)::int end) as miss_rate from scored) select d.*, f.* from d cross join f""", from_claims=True)
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.summary(facts(spark, sf), claims.scored_documents(spark, sf), digits=None)
+
+
+_WORTH = f"case error_type when 'correct' then 0.5 + 0.5 * {_CREDIT} when 'correct_null' then 1.0 when 'missed' then -0.5 else -1.0 end"
+
+
+@query(f"""select doc_id, case when bool_and(json_valid) then round(greatest(-1.0, least(1.0, sum({_WORTH}) / 7 - case when bool_and(schema_valid) then 0.0 else 0.1 end)), 4) else -1.0 end::double as reward,
+  count(*) filter (where json_valid and error_type = 'correct') as n_correct, count(*) filter (where json_valid and error_type = 'correct_null') as n_correct_null, count(*) filter (where json_valid and error_type = 'missed') as n_miss,
+  count(*) filter (where json_valid and error_type in ('hallucinated', 'distractor_for_absent')) as n_hallucination,
+  count(*) filter (where json_valid and error_type in ('near_miss', 'wrong_value', 'distractor_confusion', 'field_swap', 'diacritics')) as n_wrong, case when bool_and(json_valid) then 0 else 1 end as n_invalid from scored group by doc_id""", from_claims=True)
+def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.costed_rewards(facts(spark, sf))
+
+
+_FLIPS = "flips as (select set_id, field, count(distinct coalesce(p_norm, '#none')) > 1 as flipped from scored where field != 'claimant_name' group by 1, 2)"
+
+
+@query(f", {_FLIPS} select count(*) as counterfactual_sets, sum((not f)::int)::double / count(*) as counterfactual_consistency from (select set_id, bool_or(flipped) as f from flips group by 1)", from_claims=True)
+def counterfactual_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    return fairness.consistency(facts(spark, sf), digits=None)
+
+
+@query(f", {_FLIPS} select field, count(distinct set_id) as n_sets, sum(flipped::int)::double / count(*) as flip_rate from flips group by field", from_claims=True)
+def flip_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return fairness.flip_rates(facts(spark, sf), digits=None)
+
+
+@query("""select quality as value, fields, errors, fields / all_fields::double as share_of_fields, errors / all_errors::double as share_of_errors, round((errors / all_errors::double) / (fields / all_fields::double), 2) as lift, 1 - errors / fields::double as accuracy
+  from (select quality, count(*) as fields, count(*) filter (where not correct) as errors from scored group by quality) cross join (select count(*) as all_fields, count(*) filter (where not correct) as all_errors from scored)""", from_claims=True)
+def lift_by_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.concentration(facts(spark, sf), "quality")
+
+
+@query("select doc_id, field, error_type from scored where not correct and error_type != 'unparseable' order by sha256('3|' || doc_id || '|' || field), doc_id, field limit 50", from_claims=True)
+def failure_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.failures(facts(spark, sf), 50, seed=3).select("doc_id", "field", "error_type")
 
 
-@query("""select conv_id, turn, 'system turn' as reason from conversations where role = 'system' union all select conv_id, turn, 'empty' from conversations where length(text) = 0
-  union all select conv_id, turn, 'long' from conversations where turn > 4""")
+@query("select doc_id, field, iou from scored where error_type = 'correct' and iou < 0.6", from_claims=True)
+def right_values_cited_badly(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.right_values(facts(spark, sf), most_iou=0.6).select("doc_id", "field", "iou")
+
+
+_QUALITIES = ("clean", "moderate", "poor")
+
+
+@query("select error_type, " + ", ".join(f"count(*) filter (where quality = '{q}') as {q}" for q in _QUALITIES) + " from scored where not correct group by error_type", from_claims=True)
+def error_types_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs here are the rows of one scan quality each."""
+    counts = metrics.error_types(facts(spark, sf).withColumn("run_id", F.col("quality")))
+    return compare.error_type_table(counts, list(_QUALITIES))
+
+
+@query("select doc_id, case error_type when 'near_miss' then 'Near miss' when 'diacritics' then 'Accents lost' else 'Missed' end as verdict, case when error_type = 'missed' then 'bad' else 'warn' end as tone from scored where error_type in ('near_miss', 'diacritics', 'missed')", from_claims=True)
+def verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = facts(spark, sf).where(F.col("error_type").isin("near_miss", "diacritics", "missed"))
+    return review.with_verdict(rows).select("doc_id", "verdict", "box_tone").withColumnRenamed("box_tone", "tone")
+
+
+_REQUIRED = ", ".join(f"'{f}'" for f in REQUIRED_FIELDS)
+
+
+@query(f"""select reason, count(*) as n from (
+  select doc_id, 'model output could not be parsed' as reason from docs where not json_valid union all select doc_id, 'output did not match the schema exactly' from docs where json_valid and not schema_valid
+  union all select doc_id, field || ': required field not found' from scored where json_valid and not pred_present and field in ({_REQUIRED})
+  union all select doc_id, field || ': value has no citation box' from scored where pred_present and box = 'none'
+  union all select doc_id, field || ': value does not match its own evidence text' from scored where pred_present and gold_present and kind != 'right') group by reason""", from_claims=True)
 def review_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    reasons = F.array_compact(F.array(F.when(F.col("role") == "system", "system turn"), F.when(F.length("text") == 0, "empty"), F.when(F.col("turn") > 4, "long")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.explode(reasons).alias("reason"))
+    flagged = review.with_review(with_parsed(claims.outputs(spark, sf)))
+    return flagged.select(F.explode("review_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-# -- generation and training sets -----------------------------------------------------------------------------------
-@query("select p_partkey, substr(sha256('7|' || cast(p_partkey as varchar)), 1, 12) as seed_hex from part")
-def stable_seed(spark: SparkSession, sf: str) -> DataFrame:
-    seed = T.stable_seed(F.lit("7"), F.col("p_partkey").cast("string"))
-    return table(spark, sf, "part").select("p_partkey", F.lower(F.lpad(F.hex(seed), 12, "0")).alias("seed_hex"))
+@query(f""", {_DOCUMENT} select d.doc_id, d.doc_id as split, 'look' as note, docs.g2 as gold_name, d.reward::varchar as reward, 1 as n_predictions
+  from documents_scored d join docs on d.doc_id = docs.doc_id where docs.k <= 200""", from_claims=True)
+def replay_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    """What replays show of a hand-written list of documents; the list is the feature."""
+    chosen = claims.outputs(spark, sf).where("cast(doc_id as bigint) <= 200").select("doc_id", F.lit("look").alias("note"))
+    run = F.lit("r").alias("run_id")
+    bundles = review.replay_bundle(claims.labels(spark, sf), with_parsed(claims.outputs(spark, sf).select(run, "*")), claims.scored_documents(spark, sf).select(run, "*"), chosen)
+    part = lambda path: F.get_json_object("bundle", path)
+    predictions = F.size(F.from_json(part("$.predictions"), "array<struct<run_id: string>>"))
+    return bundles.select("doc_id", "split", part("$.note").alias("note"), part("$.gold.claimant_name.value").alias("gold_name"), part("$.predictions[0].scores.reward").cast("double").cast("string").alias("reward"), predictions.alias("n_predictions"))
 
 
-@query("select p_partkey from part order by sha256('3|' || cast(p_partkey as varchar)), p_partkey limit 50")
-def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey").orderBy(F.sha2(F.concat_ws("|", F.lit("3"), F.col("p_partkey").cast("string")), 256), "p_partkey").limit(50)
+@query("select d.doc_id, d.lang, l.quality from documents d left join (select doc_id, arg_max(quality, quality) as quality from labels group by doc_id) l on d.doc_id = l.doc_id")
+def manifest_left_join(spark: SparkSession, sf: str) -> DataFrame:
+    marks = table(spark, sf, "labels").select("doc_id", "quality", F.col("quality").alias("seq"))
+    return scoring.with_meta(table(spark, sf, "documents").select("doc_id", "lang"), marks)
 
 
-@query("""with d as (select doc_id, source = 'src0' as poor from documents), n as (select count(*) filter (where poor) as p, count(*) filter (where not poor) as o from d)
-  select p as poor, o as other, greatest(0, ceil(0.35 * o / 0.65)::bigint - p) as extra from n""")
-def oversample_poor(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("source") == "src0", "poor").otherwise("clean").alias("quality"))
-    made = training.oversampled(rows, 0.35)
-    copy = F.col("doc_id").contains("#dup")
-    return made.agg(F.count_if((F.col("quality") == "poor") & ~copy).alias("poor"), F.count_if(F.col("quality") != "poor").alias("other"), F.count_if(copy).alias("extra"))
+# -- normal forms ---------------------------------------------------------------------------------------------------
+def _form(text, kind: str):
+    return T.forms_of(F.array(text))[0][kind]
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as iso from orders")
+def normalize_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates printed in four ways and read back."""
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    printed = F.when(k == 0, F.date_format(d, "MM/dd/yyyy")).when(k == 1, F.date_format(d, "MMMM dd, yyyy")).when(k == 2, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd MMM yyyy"))
+    return table(spark, sf, "orders").select("o_orderkey", _form(printed, "date").alias("iso"))
+
+
+@query("select o_orderkey, round(o_totalprice * 100)::bigint as cents from orders")
+def normalize_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    k, x = F.col("o_orderkey") % 4, F.col("o_totalprice").cast("decimal(18,2)")
+    comma = F.format_number(x, 2)
+    printed = F.when(k == 0, F.concat(F.lit("$"), comma)).when(k == 1, comma).when(k == 2, F.concat(F.lit("$"), x.cast("string"))).otherwise(F.concat(F.lit("CAD "), comma))
+    return table(spark, sf, "orders").select("o_orderkey", (_form(printed, "amount").cast("decimal(18,2)") * 100).cast("bigint").alias("cents"))
+
+
+@query("""select p_partkey, upper(regexp_replace(p_name || '-' || p_brand || '. ' || cast(p_partkey as varchar), '[^0-9A-Za-z]', '', 'g')) as id, lower('Été ' || p_name) as text, lower('Ete ' || p_name) as plain from part""")
+def normalize_ids(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat("p_name", F.lit("-"), "p_brand", F.lit(". "), F.col("p_partkey").cast("string"))
+    named = F.concat(F.lit("  ÉTÉ  "), "p_name", F.lit(".;"))
+    return table(spark, sf, "part").select("p_partkey", _form(raw, "id").alias("id"), _form(named, "text").alias("text"), _form(named, "plain").alias("plain"))
 
 
-@query("""select l_orderkey, sum(cast(round(l_quantity * l_extendedprice * 100) as bigint))::bigint as subtotal_cents, count(*) as items from lineitem group by l_orderkey""")
-def invoice_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_quantity") * F.col("l_extendedprice") * 100).cast("bigint")).alias("subtotal_cents"), F.count("*").alias("items"))
+@query("""select p_partkey, case when a = b then 1.0 else 1.0 - levenshtein(a, b) / greatest(length(a), length(b))::double end::double as similarity from (select p_partkey, p_name as a, case when p_partkey % 5 = 0 then p_name else p_type end as b from part)""")
+def similarity_near_miss(spark: SparkSession, sf: str) -> DataFrame:
+    other = F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(F.col("p_type"))
+    return table(spark, sf, "part").select("p_partkey", T.similarity(F.col("p_name"), other).alias("similarity"))
+
+
+# -- cost, advantages, logs -----------------------------------------------------------------------------------------
+@query("""select event_type, docs, round(p50, 1) as latency_s_p50, round(each, 5) as usd_per_doc, round(each * 1000, 2) as usd_per_1000_docs, round(each * 500, 2) as batch_api_usd_per_1000_docs, round(i)::bigint as input_tokens_mean, round(o)::bigint as output_tokens_mean
+  from (select event_type, count(*) as docs, median(value) / 1000 as p50, avg(event_id) as i, avg(user_id) as o, avg(event_id) / 1e6 * 1.0 + avg(user_id) / 1e6 * 5.0 as each from events group by event_type)""")
+def cost_per_doc(spark: SparkSession, sf: str) -> DataFrame:
+    records = table(spark, sf, "events").select("event_type", F.col("value").alias("latency_ms"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens"))
+    return costs.run_cost(records, ("event_type",), in_price=1.0, out_price=5.0)
+
+
+@query("""select l_orderkey, l_linenumber, m as reward_mean, round(s, 6) as reward_std, case when s >= 1e-6 then round((l_quantity - m) / greatest(s, 0.1), 6) end::double as advantage from (
+  select l_orderkey, l_linenumber, l_quantity, avg(l_quantity) over (partition by l_orderkey) as m, stddev_pop(l_quantity) over (partition by l_orderkey) as s from lineitem)""")
+def group_advantage(spark: SparkSession, sf: str) -> DataFrame:
+    rewards = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("reward"))
+    return training.advantages(rewards, ("l_orderkey",)).select("l_orderkey", "l_linenumber", "reward_mean", F.round("reward_std", 6).alias("reward_std"), F.round("advantage", 6).alias("advantage"))
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as logs: a record per turn."""
+    turns = table(spark, sf, "conversations").dropDuplicates(["conv_id", "turn"])
+    record = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "role"))
+    return audit.appended(turns.select(F.col("conv_id").alias("log_id"), F.col("turn").alias("seq"), record.alias("record")))
+
+
+_CHAIN = f"""t as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as n from (select conv_id, turn, any_value(role) as role from conversations group by 1, 2)),
+  c as (select conv_id, n, sha256('{{"doc_id":"' || conv_id || '-' || turn || '","prev_hash":"{GENESIS}","role":"' || role || '"}}') as h from t where n = 1
+  union all select t.conv_id, t.n, sha256('{{"doc_id":"' || t.conv_id || '-' || t.turn || '","prev_hash":"' || c.h || '","role":"' || t.role || '"}}') from c join t on t.conv_id = c.conv_id and t.n = c.n + 1)"""
+
+
+@query(f"with recursive {_CHAIN} select conv_id, arg_max(h, n) as last_hash from c group by conv_id")
+def chain_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Records appended to hash chains, read back, and each log's last hash."""
+    lines = _log(spark, sf).withColumnRenamed("seq", "line_no")
+    return audit.last_hash(audit.opened(lines)).select(F.col("log_id").alias("conv_id"), F.col("record_hash").alias("last_hash"))
+
+
+@query("""with t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from (select distinct conv_id, turn from conversations)), s as (select conv_id, count(*) as c, max(case when n = 2 then turn end) as second, max(case when n = 3 then turn end) as third from t group by 1)
+  select conv_id, not (conv_id % 3 = 0 and second is not null) and not (conv_id % 3 = 1 and third is not null) as ok, case when conv_id % 3 = 0 then second when conv_id % 3 = 1 then third end as bad_line,
+    case when conv_id % 3 = 0 and second is not null then 'line ' || second || ': record contents were modified' when conv_id % 3 = 1 and third is not null then 'line ' || third || ': previous-hash link broken (a record was removed or reordered)'
+    else 'OK -- ' || (c - case when conv_id % 3 = 1 and c = 2 then 1 else 0 end) || ' records, chain intact' end as message from s""")
+def chain_verify(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs of which a third have their second record edited and a third have it removed."""
+    rank = F.row_number().over(Window.partitionBy("log_id").orderBy("seq"))
+    lines = _log(spark, sf).withColumn("n", rank).where("not (log_id % 3 = 1 and n = 2)")
+    edited = F.when((F.col("log_id") % 3 == 0) & (F.col("n") == 2), F.regexp_replace("line", '"role": "', '"role": "x')).otherwise(F.col("line"))
+    found = audit.verify(lines.select("log_id", F.col("seq").alias("line_no"), edited.alias("line")))
+    return found.select(F.col("log_id").alias("conv_id"), "ok", "bad_line", "message")
+
+
+# -- generation and training sets -----------------------------------------------------------------------------------
+@query("select format('t-{:05d}', i) as doc_id, true as money, true as dates, true as evidence, true as boxes, true as shown from range(300) r(i)")
+def generated_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for every generated document: sums, order of dates, gold that its evidence reads as, boxes on the page."""
+    r = generator.split_records(spark, "t", 300)
+    items = F.aggregate("line_items", F.lit(0.0), lambda a, x: a + x["quantity"] * x["price"])
+    money = (F.abs(F.col("subtotal") - items) < 0.006) & (F.abs(F.col("tax") - F.col("subtotal") * F.col("tax_rate")) < 0.006) & (F.abs(F.col("invoice_total") - F.col("subtotal") - F.col("tax")) < 0.006)
+    dates = (F.col("date_of_birth") < F.col("date_of_loss")) & (F.col("date_of_loss") < F.col("date_reported")) & (F.col("date_of_loss") < F.col("invoice_date"))
+    gold = scoring.gold_array(generator.labels(r)).select("doc_id", "gold", "layout")
+    read = T.forms_of(F.concat(F.transform("gold", lambda g: g["value"]), F.transform("gold", lambda g: g["evidence_text"])))
+    made = gold.withColumn("forms", read)
+    same = [T.form_for(F.lit(f), F.col("forms")[i]).eqNullSafe(T.form_for(F.lit(f), F.col("forms")[i + len(FIELDS)])) for i, f in enumerate(FIELDS)]
+    every = same[0]
+    for x in same[1:]:
+        every = every & x
+    boxes = F.forall("layout", lambda s: (s["bbox"][0] < s["bbox"][2]) & (s["bbox"][1] < s["bbox"][3]) & (s["bbox"][0] >= 0) & (s["bbox"][3] <= 1260))
+    shown = F.size(F.filter("gold", lambda g: g.isNotNull())) == F.size(F.filter("layout", lambda s: s["role"] == "value"))
+    return made.select("doc_id", every.alias("evidence"), boxes.alias("boxes"), shown.alias("shown")).join(r.select("doc_id", money.alias("money"), dates.alias("dates")), "doc_id")
 
 
 _COMBOS = ", ".join(f"('{g}', '{s}')" for g in GROUPS for s in GENDERS)
 
 
-@query(f"""with c as (select * from (values {_COMBOS}) t(grp, gender)), r as (select c_custkey, grp, gender,
-  row_number() over (partition by c_custkey order by sha256(cast(c_custkey as varchar) || '|' || grp || '|' || gender)) as n from customer cross join c)
-  select c_custkey, grp, gender from r where n <= 4""")
+@query(f"""with c as (select * from (values {_COMBOS}) t(grp, gender)), r as (select i, grp, gender, row_number() over (partition by i order by substr(sha256('1234|combos|' || i || '|' || grp || '|' || gender), 1, 12)) as n from range(200) t(i) cross join c)
+  select format('fair-{{:04d}}', i) as set_id, format('fair-{{:04d}}', i) || '-' || grp || '-' || gender as doc_id from r where n <= 4""")
 def counterfactual_generate(spark: SparkSession, sf: str) -> DataFrame:
-    combos = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(s).alias("gender")) for g in GROUPS for s in GENDERS])
-    ranked = F.array_sort(F.transform(combos, lambda c: F.struct(F.sha2(F.concat_ws("|", F.col("c_custkey").cast("string"), c["grp"], c["gender"]), 256).alias("h"), c["grp"].alias("grp"), c["gender"].alias("gender"))))
-    return table(spark, sf, "customer").select("c_custkey", F.explode(F.slice(ranked, 1, 4)).alias("c")).select("c_custkey", "c.grp", "c.gender")
+    return generator.manifest(generator.labels(generator.fairness_records(spark, 200, 4))).select("set_id", "doc_id")
 
 
-@query("select source, sha256(string_agg(sha256(text), '' order by doc_id)) as hash from documents group by source")
+@query("""with e as (select source, cast(doc_id as varchar) as d, sha256(cast(doc_id as varchar) || chr(1) || '{"doc_id":"' || doc_id || '","lang":"' || coalesce(lang, '') || '","n_chars":' || n_chars || '}') as h from documents),
+  g as (select source, substr(sha256(d), 1, 3) as g, sha256(string_agg(h, '' order by d)) as h from e group by 1, 2) select source, sha256(string_agg(h, '' order by g)) as hash from g group by source""")
 def split_hash(spark: SparkSession, sf: str) -> DataFrame:
-    each = table(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    return each.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), ""), 256).alias("hash"))
+    named = table(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "n_chars")
+    return generator.split_hash(named, ("source",))
 
 
-@query("select count(*) as n_examples, count(distinct split_part(cast(doc_id as varchar), '#', 1)) as unique_docs from documents")
+@query("""select count(*) as n_examples, count(distinct doc_id) as unique_docs, round(count(*) filter (where source = 'src0') / count(*)::double, 3) as poor_share, 2 * count(*) as null_fields from documents""")
 def training_set_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("clean").alias("quality"), F.lit('"a": null').alias("target"))
-    return training.described(rows).select("n_examples", "unique_docs")
+    rows = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("#dup1")).alias("doc_id"), F.when(F.col("source") == "src0", "poor").otherwise("clean").alias("quality"), F.lit('"a": null, "b": null').alias("target"))
+    return training.described(rows)
 
 
-@query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by 1, 2")
+@query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n, sum(value) as total from events group by 1, 2")
 def events_windowed(spark: SparkSession, sf: str) -> DataFrame:
-    return windowed(table(spark, sf, "events")).select("window_start", "event_type", "n")
+    return windowed(table(spark, sf, "events"))

@@ -1,38 +1,75 @@
-"""Scored claim rows made from the star schema, so that every metric has an SQL twin.
+"""Claims made from the star schema: raw model outputs and labels for the real parser and scorer, with their SQL twin.
 
-An order is a document, its customer the claimant, its line items the layout. Five fields have a gold value and a
-prediction that key arithmetic corrupts: misses, wrong values, inventions, unreadable outputs and shifted boxes.
+An order is a document and its customer the claimant. Labels hold gold values, boxes and a layout with distractors; the
+outputs are JSON texts (bare, fenced, wrapped in a list, or broken) in which key arithmetic plants every kind of error,
+moved boxes and missing ones. The SQL says what was planted; the queries read it back from the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: (position, field) of the fields that documents have here.
-POSITIONS = ((0, "claim_number"), (2, "claimant_name"), (3, "date_of_loss"), (5, "incident_type"), (6, "total_amount"))
-
-DOCUMENTS_SQL = """
-docs as (
-  select o_orderkey as k, cast(o_orderkey as varchar) as doc_id, case when o_orderkey % 2 = 0 then 'invoice' else 'claim_form' end as doc_type,
-    c_mktsegment as line_of_business, case when substr(o_orderpriority, 1, 1) in ('1', '2') then 'poor' when substr(o_orderpriority, 1, 1) = '3' then 'moderate' else 'clean' end as quality,
-    o_orderkey % 7 = 0 as handwritten, r_name as "group", case when c_custkey % 2 = 0 then 'female' else 'male' end as gender, cast(c_custkey as varchar) as set_id,
-    case when o_orderkey % 2 = 0 and o_orderkey % 5 = 0 then null else 'C-' || cast(o_orderkey as varchar) end as g0, c_name as g2, strftime(o_orderdate, '%Y-%m-%d') as g3,
-    case when o_orderkey % 2 = 0 then null else substr(o_orderpriority, 3) end as g5, cast(cast(round(o_totalprice * 100) as bigint) as varchar) as g6, o_orderkey % 29 != 0 as json_valid
-  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
-long as (""" + " union all ".join(f"select docs.*, {i} as field_pos, '{f}' as field, g{i} as gold_value from docs" for i, f in POSITIONS) + """),
-given as (
-  select *, case when not json_valid then null when gold_value is null then case when (k + field_pos) % 6 = 0 then 'Z-0' end
-      when (k + field_pos) % 11 = 0 then null when (k + 3 * field_pos) % 13 = 0 then gold_value || 'x' when (k + field_pos) % 17 = 0 then 'other' else gold_value end as pred_value,
-    (k * 7 + field_pos * 5) % 60 as shift from long),
-rows as (
-  select k, doc_id, doc_type, line_of_business, quality, handwritten, "group", gender, set_id, json_valid, field_pos, field, gold_value, pred_value,
-    gold_value is not null as gold_present, pred_value is not null as pred_present,
-    case when not json_valid then 'unparseable' when gold_value is null and pred_value is null then 'correct_null' when gold_value is null then 'hallucinated'
-      when pred_value is null then 'missed' when pred_value = gold_value then 'correct' when pred_value = gold_value || 'x' then 'near_miss' else 'wrong_value' end as error_type,
-    case when gold_value is not null and pred_value is not null then (100 - shift) / (100.0 + shift) else 0.0 end::double as iou,
-    pred_value is not null and shift < 50 as evidence_supported from given),
-scored as (select *, error_type in ('correct', 'correct_null') as correct, error_type = 'correct' and iou >= 0.5 as citation_ok from rows)
+from ..constants import FIELDS
+from ..operators import scoring
+from ..schemas import FIELD, LABEL
+from ..sources.working import once
+
+_ACCENTED = "k % 4 = 1"
+
+
+def _plan(printf: str, iso: str, substr: str) -> dict[str, str]:
+    """Gold values (canonical) and printed strings of a document, as SQL text that both engines read."""
+    name = f"case when {_ACCENTED} then 'José ' || c_name else c_name end"
+    total = "cast(cast(round(o_totalprice * 100) as bigint) as decimal(18, 0)) / 100"
+    return {
+        "claim_number": "case when k % 10 = 0 then null else 'C-' || cast(k + 100000 as {string}) end",
+        "policy_number": "cast(null as {string})",
+        "claimant_name": name,
+        "date_of_loss": iso.format("o_orderdate"),
+        "provider_name": "cast(null as {string})",
+        "incident_type": f"case when k % 2 = 0 then null else {substr} end",
+        "total_amount": printf.format(total),
+    }
+
+
+_SPARK = {k: v.format(string="string") for k, v in _plan("cast(cast({} as decimal(18, 2)) as string)", "date_format({}, 'yyyy-MM-dd')", "substring(o_orderpriority, 3)").items()}
+_DUCK = {k: v.format(string="varchar") for k, v in _plan("cast(cast({} as decimal(18, 2)) as varchar)", "strftime({}, '%Y-%m-%d')", "substr(o_orderpriority, 3)").items()}
+#: What is planted in a field (pos) of a document (k), the first that holds; an absent field's prediction is an invention.
+_KIND = """case when gold_value is null then case when (k + pos) % 12 = 0 then 'copied' when (k + pos) % 6 = 0 then 'invented' else 'absent' end
+  when (k + pos) % 11 = 0 then 'missed' when field in ('date_of_loss', 'total_amount') and (k + pos) % 19 = 0 then 'distractor'
+  when field = 'claimant_name' and k % 23 = 0 then 'swap' when field = 'claimant_name' and k % 4 = 1 and k % 3 = 0 then 'accents'
+  when (k + 3 * pos) % 13 = 0 then 'typo' when (k + pos) % 17 = 0 then 'other' else 'right' end"""
+_BOX = "case when k % 10 = 3 then 'none' when (k + pos) % 7 = 0 then 'far' else 'near' end"
+#: The page's distractors: an earlier date and a smaller amount.
+_OTHER_DATE, _OTHER_AMOUNT = "1990-01-02", "7.25"
+_META = {
+    "doc_type": "case when k % 2 = 0 then 'invoice' else 'claim_form' end", "line_of_business": "c_mktsegment",
+    "quality": "case when substr(o_orderpriority, 1, 1) in ('1', '2') then 'poor' when substr(o_orderpriority, 1, 1) = '3' then 'moderate' else 'clean' end",
+    "handwritten": "k % 7 = 0", "group": "r_name", "gender": "case when c_custkey % 2 = 0 then 'female' else 'male' end", "set_id": "cast(c_custkey as {string})",
+}
+
+DOCUMENTS_SQL = f"""
+base as (select o_orderkey as k, * from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+docs as (select k, cast(k as varchar) as doc_id, {', '.join(f'{v} as "{c}"' for c, v in _META.items()).format(string='varchar')}, k % 29 != 0 as json_valid, k % 29 != 0 and k % 3 != 0 as schema_valid,
+  case when k % 58 = 0 then 'invalid_json' when k % 29 = 0 then 'no_json_found' when k % 3 = 0 then 'wrapped_in_list' end as parse_error,
+  {', '.join(f'{v} as g{i}' for i, v in enumerate(_DUCK.values()))} from base),
+long as ({' union all '.join(f"select * exclude ({', '.join(f'g{j}' for j in range(7))}), {i} as pos, '{f}' as field, g{i} as gold_value from docs" for i, f in enumerate(FIELDS))}),
+plan as (select *, {_KIND} as kind, {_BOX} as box, (k * 7 + pos * 5) % 60 as shift from long),
+norm as (select *, case field when 'claim_number' then replace(gold_value, '-', '') when 'policy_number' then gold_value when 'date_of_loss' then gold_value when 'total_amount' then gold_value
+    else lower(gold_value) end as g_norm, json_valid and kind not in ('absent', 'missed') as pred_present from plan),
+given as (select *, case when not pred_present then null when kind = 'copied' then case when field in ('policy_number', 'claim_number') then replace('{_OTHER_DATE}', '-', '') else '{_OTHER_DATE}' end
+    when kind = 'invented' then case when field in ('policy_number', 'claim_number') then 'Z0' else 'z-0' end
+    when kind = 'distractor' then case field when 'date_of_loss' then '{_OTHER_DATE}' else '{_OTHER_AMOUNT}' end when kind = 'swap' then (select g3 from docs d where d.k = norm.k)
+    when kind = 'accents' then replace(g_norm, 'é', 'e') when kind = 'typo' then case field when 'claim_number' then g_norm || 'X' else g_norm || 'x' end
+    when kind = 'other' then case field when 'claim_number' then 'OTHER' else 'other' end else g_norm end as p_norm from norm),
+rows as (select *, gold_value is not null as gold_present,
+    case when not json_valid then 'unparseable' when kind = 'absent' then 'correct_null' when kind = 'copied' then 'distractor_for_absent' when kind = 'invented' then 'hallucinated' when kind = 'missed' then 'missed'
+      when kind = 'right' then 'correct' when kind = 'distractor' then 'distractor_confusion' when kind = 'swap' then 'field_swap' when kind = 'accents' then 'diacritics'
+      when 1 - levenshtein(p_norm, g_norm) / greatest(length(p_norm), length(g_norm))::double >= 0.8 then 'near_miss' else 'wrong_value' end as error_type,
+    case when gold_value is not null and pred_present and box = 'near' then round_even((200 - shift) / (200 + shift)::double, 3) else 0.0::double end as iou from given),
+scored as (select *, pos as field_pos, error_type in ('correct', 'correct_null') as correct, error_type = 'correct' and iou >= 0.5 as citation_ok,
+    json_valid and kind = 'right' and box = 'near' as evidence_supported from rows)
 """
 
 
@@ -40,30 +77,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of ``scored`` above."""
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    k, first = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
     places = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    docs = orders.join(places, F.col("o_custkey") == F.col("c_custkey")).select(
-        k.alias("k"), k.cast("string").alias("doc_id"), F.when(k % 2 == 0, "invoice").otherwise("claim_form").alias("doc_type"), F.col("c_mktsegment").alias("line_of_business"),
-        F.when(first.isin("1", "2"), "poor").when(first == "3", "moderate").otherwise("clean").alias("quality"), (k % 7 == 0).alias("handwritten"), F.col("r_name").alias("group"),
-        F.when(F.col("c_custkey") % 2 == 0, "female").otherwise("male").alias("gender"), F.col("c_custkey").cast("string").alias("set_id"),
-        F.when(~((k % 2 == 0) & (k % 5 == 0)), F.concat(F.lit("C-"), k.cast("string"))).alias("g0"), F.col("c_name").alias("g2"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("g3"),
-        F.when(k % 2 != 0, F.expr("substring(o_orderpriority, 3)")).alias("g5"), F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string").alias("g6"), (k % 29 != 0).alias("json_valid"))
-    fields = F.explode(F.array(*[F.struct(F.lit(i).alias("field_pos"), F.lit(f).alias("field"), F.col(f"g{i}").alias("gold_value")) for i, f in POSITIONS])).alias("x")
-    long = docs.select("*", fields).select("*", "x.*").drop("x", "g0", "g2", "g3", "g5", "g6")
-    k, pos, gold = F.col("k"), F.col("field_pos"), F.col("gold_value")
-    pred = (
-        F.when(~F.col("json_valid"), None).when(gold.isNull(), F.when((k + pos) % 6 == 0, "Z-0")).when((k + pos) % 11 == 0, None)
-        .when((k + 3 * pos) % 13 == 0, F.concat(gold, F.lit("x"))).when((k + pos) % 17 == 0, "other").otherwise(gold))
-    made = long.withColumns({"pred_value": pred, "shift": (k * 7 + pos * 5) % 60})
-    p, shift = F.col("pred_value"), F.col("shift")
-    kind = (
-        F.when(~F.col("json_valid"), "unparseable").when(gold.isNull() & p.isNull(), "correct_null").when(gold.isNull(), "hallucinated").when(p.isNull(), "missed")
-        .when(p == gold, "correct").when(p == F.concat(gold, F.lit("x")), "near_miss").otherwise("wrong_value"))
-    made = made.withColumns({
-        "gold_present": gold.isNotNull(), "pred_present": p.isNotNull(), "p_norm": p, "error_type": kind, "schema_valid": F.col("json_valid") & (k % 3 != 0), "parse_error": F.lit(None).cast("string"),
-        "iou": F.when(gold.isNotNull() & p.isNotNull(), (100 - shift) / (100.0 + shift).cast("double")).otherwise(0.0), "evidence_supported": p.isNotNull() & (shift < 50)})
-    made = made.withColumn("correct", F.col("error_type").isin("correct", "correct_null"))
-    return made.withColumn("citation_ok", (F.col("error_type") == "correct") & (F.col("iou") >= 0.5)).drop("shift")
+    return orders.join(places, F.col("o_custkey") == F.col("c_custkey")).withColumn("k", F.col("o_orderkey"))
+
+
+def _printed(name: str) -> Column:
+    """How a value stands on the page: dates and amounts in the document's own style."""
+    gold, style = F.expr(_SPARK[name]), F.col("k") % 3
+    if name == "date_of_loss":
+        return F.when(style == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(style == 1, F.date_format("o_orderdate", "MMMM dd, yyyy")).otherwise(gold)
+    if name == "total_amount":
+        return F.when(style == 0, F.concat(F.lit("$"), F.format_number(gold.cast("decimal(18,2)"), 2))).when(style == 1, F.concat(F.lit("CAD "), gold)).otherwise(gold)
+    return gold
+
+
+def _box(left: float, i: int) -> Column:
+    return F.array(*[F.lit(float(x)) for x in (left, 100 * i, left + 200, 100 * i + 20)])
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label per order: gold fields, layout, meta."""
+    fields, parts = [], []
+    for i, name in enumerate(FIELDS):
+        gold = F.expr(_SPARK[name])
+        one = F.struct(gold.alias("value"), _printed(name).alias("evidence_text"), F.lit(1).alias("page"), _box(100, i).alias("bbox"))
+        fields.append(F.when(gold.isNotNull(), one).cast(FIELD).alias(name))
+        parts.append(F.when(gold.isNotNull(), F.struct(_printed(name).alias("text"), _box(100, i).alias("bbox"), F.lit("value").alias("role"), F.lit(name).alias("field"))))
+    for i, (text, of) in enumerate(((_OTHER_DATE, "date_of_loss"), (_OTHER_AMOUNT, "total_amount"))):
+        parts.append(F.struct(F.lit(text).alias("text"), _box(700, i).alias("bbox"), F.lit("distractor").alias("role"), F.lit(of).alias("field")))
+    made = base(spark, sf_dir).withColumns({c: F.expr(v.format(string="string")) for c, v in _META.items()})
+    meta = F.struct("line_of_business", "group", "gender", "handwritten", "quality", F.lit(0.0).alias("skew_deg"), F.lit("").alias("date_format"), F.lit("").alias("amount_format"), "set_id", F.lit("").alias("generator_version"))
+    out = made.select(
+        F.col("k").cast("string").alias("doc_id"), "doc_type", F.lit(980).alias("width"), F.lit(1260).alias("height"), F.lit("").alias("image"), F.struct(*fields).alias("fields"),
+        F.array_compact(F.array(*parts)).alias("layout"), meta.alias("meta"))
+    return out.to(spark.createDataFrame([], LABEL).schema)
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, raw_output, latency_ms): what a model would have said, with its errors planted."""
+    lines = []
+    k = F.col("k")
+    for i, name in enumerate(FIELDS):
+        within = {"gold_value": _SPARK[name], "pos": str(i), "field": f"'{name}'"}
+        kind_sql, box_sql = _KIND, _BOX
+        for key, text in within.items():
+            kind_sql = kind_sql.replace(key, f"({text})")
+            box_sql = box_sql.replace(key, f"({text})")
+        kind, place, gold = F.expr(kind_sql), F.expr(box_sql), _printed(name)
+        value = (
+            F.when(kind.isin("absent", "missed"), None).when(kind == "copied", _OTHER_DATE).when(kind == "invented", "Z-0").when(kind == "distractor", _OTHER_DATE if name == "date_of_loss" else _OTHER_AMOUNT)
+            .when(kind == "swap", F.expr(_SPARK["date_of_loss"])).when(kind == "accents", F.translate(gold, "é", "e")).when(kind == "typo", F.concat(F.expr(_SPARK[name]), F.lit("x"))).when(kind == "other", "other").otherwise(gold))
+        shift = ((k * 7 + i * 5) % 60).cast("double")
+        box = F.when(place == "far", _box(740, 11)).when(place == "near", F.transform(_box(100, i), lambda x, j: F.when(j % 2 == 0, x + shift).otherwise(x)))
+        field = F.struct(value.alias("value"), F.coalesce(gold, value).alias("evidence_text"), F.lit(1).alias("page"), box.alias("bbox"))
+        lines.append(F.concat(F.lit(f'"{name}": '), F.when(value.isNull(), "null").otherwise(F.to_json(field))))
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *lines), F.lit("}"))
+    text = (
+        F.when(k % 58 == 0, '{"claim_number": oops}').when(k % 29 == 0, "The page could not be read.").when(k % 3 == 0, F.concat(F.lit("["), body, F.lit("]")))
+        .when(k % 4 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone."))).otherwise(body))
+    return base(spark, sf_dir).select(k.cast("string").alias("doc_id"), text.alias("raw_output"), (k % 1000).cast("double").alias("latency_ms"))
+
+
+def manifest(made: DataFrame) -> DataFrame:
+    return made.select("doc_id", "doc_type", "meta.*")
+
+
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``scored`` above, by way of the parser and the scorer."""
+    made = labels(spark, sf_dir)
+    return scoring.with_meta(scoring.score(outputs(spark, sf_dir), made), manifest(made))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`scored_rows`, written once a session: what every metric reads."""
+    return once(spark, f"facts {sf_dir}", lambda: scored_rows(spark, sf_dir))
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.document_scores(facts(spark, sf_dir))

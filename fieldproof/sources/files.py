@@ -24,12 +24,17 @@ def _read(spark: SparkSession, path: str, schema: str, whole_file: bool = False)
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(log_id, line_no, line): physical lines from 1 within each file; blank ones keep their numbers.
 
-    A file is read as one text so that line numbers are exact whatever the input splits are.
+    A large file is read in blocks: lines are numbered within each, and the blocks' counts, a row per block, are added
+    up before them.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], "log_id string, line_no int, line string")
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), F.split("value", "\r?\n").alias("lines"))
-    return whole.select("log_id", F.posexplode("lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    sizes = raw.groupBy("log_id", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("log_id", "block", (F.sum("n").over(Window.partitionBy("log_id").orderBy("block")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("log_id", "block").orderBy("at"))
+    return raw.withColumn("own", own).join(before, ["log_id", "block"]).select("log_id", (F.col("before") + F.col("own")).cast("int").alias("line_no"), "line")
 
 
 def manifest(spark: SparkSession, split_dir: str) -> DataFrame:
