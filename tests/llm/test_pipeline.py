@@ -39,3 +39,34 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert 245 in seen["near_dedup"] and 245 not in seen["decontamination"]
     final = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(final) == set(seen["byte_bpe"]) and all(x.n_tokens > 0 for x in final.values())
+
+
+def edge_tables(spark, path, rows):
+    extra = "n_lines string, n_deleted string, `_id` string, `key` string, `row` string"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", "b", "c", "d", "e") for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, prose(30, 8001)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_stages_on_edge_rows(spark, tmp_path):
+    """Nulls in any column, blank and very long texts, ties, repeated rows, clashing names."""
+    long = prose(30_000, 1)
+    rows = [(1, prose(80, 2)), (2, prose(80, 2)), (3, None), (4, ""), (5, " \n "), (6, "one"), (7, long), (8, "É" * 5000), (9, prose(20, 3)), (9, prose(20, 3)), (None, prose(20, 4)), (None, None), (10, prose(20, 5) + " " + prose(30, 8001))]
+    edge_tables(spark, tmp_path, rows)
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, now, str(tmp_path))
+        made.write.parquet(str(tmp_path / name))
+        before, now = now, spark.read.parquet(str(tmp_path / name))
+        if name != "byte_bpe":
+            assert now.columns == before.columns and {tuple(r)[5:] for r in now.collect()} == {("a", "b", "c", "d", "e")}
+    got = now.collect()
+    ids = sorted((r.doc_id for r in got if r.doc_id is not None))
+    assert ids == [1, 3, 4, 5, 6, 7, 8, 9] and sum(r.doc_id is None for r in got) == 2
+    tokens = {r.doc_id: r.n_tokens for r in got if r.doc_id is not None}
+    assert tokens[3] == tokens[4] == 0 and all(tokens[i] > 0 for i in (1, 5, 6, 7, 8, 9))
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    edge_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
