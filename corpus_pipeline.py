@@ -1,4 +1,9 @@
-"""A training-corpus pipeline: each stage takes the documents that the one before it kept."""
+"""A training-corpus pipeline: each stage takes the documents that the one before it kept.
+
+Documents without words (null, empty or blank texts) pass every stage and end with the tokens of what they hold, none
+for null. Of rows equal in id and text one stays after near_dedup. Further columns, whatever their names, pass up to
+the last stage. An empty table gives an empty result; without labels no document is rejected as toxic.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +16,32 @@ from fieldproof.llm.shared import stored
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns from the labels of documents still here."""
+    """Documents that the classifier doesn't reject; it learns from the labels of documents still here.
+
+    A document without words has no features, so the classifier's bias alone decides: it stays.
+    """
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines; n_chars follows the text.
 
-    A document of which nothing but blanks is left was a copy as a whole and goes.
+    A document of which nothing but blanks is left was a copy as a whole and goes. One that held only blanks or null
+    before stays. Columns n_lines and n_deleted of the input stay as they are.
     """
-    out = line_dedup.dedup(docs).where("n_deleted = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = line_dedup.dedup(docs.select("doc_id", "text", kept)).where("n_deleted = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group; documents without words are in none and stay."""
     return near_dedup.keep_one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item; null and blank texts hold none."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
