@@ -1,7 +1,7 @@
 """Hash-chained audit logs: sequenced scan, parallel verification, resume, and appends.
 
-Every record stores its predecessor's hash, so verification needs no walk: the link test is a lag over the log's order,
-the content test is a hash of the row alone. Appending is a fold, one log after the other being independent.
+Every record stores its predecessor's hash, so verification needs no walk: the link test is a lag over blocks of the
+log's order, the content test is a hash of the row alone. Appending is a fold, one log after the other being independent.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ..constants import GENESIS
 
+#: Lines of a log that one task links at least, where logs are long.
+BLOCK_LINES = 1 << 16
+
 
 def canonical(record: dict) -> str:
     """JSON with sorted keys, no spaces, and characters as they are: what is hashed."""
@@ -44,17 +47,30 @@ def opened(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return some.withColumn("r", F.pandas_udf(_read, struct)(F.col(line_col))).select(*lines.columns, "r.*")
 
 
-def checked(records: DataFrame, log_col: str = "log_id", order_col: str = "line_no") -> DataFrame:
-    """records (prev_hash, record_hash, computed_hash) with link_ok and content_ok."""
-    before = F.lag("record_hash", 1, GENESIS).over(Window.partitionBy(log_col).orderBy(order_col))
-    return records.withColumns({"link_ok": F.coalesce(F.col("prev_hash") == before, F.lit(False)), "content_ok": F.coalesce(F.col("record_hash") == F.col("computed_hash"), F.lit(False))})
+def links(records: DataFrame, log_col: str = "log_id", order_col: str = "line_no", block: Column | None = None) -> DataFrame:
+    """(log, records, bad) per log of records (prev_hash, record_hash, computed_hash): bad (at, link) is the first failing
+    row and whether its link holds; null where all hold.
+
+    A long log is cut in blocks of order values (``block``, which must rise with the order). Rows are linked within each;
+    then a row per block, with its first link and last hash, is linked to the block before.
+    """
+    block = F.floor(F.col(order_col) / BLOCK_LINES) if block is None else block
+    rows = records.withColumn("_block", block)
+    rows = rows.withColumn("_before", F.lag(F.struct("record_hash")).over(Window.partitionBy(log_col, "_block").orderBy(order_col)))
+    link = F.col("_before").isNull() | F.coalesce(F.col("prev_hash") == F.col("_before.record_hash"), F.lit(False))
+    content = F.coalesce(F.col("record_hash") == F.col("computed_hash"), F.lit(False))
+    bad = F.when(~link | ~content, F.struct(F.col(order_col).alias("at"), link.alias("link")))
+    blocks = rows.groupBy(log_col, "_block").agg(
+        F.count("*").alias("records"), F.min(bad).alias("bad"), F.min(order_col).alias("start"), F.min_by("prev_hash", order_col).alias("opens"), F.max_by("record_hash", order_col).alias("ends"))
+    blocks = blocks.withColumn("_before", F.lag(F.struct("ends")).over(Window.partitionBy(log_col).orderBy("_block")))
+    tail = F.when(F.col("_before").isNull(), GENESIS).otherwise(F.col("_before.ends"))
+    joint = F.when(~F.coalesce(F.col("opens") == tail, F.lit(False)), F.struct(F.col("start").alias("at"), F.lit(False).alias("link")))
+    return blocks.groupBy(log_col).agg(F.sum("records").alias("records"), F.min(F.least("bad", joint)).alias("bad"))
 
 
 def verify(lines: DataFrame, log_col: str = "log_id", order_col: str = "line_no") -> DataFrame:
     """(log, ok, bad_line, message, records) per log; the first failing line is told, the link before the contents."""
-    rows = checked(opened(lines), log_col, order_col)
-    bad = F.when(~F.col("link_ok") | ~F.col("content_ok"), F.struct(F.col(order_col).alias("at"), F.col("link_ok").alias("link")))
-    made = rows.groupBy(log_col).agg(F.count("*").alias("records"), F.min(bad).alias("bad"))
+    made = links(opened(lines), log_col, order_col)
     text = (
         F.when(F.col("bad").isNull(), F.concat(F.lit("OK -- "), F.col("records").cast("string"), F.lit(" records, chain intact")))
         .when(~F.col("bad.link"), F.concat(F.lit("line "), F.col("bad.at").cast("string"), F.lit(": previous-hash link broken (a record was removed or reordered)")))

@@ -24,25 +24,67 @@ def reviewed(outputs: DataFrame) -> DataFrame:
     return with_review(with_parsed(once))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _tails(spark: SparkSession, log_path: str, batch_id: int) -> tuple[DataFrame | None, int | None]:
+    """(log_id, record_hash) of each log's last record before this batch, and the batch that wrote it down.
+
+    A log without such a table (its batch is then null) is read as a whole, once.
+    """
+    if _exists(spark, f"{log_path}_tails"):
+        known = spark.read.schema("log_id string, record_hash string, batch_id long").parquet(f"{log_path}_tails").where(F.col("batch_id") < batch_id)
+        last = known.agg(F.max("batch_id")).first()[0]
+        if last is not None:
+            return known.where(F.col("batch_id") == last).drop("batch_id"), last
+    if not _exists(spark, log_path):
+        return None, None
+    before = spark.read.parquet(log_path).where(F.col("batch_id") < batch_id)
+    return audit.last_hash(before.select("log_id", "record_hash", F.struct("batch_id", "seq").alias("line_no"))), None
+
+
 def append_batch(log_path: str):
-    """A foreachBatch sink: chains the batch after each log's tail. A batch that comes again writes its files again."""
+    """A foreachBatch sink: chains the batch after each log's tail. A batch that comes again writes its files again.
+
+    Tails stand in a table of their own beside the log, a row per log, written anew by each batch after its records. The
+    one before is kept, as a batch that comes again goes on from there; older ones are deleted.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(log_path)
-        known = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-        tails = None
-        if known:
-            before = spark.read.parquet(log_path).where(F.col("batch_id") < batch_id)
-            tails = audit.last_hash(before.select("log_id", "record_hash", F.struct("batch_id", "seq").alias("line_no")))
+        tails, at = _tails(spark, log_path, batch_id)
         record = F.to_json(F.struct("doc_id", "raw_output", "latency_ms", "needs_review", "review_reasons", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp_utc")))
         lines = audit.appended(batch.select("log_id", "seq", record.alias("record")), tails)
         rows = audit.opened(lines).select("log_id", "seq", "doc_id", "line", "prev_hash", "record_hash", F.lit(batch_id).cast("long").alias("batch_id"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(log_path)
+        _put(rows, log_path)
+        written = spark.read.schema(rows.schema).parquet(log_path).where((F.col("batch_id") == batch_id) & F.col("log_id").isNotNull())
+        now = audit.last_hash(written, order_col="seq")
+        if tails is not None:
+            now = now.union(tails.join(now, "log_id", "left_anti"))
+        _put(now.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{log_path}_tails")
+        if at is not None:
+            _forget(spark, f"{log_path}_tails", at)
 
     return sink
 
 
+def _put(rows: DataFrame, path: str) -> None:
+    """Write a batch's partition, in place of what an earlier try wrote."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
+def _forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Delete the partitions of batches before this one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        key, _, value = status.getPath().getName().partition("=")
+        if key == "batch_id" and int(value) < batch_id:
+            fs.delete(status.getPath(), True)
+
+
 def start(spark: SparkSession, folder: str, log_path: str, checkpoint: str) -> StreamingQuery:
     """Process what has landed and stop; a restart goes on where the checkpoint ends."""
     return (
@@ -52,9 +94,8 @@ def start(spark: SparkSession, folder: str, log_path: str, checkpoint: str) -> S
 
 def verify_log(spark: SparkSession, log_path: str) -> DataFrame:
     rows = spark.read.parquet(log_path).select("log_id", F.struct("batch_id", "seq").alias("at"), "line")
-    records = audit.opened(rows)
-    checked = audit.checked(records, "log_id", "at")
-    return checked.groupBy("log_id").agg(F.bool_and(F.col("link_ok") & F.col("content_ok")).alias("ok"), F.count("*").alias("records"))
+    block = F.struct("at.batch_id", F.floor(F.col("at.seq") / audit.BLOCK_LINES).alias("part"))
+    return audit.links(audit.opened(rows), "log_id", "at", block).select("log_id", F.col("bad").isNull().alias("ok"), "records")
 
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -213,6 +213,15 @@ def test_audit_chain(spark):
     assert _verified(spark, lines + [audit.appended(more, tail).first().line]).ok
 
 
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_a_long_log_is_checked_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(audit, "BLOCK_LINES", block)
+    test_audit_chain(spark)
+    lines = _chain(spark)
+    assert _verified(spark, [lines[0], "not json", *lines[1:]]).bad_line == 2
+    assert _verified(spark, lines[1:]).bad_line == 1
+
+
 def _registry(spark, **changes):
     base = {"field_accuracy": 0.95, "grounded_accuracy": 0.9, "hallucination_rate": 0.02}
     rows = []

@@ -23,6 +23,19 @@ def test_restart_does_not_repeat_and_chain_holds(spark, tmp_path):
     assert sorted(r.doc_id for r in rows.collect()) == [f"d{i}" for i in range(6)]
     got = {r.log_id: (r.ok, r.records) for r in review.verify_log(spark, str(tmp_path / "log")).collect()}
     assert got == {"l0": (True, 3), "l1": (True, 3)}
+    # a batch that comes again goes on from the tails before it, and leaves the same records
+    last = rows.agg(F.max("batch_id")).first()[0]
+    batch = rows.where(F.col("batch_id") == last).select("log_id", "seq", "doc_id", F.lit("{}").alias("raw_output"), F.lit(1.0).alias("latency_ms"), F.timestamp_seconds(F.lit(0)).alias("ts"))
+    again = spark.createDataFrame(batch.collect(), batch.schema)
+    assert again.count() == 2
+    sink = review.append_batch(str(tmp_path / "log"))
+    sink(review.reviewed(again), last)
+    # then one log only: of tails the last and those before them stand there, and hold all logs
+    sink(review.reviewed(spark.createDataFrame([("l0", 7, "d7", "{}", 1.0, None)], "log_id string, seq bigint, doc_id string, raw_output string, latency_ms double, ts timestamp")), last + 1)
+    tails = spark.read.parquet(str(tmp_path / "log_tails"))
+    assert sorted((r.log_id, r.batch_id - last) for r in tails.collect()) == [("l0", 0), ("l0", 1), ("l1", 0), ("l1", 1)]
+    got = {r.log_id: (r.ok, r.records) for r in review.verify_log(spark, str(tmp_path / "log")).collect()}
+    assert got == {"l0": (True, 4), "l1": (True, 3)}
 
 
 def test_windows(spark):
