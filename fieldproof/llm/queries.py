@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, language_id, line_dedup, lm_score, near_dedup, secrets, sharding, toxicity
+from . import byte_bpe, decontaminate, divergence, fingerprints, language_id, line_dedup, lm_score, mixing, near_dedup, phrases, secrets, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 # -- parts of the results that SQL can say, and invariants ----------------------------------------------------------
 def sharding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: rows, bytes, whether slots are gapless in every shard, and whether shards are within a fifth of even."""
@@ -75,6 +87,14 @@ def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets per document, whether it is taken twice at most, and whether its source's words meet the target."""
+    each = op12_mixing(spark, sf_dir)
+    sums = each.groupBy(F.col("source").alias("of")).agg(F.sum("taken").alias("sum"))
+    near = F.abs(F.col("sum") - F.col("target")) <= 0.5
+    return each.join(sums, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("within"), near.alias("near"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -86,6 +106,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
+    "op11_phrases": op11_phrases,
+    "op12_mixing": op12_mixing,
+    "op13_divergence": op13_divergence,
+    "mixing_targets": mixing_targets,
     "sharding_totals": sharding_totals,
     "fingerprint_edits": fingerprint_edits,
     "secret_counts": secret_counts,
@@ -117,6 +141,31 @@ ORACLE_SQL: dict[str, str] = {
         gone as (select distinct p.doc_id, o.line from placed p join o on o.doc_id = p.doc_id and o.q between case when p.doc_id = first_doc then greatest(p.a, first_b + 1) else p.a end and p.b where (p.doc_id, p.a) != (first_doc, first_a)),
         kept as (select e.doc_id, string_agg(l, chr(10) order by e.line) filter (where g.line is null) as text, count(g.line) as n_deleted, count(*) as n_lines from every e left join gone g on e.doc_id = g.doc_id and e.line = g.line group by e.doc_id)
         select d.doc_id, case when n_deleted > 0 then coalesce(k.text, '') else d.text end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted from documents d left join kept k on d.doc_id = k.doc_id""",
+    "op11_phrases": f"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) as p from documents), w as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from p),
+        g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase from w cross join range(1, 5) t(k)),
+        f as (select lang, k, phrase, count(*) as f from g group by all having count(*) >= 30), n as (select lang, sum(len(w))::bigint as n from w group by lang),
+        c as (select lang, k, phrase, f as a, unnest(range(1, k)) as cut, string_split(phrase, ' ') as s from f where k > 1),
+        cuts as (select c.lang, c.k, c.phrase, a, cut, l.f as l, r.f as r, (2000000::hugeint * a // (l.f + r.f))::bigint as score from c join f l on l.lang = c.lang and l.phrase = array_to_string(s[: cut], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(s[cut + 1 :], ' ')),
+        best as (select *, row_number() over (partition by lang, phrase order by score, cut) as place from cuts),
+        kept as (select * from best b where place = 1 and not exists (select 1 from f where f.lang = b.lang and f.k > b.k and contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ') and 100::hugeint * f.f >= 80::hugeint * b.a)),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""",
+    "mixing_targets": r"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+        s as (select source, sum(size)::bigint as source_size, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from d group by source),
+        o as (select sum(2 * source_size) over o as held, sum(w) over () - sum(w) over o as rest, sum(source_size) over () * 1.5 as goal from s window o as (order by source_size / w, source nulls last)),
+        -- the level is the highest that any first few sources, stopped at their caps, leave to the others
+        l as (select greatest(max(goal) / (select sum(w) from s), max((goal - held) / rest) filter (where rest > 0)) as level from o)
+        select doc_id, size, source_size, round(least(2 * source_size, w * level)::double, 3) as target, true as within, true as near from d join s on d.source is not distinct from s.source cross join l""",
+    "op13_divergence": r"""with d as (select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+        t as (select i, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d), c as (select lang, source, term, count(*) as n from t group by all),
+        k as (select lang, term, count(*) as n from t group by all having count(distinct i) >= 10), g as (select distinct lang, source from d),
+        cell as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.n as lang_n from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+        p as (select *, 1 + 1000000000::hugeint * (n + 2) // (sum(n) over g + 2 * count(*) over g) as p, 1 + 1000000000::hugeint * (lang_n + 2) // (sum(lang_n) over g + 2 * count(*) over g) as q from cell window g as (partition by lang, source)),
+        total as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source != b.source group by all),
+        pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source != b.source left join total on total.lang = a.lang and total.source = a.source and total.item = b.source),
+        term as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p where n > 0 and p > q),
+        ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from (select * from pair union all select * from term))
+        select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10""",
     "op10_near_dedup": f"""with recursive d as (select doc_id, {_WORDS} as w from documents),
         s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as s from d),
         e as (select doc_id, len(s) as n, unnest(s) as x from s), pairs as (select a.doc_id as u, b.doc_id as v, count(*) as c, any_value(a.n) as m, any_value(b.n) as n from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
