@@ -203,7 +203,7 @@ def audit_plain(rows, least, ranked):
     return out
 
 
-@pytest.mark.parametrize("least,ranked,chunk", [(10, 10, 8 << 20), (1, 2, 60), (1000, 10, 8 << 20)])
+@pytest.mark.parametrize("least,ranked,chunk", [(10, 10, 2 << 20), (1, 2, 60), (1000, 10, 2 << 20)])
 def test_divergence_against_plain_sums(spark, monkeypatch, least, ranked, chunk):
     rows = corpus()
     monkeypatch.setattr(divergence, "CHUNK_BYTES", chunk)
