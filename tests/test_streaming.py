@@ -1,8 +1,11 @@
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from fieldproof.streaming import review
+from fieldproof.sources import committed_log
+from fieldproof.streaming import chains, review
 
 
 def _land(folder, name, rows):
@@ -41,3 +44,101 @@ def test_restart_does_not_repeat_and_chain_holds(spark, tmp_path):
 def test_windows(spark):
     events = spark.createDataFrame([("2025-01-01 00:10:00", "a", 1.0), ("2025-01-01 00:50:00", "a", 2.0), ("2025-01-01 01:00:00", "a", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.n, r.total) for r in review.windowed(events).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def _row(i, log=None):
+    return {"log_id": log or f"l{i % 2}", "seq": i, "doc_id": f"d{i}", "raw_output": "{}", "latency_ms": 1.0, "ts": "2025-01-01T00:00:00"}
+
+
+def _chains(spark, log):
+    return {r.log_id: (r.ok, r.records) for r in chains.verify(spark, str(log)).collect()}
+
+
+def test_chain_state_is_keyed_and_a_batch_touches_its_own_logs(spark, tmp_path):
+    folder, log, cp = tmp_path / "in", tmp_path / "log", tmp_path / "cp"
+    folder.mkdir()
+    _land(folder, "a.json", [_row(i, f"l{i}") for i in range(40)] + [_row(3, "l3"), _row(99, None) | {"log_id": None}])
+    chains.start(spark, str(folder), str(log), str(cp)).awaitTermination()
+    # logs again, out of order, one document seen before
+    _land(folder, "b.json", [_row(51, "l7"), _row(50, "l7"), _row(7, "l7"), _row(52, "new") | {"doc_id": None}, _row(53, "new") | {"doc_id": None}])
+    query = chains.start(spark, str(folder), str(log), str(cp))
+    query.awaitTermination()
+    state = query.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] >= 120 and max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress) <= 16
+    chains.start(spark, str(folder), str(log), str(cp)).awaitTermination()
+    rows = chains.log_rows(spark, str(log))
+    assert [r.seq for r in rows.where("log_id = 'l7'").orderBy("n").collect()] == [7, 50, 51] and rows.count() == 44
+    got = _chains(spark, log)
+    assert len(got) == 41 and got["l7"] == (True, 3) and got["new"] == (True, 2) and all(ok for ok, _ in got.values())
+
+
+@pytest.mark.parametrize("moment", ["before", "after"])
+def test_a_batch_killed_around_its_commit_is_there_once(spark, tmp_path, moment):
+    folder, log, cp = tmp_path / "in", tmp_path / "log", tmp_path / "cp"
+    folder.mkdir()
+    mark = str(tmp_path / "killed")
+
+    class Killed(committed_log.LogWriter):
+        def commit(self, messages, batchId):
+            import os
+
+            if moment == "after":
+                super().commit(messages, batchId)
+            if batchId and any(m is not None and m.files for m in messages) and not os.path.exists(mark):
+                open(mark, "w").close()
+                os._exit(9)
+            if moment == "before":
+                super().commit(messages, batchId)
+
+    class Source(committed_log.CommittedLog):
+        def streamWriter(self, schema, overwrite):
+            return Killed(self.options["path"])
+
+    _land(folder, "a.json", [_row(i) for i in range(4)])
+    chains.start(spark, str(folder), str(log), str(cp), source=Source).awaitTermination()
+    _land(folder, "b.json", [_row(i) for i in range(2, 10)])
+    with pytest.raises(Exception):  # noqa: B017
+        chains.start(spark, str(folder), str(log), str(cp), source=Source).awaitTermination()
+    assert chains.log_rows(spark, str(log)).count() == (4 if moment == "before" else 10)
+    _land(folder, "c.json", [_row(i) for i in range(9, 12)])
+    chains.start(spark, str(folder), str(log), str(cp), source=Source).awaitTermination()
+    rows = chains.log_rows(spark, str(log)).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(f"d{i}" for i in range(12))
+    assert _chains(spark, log) == {"l0": (True, 6), "l1": (True, 6)}
+    named = {f["name"] for _, files in committed_log.commits(str(log)) for f in files}
+    assert sum(sum(1 for _ in open(log / "data" / f)) for f in named) == 12
+    # a lost line, an edited one
+    path = next(log / "data" / f for f in named if len((log / "data" / f).read_text().splitlines()) > 1)
+    text = path.read_text()
+    path.write_text("\n".join(text.splitlines()[1:]) + "\n")
+    assert not all(ok for ok, _ in _chains(spark, log).values())
+    path.write_text(text.replace('\\"latency_ms\\": 1.0', '\\"latency_ms\\": 2.0', 1))
+    assert not all(ok for ok, _ in _chains(spark, log).values())
+
+
+def test_idle_logs_are_closed_and_open_another_volume(spark, tmp_path):
+    folder, log, cp = tmp_path / "in", tmp_path / "log", tmp_path / "cp"
+    folder.mkdir()
+    _land(folder, "a.json", [_row(0), _row(1), _row(2)])
+    chains.start(spark, str(folder), str(log), str(cp), idle_ms=1).awaitTermination()
+    time.sleep(1.1)
+    _land(folder, "b.json", [_row(11)])
+    chains.start(spark, str(folder), str(log), str(cp), idle_ms=1).awaitTermination()
+    time.sleep(1.1)
+    _land(folder, "c.json", [_row(20)])
+    chains.start(spark, str(folder), str(log), str(cp), idle_ms=1).awaitTermination()
+    got = chains.verify(spark, str(log)).collect()
+    assert all(r.ok for r in got) and sum(r.closed for r in got) >= 2
+    assert {r.volume for r in got} >= {"l0/2025-01-01T00:00:00.000000+00:00/0", "l0/2025-01-01T00:00:00.000000+00:00/20"}
+    assert sorted(r.doc_id for r in chains.log_rows(spark, str(log)).where("doc_id is not null").collect()) == ["d0", "d1", "d11", "d2", "d20"]
+
+
+def test_commits_are_listed_now_and_then(tmp_path, monkeypatch):
+    monkeypatch.setattr(committed_log, "LIST_EVERY", 3)
+    writer = committed_log.LogWriter(str(tmp_path))
+    for batch in range(8):
+        writer.commit([committed_log.Written([{"name": f"f{batch}"}]), None], batch)
+    assert [(b, [f["name"] for f in files]) for b, files in committed_log.commits(f"file://{tmp_path}")] == [(b, [f"f{b}"]) for b in range(8)]
+    for old in range(6):
+        (tmp_path / "_commits" / f"{old:012d}.json").unlink()
+    assert [b for b, _ in committed_log.commits(str(tmp_path))] == list(range(8))
