@@ -38,7 +38,7 @@ _ENDS = spans.byte_class((0x0A, 0x0D))
 _ENDS[list(b".,;:!?")] = True
 _WORD = ~_ENDS
 _WORD[[0x20, 0x09]] = False
-_COUNTS = "lang string, phrase string, h long, f long"
+_COUNTS = "lang string, phrase string, f long"
 
 
 class Frequent:
@@ -56,8 +56,32 @@ class Frequent:
         return self.values[np.minimum(np.searchsorted(self.values, h), len(self.values) - 1)] == h
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each phrase (lang, phrase), as :func:`_runs` makes it."""
+    for batch in batches:
+        if batch.num_rows:
+            raw, off = K.text_bytes(batch.column("phrase"))
+            start, end, row = spans.runs(raw, off, _WORD)
+            word, words = spans.named(raw, start, end)
+            lang, langs = spans.coded(batch.column("lang"))
+            each = K.mix(spans.value_hashes(words)[word] ^ K.mix(spans.value_hashes(langs))[lang[row]])
+            first = np.searchsorted(row, np.arange(batch.num_rows))
+            length = np.bincount(row, minlength=batch.num_rows)
+            h = each[first]
+            for j in range(1, int(length.max())):
+                longer = np.flatnonzero(length > j)
+                h[longer] = _joined(h[longer], each[first[longer] + j])
+            yield pa.RecordBatch.from_arrays([K.as_i64(h)], names=["h"])
+
+
 def frequent(level: DataFrame, exact: int = EXACT) -> Frequent:
-    """The hashes of a level's rows; at most ``exact`` numbers (a power of two) reach the driver, whatever its size."""
+    """The hashes of a level's rows (lang, phrase); at most ``exact`` numbers (a power of two) reach the driver, whatever
+    its size. They are made here and not carried through the counting, whose rows they would make longer by a third."""
+    level = level.select("lang", "phrase").mapInArrow(_hashed, "h long")
+    return _set_of(level, exact)
+
+
+def _set_of(level: DataFrame, exact: int) -> Frequent:
     if level.count() <= exact:
         found = level.select("h").distinct().toArrow().column("h").to_numpy()
         return Frequent(np.sort(found.astype(np.int64).view(K.U64)), False)
@@ -86,7 +110,7 @@ def _runs(size: int, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 h = K.mix(spans.value_hashes(words)[word] ^ K.mix(spans.value_hashes(langs))[lang])
                 if size == 1:
                     total = np.bincount(lang, minlength=len(langs))
-                    yield _rows(langs, pa.nulls(len(langs), pa.string()), np.zeros(len(langs), K.U64), total)
+                    yield _rows(langs, pa.nulls(len(langs), pa.string()), total)
                     at = np.arange(len(word))
                 else:
                     # runs of up to size words from each word on stay within a piece
@@ -102,7 +126,6 @@ def _runs(size: int, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     at = at[has(part_h[at + 1])]
                     if not len(at):
                         continue
-                    h = _longer(part_h, h, size - 1)
                 # exact names: (language and words so far, next word), numbered anew at each step
                 name = lang[at]
                 for j in range(size):
@@ -111,19 +134,23 @@ def _runs(size: int, known) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 at = at[first]
                 each = [words.take(pa.array(word[at + j])) for j in range(size)]
                 phrase = pc.binary_join_element_wise(*each, pa.scalar(b" ", pa.large_binary())) if size > 1 else each[0]
-                yield _rows(langs.take(pa.array(lang[at])), phrase.cast(pa.binary()).cast(pa.string()), h[at], times)
+                yield _rows(langs.take(pa.array(lang[at])), phrase.cast(pa.binary()).cast(pa.string()), times)
 
     return count
 
 
 def _longer(part: np.ndarray, word: np.ndarray, j: int) -> np.ndarray:
     """Hashes of runs made one word longer, from runs of j words; one fewer than before."""
+    return _joined(part[: len(word) - j], word[j:])
+
+
+def _joined(part: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return K.mix(part[: len(word) - j] * K.U64(0x9E3779B97F4A7C15) + word[j:])
+        return K.mix(part * K.U64(0x9E3779B97F4A7C15) + word)
 
 
-def _rows(lang: pa.Array, phrase: pa.Array, h: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, phrase, K.as_i64(h), pa.array(times.astype(np.int64))], names=["lang", "phrase", "h", "f"])
+def _rows(lang: pa.Array, phrase: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(times.astype(np.int64))], names=["lang", "phrase", "f"])
 
 
 def levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, least: int = LEAST, longest: int = LONGEST, exact: int = EXACT) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +163,7 @@ def levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, l
     made: list[DataFrame] = []
     totals, known = None, None
     for k in range(1, longest + 1):
-        counts = narrow.mapInArrow(_runs(k, known), _COUNTS).groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
+        counts = narrow.mapInArrow(_runs(k, known), _COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         table = stored(counts.where((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{k}")
         if known is not None:
             known.destroy()

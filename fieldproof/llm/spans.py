@@ -52,4 +52,4 @@ def coded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def value_hashes(values: pa.Array) -> np.ndarray:
     """The hash of :func:`.kernels.span_hashes` for each value."""
     raw, off = K.text_bytes(values)
-    return K.span_hashes(raw, off[:-1], off[1:]) if len(raw) else np.full(len(values), 1, K.U64)
+    return K.span_hashes(raw, off[:-1], off[1:]) if len(raw) else K.mix(np.zeros(len(values), K.U64))

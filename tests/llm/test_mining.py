@@ -74,10 +74,10 @@ def test_a_bitmap_never_misses(spark):
     level = spark.range(5000).select(F.xxhash64("id").alias("h"))
     h = level.toArrow().column("h").to_numpy().view("uint64")
     for exact, bits in ((1 << 13, False), (1 << 10, True)):
-        known = phrases.frequent(level, exact)
+        known = phrases._set_of(level, exact)
         assert known.bits is bits and known.has(h).all()
     other = spark.range(5000, 9000).select(F.xxhash64("id").alias("h")).toArrow().column("h").to_numpy().view("uint64")
-    assert not phrases.frequent(level, 1 << 13).has(other).any() and phrases.frequent(level, 1 << 10).has(other).mean() < 0.2
+    assert not phrases._set_of(level, 1 << 13).has(other).any() and phrases._set_of(level, 1 << 10).has(other).mean() < 0.2
 
 
 # -- mixing ----------------------------------------------------------------------------------------------------------
