@@ -179,7 +179,9 @@ def test_each_template_has_its_own_layout(spark):
         dates = sum(s.role == "distractor" and s.field == "date_of_loss" for s in r.layout)
         assert dates == {"claim_form": 3, "claim_form_b": 3, "claim_form_r": 2}.get(r.doc_type, 1)
         assert any(s.role == "other" for s in r.layout) and any(s.role == "header" for s in r.layout)
-    assert "OUR REFERENCE" in words["claim_form_b"] and "BALANCE DUE" in words["invoice_b"]
+        assert all(0 <= s.bbox[0] and s.bbox[2] <= 980 and 0 <= s.bbox[1] and s.bbox[3] <= 1260 for s in r.layout), r.doc_type
+    held_out = words["claim_form_b"] | words["invoice_b"]
+    assert {"Dossier", "Settlement sought"} <= words["claim_form_b"] and not held_out & set().union(*(words[k] for k in kinds if not k.endswith("_b")))
     assert all(len(places[k]) == 1 and len(orders[k]) == 1 for k in kinds[:4]) and all(len(places[k]) > 3 for k in kinds[4:]) and len(orders["claim_form_r"]) > 3
     assert len({frozenset(places[k]) for k in kinds}) == 6
 
