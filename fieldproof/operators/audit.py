@@ -54,23 +54,54 @@ def links(records: DataFrame, log_col: str = "log_id", order_col: str = "line_no
     A long log is cut in blocks of order values (``block``, which must rise with the order). Rows are linked within each;
     then a row per block, with its first link and last hash, is linked to the block before.
     """
+    return joined_blocks(linked_blocks(records, log_col, order_col, block), log_col)
+
+
+def linked_blocks(records: DataFrame, log_col: str = "log_id", order_col: str = "line_no", block: Column | None = None) -> DataFrame:
+    """(log, _block, records, bad, start, opens, ends) per block: its rows linked within it."""
     block = F.floor(F.col(order_col) / BLOCK_LINES) if block is None else block
     rows = records.withColumn("_block", block)
     rows = rows.withColumn("_before", F.lag(F.struct("record_hash")).over(Window.partitionBy(log_col, "_block").orderBy(order_col)))
     link = F.col("_before").isNull() | F.coalesce(F.col("prev_hash") == F.col("_before.record_hash"), F.lit(False))
     content = F.coalesce(F.col("record_hash") == F.col("computed_hash"), F.lit(False))
     bad = F.when(~link | ~content, F.struct(F.col(order_col).alias("at"), link.alias("link")))
-    blocks = rows.groupBy(log_col, "_block").agg(
+    return rows.groupBy(log_col, "_block").agg(
         F.count("*").alias("records"), F.min(bad).alias("bad"), F.min(order_col).alias("start"), F.min_by("prev_hash", order_col).alias("opens"), F.max_by("record_hash", order_col).alias("ends"))
+
+
+def joined_blocks(blocks: DataFrame, log_col: str = "log_id") -> DataFrame:
+    """(log, records, bad) per log of rows of :func:`linked_blocks`: each block linked to the one before."""
     blocks = blocks.withColumn("_before", F.lag(F.struct("ends")).over(Window.partitionBy(log_col).orderBy("_block")))
     tail = F.when(F.col("_before").isNull(), GENESIS).otherwise(F.col("_before.ends"))
     joint = F.when(~F.coalesce(F.col("opens") == tail, F.lit(False)), F.struct(F.col("start").alias("at"), F.lit(False).alias("link")))
     return blocks.groupBy(log_col).agg(F.sum("records").alias("records"), F.min(F.least("bad", joint)).alias("bad"))
 
 
+def verify_again(lines: DataFrame, known: DataFrame | None = None, log_col: str = "log_id", order_col: str = "line_no", block_lines: int = BLOCK_LINES) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, blocks): as :func:`verify`, but blocks that ``known`` holds as verified aren't parsed and hashed again.
+
+    ``known`` is the blocks table of an earlier call. Each block's lines are digested as they stand, by hashes in the
+    JVM; a block whose digest and count are known is trusted, any other one (new, grown or edited) is verified in full.
+    So an edit in an old block is found, and appends cost their own blocks. Blocks that fail are never known. Keep both
+    results before the lines change: they are read lazily.
+    """
+    block = F.floor(F.col(order_col) / block_lines)
+    placed = lines.where(F.trim(F.regexp_replace("line", r"\s", "")) != "").withColumn("_block", block)
+    digest = F.sum(F.xxhash64(order_col, "line").cast("decimal(19, 0)")).alias("digest")
+    now = placed.groupBy(log_col, "_block").agg(F.count("*").alias("_lines"), digest)
+    fresh = placed if known is None else placed.join(now.join(known, [log_col, "_block", "_lines", "digest"], "left_anti").select(log_col, "_block"), [log_col, "_block"], "left_semi")
+    tested = linked_blocks(opened(fresh.drop("_block")), log_col, order_col, block).join(now, [log_col, "_block"])
+    if known is not None:
+        tested = tested.unionByName(known.join(now, [log_col, "_block", "_lines", "digest"], "left_semi"))
+    return _told(joined_blocks(tested, log_col), log_col), tested.where("bad is null")
+
+
 def verify(lines: DataFrame, log_col: str = "log_id", order_col: str = "line_no") -> DataFrame:
     """(log, ok, bad_line, message, records) per log; the first failing line is told, the link before the contents."""
-    made = links(opened(lines), log_col, order_col)
+    return _told(links(opened(lines), log_col, order_col), log_col)
+
+
+def _told(made: DataFrame, log_col: str) -> DataFrame:
     text = (
         F.when(F.col("bad").isNull(), F.concat(F.lit("OK -- "), F.col("records").cast("string"), F.lit(" records, chain intact")))
         .when(~F.col("bad.link"), F.concat(F.lit("line "), F.col("bad.at").cast("string"), F.lit(": previous-hash link broken (a record was removed or reordered)")))

@@ -26,7 +26,8 @@ def long_rows(outputs: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("r
     """outputs (keys, doc_id, raw_output) joined to labels, a row per field with all normal forms; layout normalised."""
     keep = [k for k in keys if k in outputs.columns]
     extra = [c for c in ("latency_ms",) if c in outputs.columns]
-    joined = with_parsed(outputs).join(gold_array(labels).select("doc_id", "gold", F.coalesce("layout", F.array().cast(labels.schema["layout"].dataType)).alias("layout")), "doc_id")
+    # Python's evaluation loses what Spark knows of a table's partitions, so all joins by doc_id come before it
+    joined = with_parsed(outputs.join(gold_array(labels).select("doc_id", "gold", F.coalesce("layout", F.array().cast(labels.schema["layout"].dataType)).alias("layout")), "doc_id"))
     n = F.size("layout")
     texts = F.concat(F.transform("layout", lambda s: s["text"]), F.transform("parsed.fields", lambda p: p["value"]), F.transform("gold", lambda g: g["value"]))
     made = joined.withColumn("forms", T.forms_of(texts))
@@ -96,10 +97,21 @@ def score(outputs: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("run_i
     return score_fields(long_rows(outputs, labels, keys))
 
 
+META = ("doc_type", "line_of_business", "quality", "handwritten", "skew_deg", "group", "gender", "set_id")
+
+
+def score_with_meta(outputs: DataFrame, labels: DataFrame, manifest: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """The rows of ``with_meta(score(outputs, labels, keys), manifest)``, joined a document and not a field at a time.
+
+    Where labels and manifest are bucketed by doc_id, only the outputs are shuffled, once.
+    """
+    narrow = outputs.drop(*[c for c in META if c in outputs.columns and c not in keys])
+    return score(with_meta(narrow, manifest), labels, (*keys, *(c for c in META if c in manifest.columns)))
+
+
 def with_meta(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """rows left-joined to the manifest's columns; of repeated manifest ids the last row counts."""
-    meta = ["doc_type", "line_of_business", "quality", "handwritten", "skew_deg", "group", "gender", "set_id"]
-    have = [c for c in meta if c in manifest.columns]
+    have = [c for c in META if c in manifest.columns]
     order = F.col("seq") if "seq" in manifest.columns else F.lit(0)
     last = manifest.groupBy("doc_id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in have]), order).alias("m")).select("doc_id", "m.*")
     return rows.join(last, "doc_id", "left")

@@ -78,9 +78,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order with its customer's name, group and key, written once a session: outputs, labels and manifest come from it."""
+    return once(spark, f"claims {sf_dir}", lambda: _base(spark, sf_dir))
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
     places = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return orders.join(places, F.col("o_custkey") == F.col("c_custkey")).withColumn("k", F.col("o_orderkey"))
+    return orders.join(places, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("k"), "o_orderdate", "o_orderpriority", "o_totalprice", "c_custkey", "c_name", "c_mktsegment", "r_name")
 
 
 def _printed(name: str) -> Column:
@@ -147,7 +152,7 @@ def manifest(made: DataFrame) -> DataFrame:
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``scored`` above, by way of the parser and the scorer."""
     made = labels(spark, sf_dir)
-    return scoring.with_meta(scoring.score(outputs(spark, sf_dir), made), manifest(made))
+    return scoring.score_with_meta(outputs(spark, sf_dir), made, manifest(made))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

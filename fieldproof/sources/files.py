@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from . import store
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -101,8 +106,24 @@ def image_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def adapter_fingerprint(spark: SparkSession, folder: str) -> str:
-    """Sixteen hex digits over the adapter's weight files in name order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "adapter_model*").load(folder)
-    made = files.agg(F.sort_array(F.collect_list(F.struct("path", "content"))).alias("all")).select(F.sha2(F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["content"])), 256).alias("h")).first()
-    return made.h[:16]
+def adapter_fingerprint(spark: SparkSession, folder: str, block: int = 8 << 20) -> str:
+    """Sixteen hex digits over the adapter's weight files in name order, read by one worker in blocks of bytes.
+
+    The digest of one stream is sequential by nature; what a worker holds is a block, however large the files are.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/adapter_model*")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    paths = sorted(x.getPath().toString() for x in found if x.isFile())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for many in batch.column("paths").to_pylist():
+                made = hashlib.sha256()
+                for uri in many:
+                    system, path = store.opened(uri)
+                    with system.open_input_stream(path) as f:
+                        while data := f.read(block):
+                            made.update(data)
+                yield pa.RecordBatch.from_arrays([pa.array([made.hexdigest()])], names=["h"])
+
+    return spark.createDataFrame([(paths,)], "paths array<string>").mapInArrow(fold, "h string").first().h[:16]
