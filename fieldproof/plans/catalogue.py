@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..constants import FIELDS, GATE, GENESIS, REQUIRED_FIELDS
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import analysis, audit, compare, costs, fairness, generator, metrics, review, scoring, training
+from ..operators import analysis, audit, compare, costs, digest, fairness, generator, metrics, review, scoring, training
 from ..operators.generator import GENDERS, GROUPS
 from ..operators.parse import json_text, with_parsed
+from ..sources import line_index
+from ..sources.working import once_json
 from ..streaming.review import windowed
 from . import claims
 from .claims import DOCUMENTS_SQL, facts, table
@@ -336,10 +338,14 @@ def error_types_by_run(spark: SparkSession, sf: str) -> DataFrame:
     return compare.error_type_table(counts, list(_QUALITIES))
 
 
-@query("select doc_id, case error_type when 'near_miss' then 'Near miss' when 'diacritics' then 'Accents lost' else 'Missed' end as verdict, case when error_type = 'missed' then 'bad' else 'warn' end as tone from scored where error_type in ('near_miss', 'diacritics', 'missed')", from_claims=True)
+_VERDICT = "case error_type " + " ".join(f"when '{k}' then '{v[0]}'" for k, v in review.VERDICTS.items()) + " end"
+_TONE = "case error_type " + " ".join(f"when '{k}' then '{v[1]}'" for k, v in review.VERDICTS.items()) + " end"
+
+
+@query(f"select doc_id, field, {_VERDICT} as verdict, {_TONE} as tone, case when error_type in ('correct', 'correct_null') and not citation_ok then 'warn' else {_TONE} end as box_tone from scored", from_claims=True)
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = facts(spark, sf).where(F.col("error_type").isin("near_miss", "diacritics", "missed"))
-    return review.with_verdict(rows).select("doc_id", "verdict", "box_tone").withColumnRenamed("box_tone", "tone")
+    """What is shown of every field: label, tone, and the tone of its box, which warns where a right value is cited badly."""
+    return review.with_verdict(facts(spark, sf)).select("doc_id", "field", "verdict", "tone", "box_tone")
 
 
 _REQUIRED = ", ".join(f"'{f}'" for f in REQUIRED_FIELDS)
@@ -455,14 +461,24 @@ def chain_verify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- generation and training sets -----------------------------------------------------------------------------------
-@query("select format('t-{:05d}', i) as doc_id, true as money, true as dates, true as evidence, true as boxes, true as shown from range(300) r(i)")
+_GROUP_LIST = "[" + ", ".join(f"'{g}'" for g in GROUPS) + "]"
+
+
+@query(f"""select 'c-' || c_custkey as doc_id, case when c_nationkey % 2 = 0 then 'claim_form' else 'invoice' end as doc_type, {_GROUP_LIST}[(c_nationkey % {len(GROUPS)} + 1)::int] as "group", c_name as set_id,
+  true as money, true as dates, true as evidence, true as boxes, true as shown from customer""")
 def generated_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """What holds for every generated document: sums, order of dates, gold that its evidence reads as, boxes on the page."""
-    r = generator.split_records(spark, "t", 300)
+    """A document per customer, its kind and group by their nation, and what holds for every one of them: sums, order of
+    dates, gold that its evidence reads as, boxes on the page, each gold field shown once."""
+    groups = F.array(*map(F.lit, GROUPS))
+    keys = table(spark, sf, "customer").select(
+        F.concat(F.lit("c-"), "c_custkey").alias("doc_id"), T.stable_seed(F.lit("customer"), F.col("c_custkey").cast("string")).alias("seed"),
+        F.when(F.col("c_nationkey") % 2 == 0, "claim_form").otherwise("invoice").alias("doc_type"), F.element_at(groups, (F.col("c_nationkey") % len(GROUPS) + 1).cast("int")).alias("group"),
+        F.lit(None).cast("string").alias("gender"), F.col("c_name").alias("set_id"))
+    r = generator.records(keys)
     items = F.aggregate("line_items", F.lit(0.0), lambda a, x: a + x["quantity"] * x["price"])
     money = (F.abs(F.col("subtotal") - items) < 0.006) & (F.abs(F.col("tax") - F.col("subtotal") * F.col("tax_rate")) < 0.006) & (F.abs(F.col("invoice_total") - F.col("subtotal") - F.col("tax")) < 0.006)
     dates = (F.col("date_of_birth") < F.col("date_of_loss")) & (F.col("date_of_loss") < F.col("date_reported")) & (F.col("date_of_loss") < F.col("invoice_date"))
-    gold = scoring.gold_array(generator.labels(r)).select("doc_id", "gold", "layout")
+    gold = scoring.gold_array(generator.labels(r, generator.PLAIN_TYPES)).select("doc_id", "doc_type", "meta.group", "meta.set_id", "gold", "layout")
     read = T.forms_of(F.concat(F.transform("gold", lambda g: g["value"]), F.transform("gold", lambda g: g["evidence_text"])))
     made = gold.withColumn("forms", read)
     same = [T.form_for(F.lit(f), F.col("forms")[i]).eqNullSafe(T.form_for(F.lit(f), F.col("forms")[i + len(FIELDS)])) for i, f in enumerate(FIELDS)]
@@ -471,16 +487,25 @@ def generated_documents(spark: SparkSession, sf: str) -> DataFrame:
         every = every & x
     boxes = F.forall("layout", lambda s: (s["bbox"][0] < s["bbox"][2]) & (s["bbox"][1] < s["bbox"][3]) & (s["bbox"][0] >= 0) & (s["bbox"][3] <= 1260))
     shown = F.size(F.filter("gold", lambda g: g.isNotNull())) == F.size(F.filter("layout", lambda s: s["role"] == "value"))
-    return made.select("doc_id", every.alias("evidence"), boxes.alias("boxes"), shown.alias("shown")).join(r.select("doc_id", money.alias("money"), dates.alias("dates")), "doc_id")
+    return made.select("doc_id", "doc_type", "group", "set_id", every.alias("evidence"), boxes.alias("boxes"), shown.alias("shown")).join(r.select("doc_id", money.alias("money"), dates.alias("dates")), "doc_id")
 
 
 _COMBOS = ", ".join(f"('{g}', '{s}')" for g in GROUPS for s in GENDERS)
 
 
-@query(f"""with c as (select * from (values {_COMBOS}) t(grp, gender)), r as (select i, grp, gender, row_number() over (partition by i order by substr(sha256('1234|combos|' || i || '|' || grp || '|' || gender), 1, 12)) as n from range(200) t(i) cross join c)
-  select format('fair-{{:04d}}', i) as set_id, format('fair-{{:04d}}', i) || '-' || grp || '-' || gender as doc_id from r where n <= 4""")
+@query(f"""with c as (select * from (values {_COMBOS}) t(grp, gender)), r as (select c_custkey as i, grp, gender, row_number() over (partition by c_custkey order by substr(sha256('1234|combos|' || c_custkey || '|' || grp || '|' || gender), 1, 12)) as n from customer cross join c)
+  select 'customer-' || i as set_id, string_agg('customer-' || i || '-' || grp || '-' || gender, ' ' order by grp, gender) as doc_ids, true as only_the_name, true as names_differ, 4::bigint as n from r where n <= 4 group by i""")
 def counterfactual_generate(spark: SparkSession, sf: str) -> DataFrame:
-    return generator.manifest(generator.labels(generator.fairness_records(spark, 200, 4))).select("set_id", "doc_id")
+    """A set of four documents per customer; whether gold, layout, places and meta are equal but for name, group and gender."""
+    base = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("customer-"), "c_custkey").alias("set_id"))
+    rows = generator.labels(generator.counterfactuals(base), generator.PLAIN_TYPES)
+    name = F.col("fields.claimant_name.value")
+    # a name's box is as wide as the name, so only its upper left corner is looked at, on a page that is not turned
+    segments = F.transform("layout", lambda s: F.struct(F.when(s["field"] == "claimant_name", "").otherwise(s["text"]).alias("text"), F.when((s["field"] == "claimant_name").eqNullSafe(True), None).otherwise(s["bbox"]).alias("bbox"), s["role"].alias("role"), s["field"].alias("field")))
+    rest = F.sha2(F.to_json(F.struct("doc_type", "width", "height", *[F.col(f"fields.{f}").alias(f) for f in FIELDS if f != "claimant_name"], segments.alias("layout"), *[F.col(f"meta.{c}").alias(c) for c in ("line_of_business", "handwritten", "quality", "skew_deg", "date_format", "amount_format", "set_id")])), 256)
+    each = rows.select("meta.set_id", "doc_id", "meta.group", "meta.gender", name.alias("name"), rest.alias("rest"))
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "gender", "doc_id"))), lambda x: x["doc_id"]), " ")
+    return each.groupBy("set_id").agg(ids.alias("doc_ids"), (F.countDistinct("rest") == 1).alias("only_the_name"), (F.countDistinct("name") == F.countDistinct("group", "gender")).alias("names_differ"), F.count("*").alias("n"))
 
 
 @query("""with e as (select source, cast(doc_id as varchar) as d, sha256(cast(doc_id as varchar) || chr(1) || '{"doc_id":"' || doc_id || '","lang":"' || coalesce(lang, '') || '","n_chars":' || n_chars || '}') as h from documents),
@@ -499,3 +524,79 @@ def training_set_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n, sum(value) as total from events group by 1, 2")
 def events_windowed(spark: SparkSession, sf: str) -> DataFrame:
     return windowed(table(spark, sf, "events"))
+
+
+# -- versions of a table, lines by key, odd outputs --------------------------------------------------------------------
+_NEXT_VERSION = """select o_orderkey, o_custkey, case when o_orderkey % 97 = 5 then o_totalprice + 1 else o_totalprice end as o_totalprice, case when o_orderkey % 89 = 3 then null else o_orderpriority end as o_orderpriority from orders where o_orderkey % 101 != 7
+  union all select o_orderkey, o_custkey, o_totalprice, o_orderpriority from orders where o_orderkey % 211 = 1"""
+_VERSION = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+
+
+@query(f"""with a as (select {', '.join(_VERSION)} from orders), b as ({_NEXT_VERSION}), gone as (select * from a except all select * from b), come as (select * from b except all select * from a)
+  select *, count(*)::bigint as n from gone group by all union all select *, -count(*)::bigint as n from come group by all""")
+def version_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """What a version of the orders holds more than the next one, in which rows are edited, dropped and doubled."""
+    orders = table(spark, sf, "orders").select(*_VERSION)
+    key = F.col("o_orderkey")
+    edited = orders.where(key % 101 != 7).withColumns({"o_totalprice": F.when(key % 97 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "o_orderpriority": F.when(key % 89 != 3, F.col("o_orderpriority"))})
+    return digest.difference(orders, edited.unionAll(orders.where(key % 211 == 1)))
+
+
+@query("""select 'whole and part' as what, true as equal_to_itself, false as equal, true as contains, false as contained
+  union all select 'whole and doubled', true, false, case when count(*) = 0 then true else false end, true from orders""")
+def version_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders against those of them above the smallest price, and against all of them with the cheapest ones doubled."""
+    orders = table(spark, sf, "orders").select(*_VERSION)
+    least = orders.agg(F.min("o_totalprice").alias("least"))
+    cheapest = orders.join(F.broadcast(least), F.col("o_totalprice") == F.col("least"), "left_semi")  # one row
+    part = orders.join(F.broadcast(least), F.col("o_totalprice") > F.col("least"), "left_semi")
+    rows = [(what, digest.equal(orders, orders.repartition(3)), digest.equal(orders, other), digest.contains(orders, other), digest.contains(other, orders)) for what, other in (("whole and part", part), ("whole and doubled", orders.unionAll(cheapest)))]
+    return spark.createDataFrame(rows, "what string, equal_to_itself boolean, equal boolean, contains boolean, contained boolean")
+
+
+@query("""select conv_id::varchar as key, max(turn)::bigint as turn, arg_max(role, turn) as role from (select conv_id, turn, max(role) as role from conversations group by all) group by conv_id""")
+def last_line_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The last line of every conversation from JSON Lines files, by their index: only these lines are read."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"))
+    lines = once_json(spark, f"conversation lines {sf}", lambda: turns.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn"))
+    index = f"{lines}-index"
+    line_index.build(spark, f"{lines}/*.json", index, "conv_id")
+    keys = turns.select(F.col("conv_id").cast("string").alias("key"))
+    found = line_index.records(line_index.joined(spark, index, keys))
+    return found.select("key", F.get_json_object("line", "$.turn").cast("long").alias("turn"), F.get_json_object("line", "$.role").alias("role"))
+
+
+#: Raw outputs around a claim number, and what is made of them: (text, json_valid, schema_valid, error, value, has a box, page).
+_ODD = (
+    ('{"claim_number": {"value": "@", "evidence_text": "@", "page": 1, "bbox": [1, 2, 3, 4]}}', True, True, None, "@", True, 1),
+    ('{}', True, True, None, None, False, None),
+    ('no brackets for @', False, False, "no_json_found", None, False, None),
+    ('{not json @', False, False, "no_json_found", None, False, None),
+    ('{not json @}', False, False, "invalid_json", None, False, None),
+    ('Here:\n```json\n{"claim_number": {"value": "@", "bbox": [9, 8, 1, 2]}}\n```\nthat is all', True, True, None, "@", True, 1),
+    ('[{"claim_number": {"value": "@"}}]', True, False, "wrapped_in_list", "@", False, 1),
+    ('[1, "@"]', False, False, "json_not_an_object", None, False, None),
+    ('{"claim_number": {"value": null, "evidence_text": "@"}}', True, True, None, None, False, None),
+    ('{"claim_number": "@"}', True, False, "schema_error", "@", False, 1),
+    ('{"claim_number": {"value": "@", "bbox": [1, 2, 3]}}', True, False, "schema_error", "@", False, 1),
+    ('{"claim_number": {"value": "@", "page": null}}', True, False, "schema_error", "@", False, 1),
+    ('{"claim_number": {"value": "@", "evidence_text": 5, "bbox": [1, 2, 3, 4]}}', True, False, "schema_error", "@", False, 1),
+    ('{"claim_number": {"value": "first"}, "claim_number": {"value": "@", "page": "2"}}', True, True, None, "@", False, 2),
+    ('{"claim_number": ["@"]}', True, False, "schema_error", None, False, None),
+    ('{"claim_number": {"value": "@", "bbox": ["a", 2, 3, 4]}, "policy_number": 7} and words after', True, False, "schema_error", "@", False, 1),
+)
+
+
+def _odd_sql(i: int) -> str:
+    shown = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "cast(o_orderkey as varchar)" if v == "@" else f"'{v}'"
+    return f"case o_orderkey % {len(_ODD)} " + " ".join(f"when {k} then {shown(x[i])}" for k, x in enumerate(_ODD)) + " end"
+
+
+@query(f"select o_orderkey, {_odd_sql(1)} as json_valid, {_odd_sql(2)} as schema_valid, {_odd_sql(3)} as error, {_odd_sql(4)} as value, {_odd_sql(5)} as has_box, {_odd_sql(6)}::int as page from orders")
+def odd_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """What is kept of outputs that fit the schema badly or not at all: an order's key in each of sixteen odd texts."""
+    texts = F.array(*[F.lit(x[0]) for x in _ODD])
+    raw = F.replace(F.element_at(texts, (F.col("o_orderkey") % len(_ODD) + 1).cast("int")), F.lit("@"), F.col("o_orderkey").cast("string"))
+    read = with_parsed(table(spark, sf, "orders").select("o_orderkey", raw.alias("raw_output")))
+    one = F.col("parsed.fields")[0]
+    return read.select("o_orderkey", "parsed.json_valid", "parsed.schema_valid", "parsed.error", one["value"].alias("value"), F.coalesce(F.size(one["bbox"]) == 4, F.lit(False)).alias("has_box"), one["page"].alias("page"))

@@ -13,6 +13,15 @@ _made: dict[tuple[str, str], str] = {}
 
 def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of this name, made and written at its first use in a session; it goes when the JVM ends."""
+    return spark.read.parquet(_path(spark, name, lambda path: make().write.parquet(path)))
+
+
+def once_json(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> str:
+    """The folder of the JSON Lines files of this name, as :func:`once`."""
+    return _path(spark, name, lambda path: make().write.json(path))
+
+
+def _path(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
     key = spark.sparkContext.applicationId, name
     if key not in _made:
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -21,8 +30,8 @@ def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataF
                 raise RuntimeError("spark.checkpoint.dir is not set: working tables need a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="fieldproof-")
         path = f"{folder.rstrip('/')}/working-{uuid.uuid4().hex}"
-        make().write.parquet(path)
+        write(path)
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
         _made[key] = path
-    return spark.read.parquet(_made[key])
+    return _made[key]
