@@ -10,6 +10,7 @@ most 5 k of them), and the rest is verified with Myers' bit-parallel distance.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
@@ -26,8 +27,6 @@ from .shared import small_batches, stored, text_column
 RATE = 0.1
 #: Benchmark text sent to executors at once; more items go in further passes.
 BLOCK_BYTES = 8 << 20
-#: Items shorter than this many folded bytes are matched exactly: they have no room for edits.
-LEAST_BYTES = 30
 _GRAM = 5
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -69,7 +68,7 @@ class Item:
 
     def __init__(self, item_id: int, text: str, rate: float):
         self.item_id, self.text, self.m = item_id, text, len(text)
-        self.k = int(rate * self.m) if self.m >= LEAST_BYTES else 0
+        self.k = int(rate * self.m)
         cuts = [round(j * self.m / (self.k + 1)) for j in range(self.k + 2)]
         self.pieces = [(a, text[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         self.grams = {text[i : i + _GRAM] for i in range(self.m - _GRAM + 1)}
@@ -143,10 +142,25 @@ def _beside(text: str, begin: int, end: int, partner: tuple[bool, str, str]) ->
     return b in text[max(0, begin - m - 1) : begin + 1] or a in text[max(0, begin - m - n - 1) : max(0, begin - m + 1)]
 
 
+#: The block that this worker last matched with: a name, its items and their automaton.
+_kept: tuple[str, list[Item], ahocorasick.Automaton] | None = None
+
+
+def _made(name: str, sent, rate: float) -> tuple[list[Item], ahocorasick.Automaton]:
+    """The block's items and automaton, made once a worker and not once a task; a worker holds one block at a time."""
+    global _kept
+    if _kept is None or _kept[0] != name:
+        _kept = None
+        items = [Item(i, t, rate) for i, t in sent.value]
+        _kept = name, items, _matcher(items)
+    return _kept[1:]
+
+
 def _find(sent, rate: float):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [Item(i, t, rate) for i, t in sent.value]
-        automaton = _matcher(items)
+        items, automaton = _made(name, sent, rate)
         for batch in batches:
             for part in K.chunks(batch, "text"):
                 raw, off = K.text_bytes(part.column("text"))
@@ -213,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     distance counts edits of folded bytes; start and stop are code points of the text, stop exclusive. Of overlapping
     matches of one item the nearest is given. Items and texts that are null or hold no letter or digit match nothing;
-    items under 30 folded bytes match exactly. Repeated rows each give their matches; empty tables give none.
+    items under 10 folded bytes have no room for an edit. Repeated rows each give their matches; empty tables give none.
     """
     base = text_column(docs, id_col, text_col)
     spark = docs.sparkSession

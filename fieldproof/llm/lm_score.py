@@ -328,13 +328,18 @@ def passes(tokens: int) -> int:
     return min(4, 1 + (1 << 21) // max(1, tokens))
 
 
+def dealt_rows(learn: DataFrame, parts: int) -> DataFrame:
+    """(h, text, part) of rows (doc_id, text): dealt by a hash of both, so that copies of one text spread over all parts."""
+    return learn.select(F.xxhash64("doc_id", "text").alias("h"), "text").withColumn("part", F.expr(f"pmod(h, {parts})"))
+
+
 def train(learn: DataFrame, v: Vocabulary, rounds: int = ROUNDS, batch_tokens: int = 1024) -> Parameters:
-    """Parameters from all texts of ``learn`` (a column text), whatever its partitions."""
+    """Parameters from all rows of ``learn`` (doc_id, text), whatever its partitions."""
     spark = learn.sparkSession
     p = Parameters.start(v.output_counts)
     squares = Parameters(*(np.full(x.shape, 0.1, np.float32) for x in p.arrays()))
     parts = parts_of_round(v.tokens, rounds)
-    dealt = learn.select(F.xxhash64("text").alias("h"), "text").withColumn("part", F.expr(f"pmod(h, {rounds * parts})"))
+    dealt = dealt_rows(learn, rounds * parts)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((_named(v), p.flat(), squares.flat()))
 
@@ -459,7 +464,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pa
     ends = learn.select("doc_id").count()
     counts = stored(learn.select("text").mapInArrow(_count, "h long, g int, c long").groupBy("h", "g").agg(F.sum("c").alias("c")), "counts")
     v = _vocabulary(counts, ends)
-    p = train(learn.select("text"), v, rounds)
+    p = train(learn.select("doc_id", "text"), v, rounds)
     sent = spark.sparkContext.broadcast((v, p.flat(), _normalisers(spark, p)))
     rows = base.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(
         _score(sent), "doc_id long, key long, h long, n long, tokens double, known double, base double, score double")

@@ -240,8 +240,8 @@ def candidate_links(reps: DataFrame, leaf: int, coarse: float, pivot_coarse: flo
         # a node that is nearly all one star becomes one cluster; the others, a row per large node, go on
         ended = stored(step.where("node is null").groupBy("parent").agg(F.expr("64 * count_if(far) <= count(*)").alias("ended")), "ended")
         kept += [step, ended]
-        stars.append(step.where("node is null").join(F.broadcast(ended), "parent").where("ended or not far").select("u", "v"))
-        rows = step.where("node is not null").join(F.broadcast(ended), "parent").where("not ended").select("node", F.col("u").alias("rep"))
+        stars.append(step.where("node is null").join(ended, "parent").where("ended or not far").select("u", "v"))
+        rows = step.where("node is not null").join(ended, "parent").where("not ended").select("node", F.col("u").alias("rep"))
     else:
         # what no level has split
         rows = stored(rows, "nodes")

@@ -344,6 +344,15 @@ def test_lm_does_not_depend_on_partitions_and_beats_its_base(spark, monkeypatch)
         assert sum(r.score for r in held) / n > sum(r.base_score for r in held) / n + 0.05
 
 
+def test_lm_copies_of_one_text_are_dealt_evenly(spark):
+    """Half of the rows are one text: parts hold about as many rows, and a row's part doesn't depend on partitions."""
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same words").otherwise(F.concat(F.lit("word "), "id")).alias("text"))
+    dealt = [lm_score.dealt_rows(rows.repartition(n), 16) for n in (2, 13)]
+    sizes = [r["count"] for r in dealt[0].groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * min(sizes)
+    assert dealt[0].exceptAll(dealt[1]).count() == 0
+
+
 def test_lm_head_is_filled_where_counts_tie(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HEAD", 300)
     rows = spark.range(5000).select(F.xxhash64("id").alias("h"), F.lit(0).alias("g"), F.when(F.col("id") < 20, 50).otherwise(1).cast("long").alias("c"))
@@ -466,7 +475,7 @@ def distance(item, text):
 
 def test_decontamination_against_brute_force(spark, edges):
     r = random.Random(6)
-    items = [(i, prose(14, 500 + i).capitalize() + ".") for i in range(12)] + [(12, None), (13, "..."), (14, "short item")]
+    items = [(i, prose(14, 500 + i).capitalize() + ".") for i in range(12)] + [(12, None), (13, "..."), (14, "short item"), (15, "a few words of it"), (16, "nine byte")]
     rows = []
     for n in range(80):
         text = list(items[n % 12][1])
@@ -474,14 +483,14 @@ def test_decontamination_against_brute_force(spark, edges):
             at = r.randrange(len(text))
             text[at : at + r.choice([0, 1, 1])] = r.choice(["", "x", "q"])
         rows.append((n, prose(30, n) + " " + "".join(text) + "\n" + prose(30, n + 300)))
-    rows.append((80, "A short  ITEM!"))
+    rows += [(80, "A short  ITEM!"), (81, "one shxrt item, spoilt"), (82, "xshort itxm"), (83, "a few wards ofit"), (84, "nine bytes, nime byte"), (85, "nixe byte")]
     got = {(x.doc_id, x.item_id): x for x in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     for n, text in rows:
         folded = decontaminate.folded_text(text)
         for i, item in items:
             own = decontaminate.folded_text(item or "")
             if own:
-                d, budget = distance(own, folded), int(0.1 * len(own)) if len(own) >= 30 else 0
+                d, budget = distance(own, folded), int(0.1 * len(own))
                 assert ((n, i) in got) == (d <= budget), (n, i, d, budget)
                 if (n, i) in got:
                     assert got[n, i].distance == d
