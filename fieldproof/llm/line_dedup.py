@@ -110,13 +110,15 @@ def _stretches(least: int):
     return run
 
 
-def _ranked(rows: DataFrame, low: float, high: float, ranges: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """rows with r: how many rows have a smaller (a, b); a lies in [low, high). Also the stored table of ranks.
+def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with r: how many rows have a smaller (a, b). Also the stored table of ranks.
 
-    Distinct pairs are counted first; each range of a is summed for itself, and ranges are joined by their totals.
+    Distinct pairs are counted first and dealt by ranges of (a, b), which Spark samples and of which there are as many
+    as shuffle partitions: the followers of one very common line are split as any other pairs are. Each range is summed
+    for itself, and ranges are joined by their totals.
     """
-    at = F.floor((F.col("a").cast("double") - low) / ((high - low) / ranges))
-    pairs = stored(rows.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("g", at), "pairs")
+    counted = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = stored(counted.repartitionByRange("a", "b").withColumn("g", F.spark_partition_id()), "pairs")
     below = pairs.groupBy("g").agg(F.sum("n").alias("t")).select("g", (F.sum("t").over(Window.orderBy("g")) - F.col("t")).alias("base"))  # a row per range
     inside = Window.partitionBy("g").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     names = pairs.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(below), "g").select("a", "b", (F.col("base") + F.col("before")).alias("r"))
@@ -137,14 +139,13 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = rows.withColumn("all", F.sum("words").over(Window.partitionBy("doc_id", "key", "part"))).where(F.col("all") >= min_words)
     stretches = stored(whole.select("doc_id", "key", "part", "q", "line", "h", "words").sortWithinPartitions("doc_id", "key", "part", "q").mapInArrow(_stretches(min_words), _STRETCH), "stretches")
     discard(lines, often)
-    facts = stretches.agg(F.count("*").alias("n"), F.max(F.array_max("lens")).alias("longest")).first()
+    longest = stretches.agg(F.max(F.array_max("lens"))).first()[0] or 0
     named: list[DataFrame] = []
     of = ("doc_id", "key", "part")
     suffixes = stretches.select(*of, F.struct("q", "line", "lens").alias("x"), F.col("h").alias("a"), F.lit(0).cast("long").alias("b"))
-    for level in range((facts.longest or 0).bit_length()):
-        bounds = (0.0, float(facts.n + 1)) if level else (-(2.0**63), 2.0**63)
+    for level in range(longest.bit_length()):
         # a row per stretch: its suffixes in order, with their ranks
-        rows, pairs = _ranked(suffixes, *bounds)
+        rows, pairs = _ranked(suffixes)
         ranked = stored(rows.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("x.q", "x.line", "x.lens", "r"))).alias("s")), "suffixes")
         discard(pairs)
         # a run's name: the ranks of its first and its last 2**level lines

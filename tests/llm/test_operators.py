@@ -455,6 +455,24 @@ def test_a_hot_key_is_split(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_ranks_of_a_common_line_are_split(spark):
+    """Half of the suffixes begin with one line: ranks are right, and no range holds the followers of that line alone."""
+    r = random.Random(3)
+    pairs = [(5 if r.random() < 0.5 else r.randrange(1000), r.randrange(4000)) for _ in range(12_000)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        ranked, table = line_dedup._ranked(spark.createDataFrame(pairs, "a long, b long").repartition(5))
+        place = {}
+        for i, p in enumerate(sorted(pairs)):
+            place.setdefault(p, i)
+        assert sorted((x.a, x.b, x.r) for x in ranked.collect()) == sorted((*p, place[p]) for p in pairs)
+        sizes = [x["count"] for x in table.where("a = 5").groupBy("g").count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 0.7 * sum(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_line_dedup_edges(spark, edges):
     got = line_dedup.dedup(edges).toPandas()
     assert len(got) == len(edge_rows()) and set(SCHEMA.replace(" string", "").replace(" long", "").split(", ")) <= set(got.columns)
