@@ -144,6 +144,11 @@ def log_rows(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.format("committed_log").load(log)
 
 
+def receipts(spark: SparkSession, log: str) -> DataFrame:
+    """(log_id, volume, n, doc_id, record_hash, prev_hash): what a sender is told of each record."""
+    return log_rows(spark, log).select("log_id", "volume", "n", "doc_id", "record_hash", "prev_hash")
+
+
 def verify(spark: SparkSession, log: str) -> DataFrame:
     """(log_id, volume, ok, records, closed) per volume: links and contents hold, and a closing record counts right."""
     rows = log_rows(spark, log)

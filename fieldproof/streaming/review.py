@@ -100,5 +100,6 @@ def verify_log(spark: SparkSession, log_path: str) -> DataFrame:
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts, sums and review shares by event-time window, for batch and stream alike."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    # a watermark is a point in time, so times without a zone are read in the session's
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return source.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")

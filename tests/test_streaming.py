@@ -46,6 +46,19 @@ def test_windows(spark):
     assert sorted((r.n, r.total) for r in review.windowed(events).collect()) == [(1, 4.0), (2, 3.0)]
 
 
+def test_windows_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    """The events in three files, and one event far ahead that closes all windows before it."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value")
+    folder = tmp_path / "in"
+    events.repartition(3).write.parquet(str(folder))
+    last = events.agg(F.max("ts") + F.expr("interval 9 days")).first()[0]
+    spark.createDataFrame([(last, "end", 0.0)], events.schema).write.mode("append").parquet(str(folder))
+    closing = review.windowed(spark.readStream.schema(events.schema).parquet(str(folder)), late="1 hour")
+    closing.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted((str(r.window_start), r.event_type, r.n, round(r.total, 6)) for r in df.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out")).where("event_type != 'end'")) == key(review.windowed(events))
+
+
 def _row(i, log=None):
     return {"log_id": log or f"l{i % 2}", "seq": i, "doc_id": f"d{i}", "raw_output": "{}", "latency_ms": 1.0, "ts": "2025-01-01T00:00:00"}
 
@@ -67,6 +80,8 @@ def test_chain_state_is_keyed_and_a_batch_touches_its_own_logs(spark, tmp_path):
     assert state["numRowsTotal"] >= 120 and max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress) <= 16
     chains.start(spark, str(folder), str(log), str(cp)).awaitTermination()
     rows = chains.log_rows(spark, str(log))
+    (told,) = chains.receipts(spark, str(log)).where("doc_id = 'd51'").collect()
+    assert told.n == 3 and len(told.record_hash) == len(told.prev_hash) == 64
     assert [r.seq for r in rows.where("log_id = 'l7'").orderBy("n").collect()] == [7, 50, 51] and rows.count() == 44
     got = _chains(spark, log)
     assert len(got) == 41 and got["l7"] == (True, 3) and got["new"] == (True, 2) and all(ok for ok, _ in got.values())
