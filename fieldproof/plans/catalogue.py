@@ -600,3 +600,6 @@ def odd_outputs(spark: SparkSession, sf: str) -> DataFrame:
     read = with_parsed(table(spark, sf, "orders").select("o_orderkey", raw.alias("raw_output")))
     one = F.col("parsed.fields")[0]
     return read.select("o_orderkey", "parsed.json_valid", "parsed.schema_valid", "parsed.error", one["value"].alias("value"), F.coalesce(F.size(one["bbox"]) == 4, F.lit(False)).alias("has_box"), one["page"].alias("page"))
+
+
+from . import runs_and_files  # noqa: E402, F401  registers its queries here

@@ -21,6 +21,11 @@ def once_json(spark: SparkSession, name: str, make: Callable[[], DataFrame]) ->
     return _path(spark, name, lambda path: make().write.json(path))
 
 
+def once_folder(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    """The folder that ``write`` has filled, as :func:`once`."""
+    return _path(spark, name, write)
+
+
 def _path(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
     key = spark.sparkContext.applicationId, name
     if key not in _made:
