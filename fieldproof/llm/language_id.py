@@ -267,28 +267,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _calibrate(models: Models, trial: Models, held: DataFrame) -> None:
-    """Sharpness and usual cross-entropy from texts that the trial models haven't seen."""
+    """Sharpness and usual cross-entropy from texts that the trial models haven't seen.
+
+    Workers add up the loss of each sharpness; the driver gets those sums and a number per text of the bounded sample.
+    """
     sent = held.sparkSession.sparkContext.broadcast(trial)
+    tries = np.geomspace(1e-3, 1, 13)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {lang: i for i, lang in enumerate(sent.value.languages)}
         for batch in batches:
-            some = [(c, lang) for c, lang in zip(keys(batch.column("text")), batch.column("lang").to_pylist()) if len(c) and lang in sent.value.languages]
-            h = [sent.value.entropies(c) for c, _ in some]
-            yield pa.RecordBatch.from_arrays([pa.array([len(c) for c, _ in some], pa.int64()), pa.array([sent.value.languages.index(lang) for _, lang in some], pa.int64()), pa.array([x.tolist() for x in h], pa.list_(pa.float64()))], names=["n", "own", "h"])
-
-    table = held.mapInArrow(run, "n long, own long, h array<double>").toArrow()
-    if not table.num_rows:
+            best, loss = [], np.zeros(len(tries))
+            for c, lang in zip(keys(batch.column("text")), batch.column("lang").to_pylist()):
+                if len(c) and lang in place:
+                    h = sent.value.entropies(c)
+                    best.append(float(h.min()))
+                    z = np.clip(-(h - h.min()) * len(c) * tries[:, None], -60, 0)
+                    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+                    loss -= np.log(np.maximum(p[:, place[lang]], 1e-9))
+            yield pa.RecordBatch.from_arrays([pa.array([best], pa.list_(pa.float64())), pa.array([loss.tolist()], pa.list_(pa.float64()))], names=["best", "loss"])
+
+    table = held.mapInArrow(run, "best array<double>, loss array<double>").toArrow()
+    best = table.column("best").combine_chunks().flatten().to_numpy() if table.num_rows else np.empty(0)
+    if not len(best):
         return
-    n, own, h = np.asarray(table.column("n")), np.asarray(table.column("own")), np.array(table.column("h").to_pylist())
-    best = h.min(axis=1)
     models.usual = float(np.median(best)), float(max(0.05, 6 * np.median(np.abs(best - np.median(best)))))
-    tries = np.geomspace(1e-3, 1, 13)
-    loss = []
-    for a in tries:
-        z = np.clip(-(h - best[:, None]) * n[:, None] * a, -60, 0)
-        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-        loss.append(-np.log(np.maximum(p[np.arange(len(own)), own], 1e-9)).mean())
-    models.sharpness = float(tries[int(np.argmin(loss))])
+    models.sharpness = float(tries[int(np.argmin(np.sum(table.column("loss").to_pylist(), axis=0)))])
 
 
 def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
