@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from fieldproof import runs
 from fieldproof.constants import IOU_THRESHOLD, REWARD_WEIGHTS
 from fieldproof.operators import audit, generator, rewards, scoring
 from fieldproof.plans import claims
@@ -95,6 +96,17 @@ def test_a_second_verification_tests_new_and_changed_blocks(spark):
     assert audit.verify_again(frame([]), known)[0].collect() == []
 
 
+def test_blocks_found_intact_are_kept_between_verifications(spark, tmp_path):
+    log, known = tmp_path / "audit.jsonl", str(tmp_path / "known")
+    put = lambda rows: log.write_text("".join(f"{line}\n" for _, _, line in rows))
+    assert runs.verify_log(spark, str(log), known) is None
+    for rows, ok in ((_log(30), True), (_log(45), True), (_log(45, edit=7), False), (_log(45), True)):
+        put(rows)
+        found = runs.verify_log(spark, str(log), known)
+        assert (found.ok, found.records) == (ok, 45 if len(rows) == 45 else 30) and found.message == runs.verify_log(spark, str(log)).message
+    assert sorted(p.name for p in (tmp_path / "known").iterdir()) == ["version=3", "version=4"]
+
+
 def test_a_reward_of_ones_own(spark):
     def built_in(doc):
         """The built-in reward, from a document's rows."""
