@@ -1,7 +1,7 @@
 """Normal forms of values.
 
-Spark has no NFKC, NFKD or case folding, so these run as pandas UDFs over plain Python functions; each call normalises
-an array, so one row costs one call, and a worker keeps the forms of texts that come again. They are marked so that the
+Spark has no NFKC, NFKD or case folding, so these run as Arrow UDFs over plain Python functions; a call normalises the
+distinct texts of a batch of arrays, and a worker keeps the forms of texts that come again. They are marked so that the
 planner never evaluates a call twice. The UDFs are total: they never raise, as Spark may evaluate them outside a guard.
 """
 
@@ -12,7 +12,8 @@ import unicodedata
 from datetime import datetime
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,14 +81,20 @@ def normalized(field: str, value: str | None) -> str | None:
     return made and made[("date", "amount", "id", "text").index(KIND_OF_FIELD.get(field, "text"))]
 
 
-def _forms(values: pd.Series) -> pd.Series:
+def _forms(values: pa.Array) -> pa.Array:
+    """The forms of a batch of arrays: each distinct text is normalised once, the rest is taking by number."""
+    coded = values.flatten().dictionary_encode()
+    made = [forms(v) for v in coded.dictionary.to_pylist()]
     names = ("date", "amount", "id", "text", "plain", "whole")
-    return values.map(lambda many: None if many is None else [None if (f := forms(v)) is None else dict(zip(names, f)) for v in many])
+    columns = [pa.array([m and m[i] for m in made], pa.string()) for i in range(len(names))]
+    each = pa.StructArray.from_arrays(columns, names, mask=pa.array([m is None for m in made], pa.bool_()))
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(values), 0)).cast(pa.int32())
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), each.take(coded.indices), mask=values.is_null())
 
 
 def forms_of(values: Column) -> Column:
     """FORMS of each text of an array."""
-    return F.pandas_udf(_forms, f"array<{FORMS}>").asNondeterministic()(values)
+    return F.arrow_udf(_forms, f"array<{FORMS}>").asNondeterministic()(values)
 
 
 def rounded(value: Column, digits: int | None = 4) -> Column:

@@ -1,6 +1,6 @@
 """From raw model text to fields: which part is JSON, is it valid, and what can be kept of it.
 
-The whole-text extraction is a column expression; reading JSON is a pandas UDF, because duplicate keys, NaN, number texts
+The whole-text extraction is a column expression; reading JSON is an Arrow UDF, because duplicate keys, NaN, number texts
 and salvage of single fields follow Python's reader.
 """
 
@@ -10,6 +10,7 @@ import json
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +33,27 @@ def json_text(raw: Column) -> Column:
 
 
 def _page(v: Any) -> int | None:
-    if isinstance(v, bool) or isinstance(v, int):
-        return int(v)
+    """A page number that a column of 32 bits can hold; anything else is none."""
     if isinstance(v, float):
-        return int(v) if v.is_integer() else None
-    if isinstance(v, str):
+        v = int(v) if v.is_integer() else None
+    elif isinstance(v, str):
         try:
-            return int(v.strip())
+            v = int(v.strip())
         except ValueError:
-            return None
-    return None
+            v = None
+    return int(v) if isinstance(v, int) and -(2**31) <= v < 2**31 else None
+
+
+def _text(s: str) -> str:
+    """The text with a question mark for each half of a surrogate pair that stands alone, which no column can hold."""
+    return s if s.isascii() else s.encode("utf-16", "surrogatepass").decode("utf-16", "replace").replace("\ufffd", "?") if any("\ud800" <= c <= "\udfff" for c in s) else s
 
 
 def _box(v: Any) -> list[float] | None:
     """Four numbers as corners in rising order; anything else is no box."""
     try:
         x0, y0, x1, y1 = (float(x) for x in v)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return None
     return [round(x, 1) for x in (min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1))]
 
@@ -60,14 +65,14 @@ def read_field(v: Any) -> tuple[dict | None, bool]:
     if isinstance(v, dict):
         if v.get("value") is None or v.get("value") == "":
             return None, True
-        bare = {"value": str(v["value"]), "evidence_text": None, "page": 1, "bbox": None}
+        bare = {"value": _text(str(v["value"])), "evidence_text": None, "page": 1, "bbox": None}
         evidence, page = v.get("evidence_text"), _page(v.get("page", 1))
         box = None if v.get("bbox") is None else _box(v["bbox"])
         if page is None or not (evidence is None or isinstance(evidence, str)) or (box is None and v.get("bbox") is not None):
             return bare, False
-        return {"value": bare["value"], "evidence_text": evidence, "page": page, "bbox": box}, True
+        return {"value": bare["value"], "evidence_text": evidence and _text(evidence), "page": page, "bbox": box}, True
     if isinstance(v, (str, int, float)):
-        return {"value": str(v), "evidence_text": None, "page": 1, "bbox": None}, False
+        return {"value": _text(str(v)), "evidence_text": None, "page": 1, "bbox": None}, False
     return None, False
 
 
@@ -91,13 +96,18 @@ def read_object(text: str | None) -> dict:
     return {"json_valid": True, "schema_valid": error is None, "error": error, "fields": [f for f, _ in read]}
 
 
-def _read(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_object(t) for t in texts], columns=["json_valid", "schema_valid", "error", "fields"])
+#: PARSED as Arrow has it.
+_FIELD = pa.struct([("value", pa.string()), ("evidence_text", pa.string()), ("page", pa.int32()), ("bbox", pa.list_(pa.float64()))])
+_PARSED = pa.struct([("json_valid", pa.bool_()), ("schema_valid", pa.bool_()), ("error", pa.string()), ("fields", pa.list_(_FIELD))])
+
+
+def _read(texts: pa.Array) -> pa.Array:
+    return pa.array([read_object(t) for t in texts.to_pylist()], _PARSED)
 
 
 def parsed(raw: Column) -> Column:
     """PARSED of a raw text."""
-    return F.pandas_udf(_read, PARSED).asNondeterministic()(json_text(raw))
+    return F.arrow_udf(_read, PARSED).asNondeterministic()(json_text(raw))
 
 
 def with_parsed(outputs: DataFrame, raw_col: str = "raw_output") -> DataFrame:

@@ -50,6 +50,17 @@ def test_box_corners_and_page():
     assert parse.read_field({"value": True, "bbox": [100, 30, 10, 10], "page": "2"}) == ({"value": "True", "evidence_text": None, "page": 2, "bbox": [10.0, 10.0, 100.0, 30.0]}, True)
 
 
+def test_no_output_breaks_the_parser(spark):
+    """Numbers beyond any column, halves of surrogate pairs, deep nesting: kept or dropped, never an error."""
+    one = lambda x: '{"claim_number": ' + x + "}"
+    big = "9" * 400
+    texts = [one('{"value": "a", "page": 99999999999}'), one('{"value": "a", "page": 1e300}'), one('{"value": "a", "bbox": [1, 2, 3, ' + big + "]}"), one('{"value": "x\\ud800y", "evidence_text": "\\udfff"}'), one('"\\ud800"'), one(big), "[" * 100_000 + "]" * 100_000, one('{"value": "a", "bbox": [1, NaN, 3, Infinity]}'), one('{"value": "a", "page": "' + "7" * 5000 + '"}'), None]
+    rows = parse.with_parsed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw_output string")).orderBy("i").select("i", "parsed.*").collect()
+    first = [r.fields[0] for r in rows]
+    assert [f and (f.value, f.evidence_text, f.page) for f in first[:6]] == [("a", None, 1), ("a", None, 1), ("a", None, 1), ("x?y", "?", 1), ("?", None, 1), (big, None, 1)]
+    assert [r.schema_valid for r in rows[:6]] == [False, False, False, True, False, False] and not rows[6].json_valid and rows[7].json_valid and rows[9].error == "no_json_found"
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     labels = generator.labels(generator.split_records(spark, "test", 60)).cache()
