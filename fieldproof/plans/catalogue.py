@@ -602,4 +602,4 @@ def odd_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("o_orderkey", "parsed.json_valid", "parsed.schema_valid", "parsed.error", one["value"].alias("value"), F.coalesce(F.size(one["bbox"]) == 4, F.lit(False)).alias("has_box"), one["page"].alias("page"))
 
 
-from . import runs_and_files  # noqa: E402, F401  registers its queries here
+from . import runs_and_files, streams  # noqa: E402, F401  these register their queries here

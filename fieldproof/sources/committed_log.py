@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import json
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as fs
 import pyarrow.json as pj
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamArrowWriter, InputPartition, WriterCommitMessage
 
@@ -56,6 +58,18 @@ def commits(uri: str) -> list[tuple[int, list[dict]]]:
     return sorted(out)
 
 
+def vacuum(uri: str, hours: float = 24.0) -> list[str]:
+    """Delete and name the files that no commit names and that are older than a running batch can be."""
+    system, path = store.opened(uri)
+    named = {f["name"] for _, files in commits(uri) for f in files}
+    before = time.time() - hours * 3600
+    found = system.get_file_info(fs.FileSelector(posixpath.join(path, "data"), allow_not_found=True))
+    gone = sorted(x.base_name for x in found if x.type == fs.FileType.File and x.base_name not in named and x.mtime.timestamp() < before)
+    for name in gone:
+        system.delete_file(posixpath.join(path, "data", name))
+    return gone
+
+
 class LogWriter(DataSourceStreamArrowWriter):
     def __init__(self, uri: str) -> None:
         self.uri = uri

@@ -112,6 +112,9 @@ def build(spark: SparkSession, path: str, index: str, key: str = "doc_id", range
 
 
 def _all(spark: SparkSession, index: str) -> DataFrame:
+    """All generations; none where nothing has been indexed yet."""
+    if not files.exists(spark, index):
+        return spark.createDataFrame([], f"{_INDEX}, generation int")
     return spark.read.schema(f"{_INDEX}, generation int").parquet(index)
 
 

@@ -157,3 +157,14 @@ def test_commits_are_listed_now_and_then(tmp_path, monkeypatch):
     for old in range(6):
         (tmp_path / "_commits" / f"{old:012d}.json").unlink()
     assert [b for b, _ in committed_log.commits(str(tmp_path))] == list(range(8))
+
+
+def test_files_of_lost_tasks_are_cleared_away(tmp_path):
+    writer = committed_log.LogWriter(str(tmp_path))
+    (tmp_path / "data").mkdir()
+    for name in ("kept.jsonl", "lost.jsonl"):
+        (tmp_path / "data" / name).write_text("{}\n")
+    writer.commit([committed_log.Written([{"name": "kept.jsonl"}])], 0)
+    assert committed_log.vacuum(str(tmp_path)) == []
+    assert committed_log.vacuum(str(tmp_path), hours=-1) == ["lost.jsonl"] and [p.name for p in (tmp_path / "data").iterdir()] == ["kept.jsonl"]
+    assert committed_log.vacuum(str(tmp_path / "none"), hours=-1) == []

@@ -70,6 +70,7 @@ def test_index_reads_only_the_ranges_asked_for(spark, tmp_path, range_bytes):
     line_index.build(spark, str(tmp_path / "*.jsonl"), index, range_bytes=range_bytes)
     assert line_index.build(spark, str(tmp_path / "*.jsonl"), index).count() == 505
     assert sorted(x for x in os.listdir(index) if x.startswith("generation")) == ["generation=0", "generation=1"]
+    assert line_index.records(line_index.lookup(spark, index + "-none", ["d7"])).collect() == []
     keys = spark.createDataFrame([("d7",), ("d399",), ("halfway",), ("d7",), (None,), ("none",)], "key string")
     assert {r.key: json.loads(r.line)["v"] for r in line_index.records(line_index.joined(spark, index, keys)).collect()} == {"d7": "new", "d399": "later file", "halfway": 5}
     log.write_text("")
