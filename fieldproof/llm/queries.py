@@ -69,10 +69,15 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- parts of the results that SQL can say, and invariants ----------------------------------------------------------
 def sharding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: rows, bytes, whether slots are gapless in every shard, and whether shards are within a fifth of even."""
-    each = op1_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots"))
+    """One row: rows, bytes, whether slots are gapless in every shard, whether shards are in range, and whether the law of
+    equal bytes holds: no shard is further over or under an equal share than the heaviest virtual slot weighs."""
+    rows = op1_sharding(spark, sf_dir)
+    each = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots"))
+    heaviest = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).agg(F.max("bytes").alias("heaviest"))
     gapless = F.bool_and((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n")))
-    return each.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), gapless.alias("gapless"), (F.min("shard") >= 0).alias("low"), (F.max("shard") < 40).alias("high"))
+    share = F.sum("bytes") / 40
+    total = each.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), gapless.alias("gapless"), (F.min("shard") >= 0).alias("low"), (F.max("shard") < 40).alias("high"), (F.max("bytes") - share).alias("over"), (share - F.min("bytes")).alias("under"))
+    return total.crossJoin(heaviest).select("n", "bytes", "gapless", "low", "high", (F.greatest("over", "under") <= F.col("heaviest")).alias("even"))  # one row each
 
 
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +128,7 @@ _CRC_TABLE = """crc as (with recursive r(i, k, v) as (select i, 0, i::bigint fro
 _CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 ORACLE_SQL: dict[str, str] = {
-    "sharding_totals": "select count(*) as n, sum(octet_length(encode(coalesce(text, ''))) + 16)::bigint as bytes, true as gapless, true as low, true as high from documents",
+    "sharding_totals": "select count(*) as n, sum(octet_length(encode(coalesce(text, ''))) + 16)::bigint as bytes, true as gapless, true as low, true as high, true as even from documents",
     "fingerprint_edits": """with d as (select doc_id, coalesce(text, '') as x from documents), o as (select doc_id, x, coalesce(lead(x) over (order by doc_id desc), first_value(x) over (order by doc_id desc)) as y from d)
         select doc_id, length(x) as n_chars, sha256(substring(x, 1, length(x) - length(x) // 3) || substring(y, 1, length(x) // 3)) as edited_sha256 from o""",
     "secret_counts": r"""select doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) as n_assign,
