@@ -191,16 +191,17 @@ def answer_signals(spark: SparkSession, sf: str) -> DataFrame:
     return training.sample_signals(facts(spark, sf))
 
 
-def _grounded_share(doc) -> float:
-    """A reward of one's own: right fields count one, with a good citation two, inventions minus two, by field."""
-    worth = doc["correct"].astype(float) + doc["citation_ok"].astype(float) - 2.0 * doc["error_type"].isin(["hallucinated", "distractor_for_absent"])
-    return float(worth.sum()) / len(FIELDS)
+def _grounded_shares(rows):
+    """Rewards of one's own: right fields count one, with a good citation two, inventions minus two, by field."""
+    worth = rows["correct"].astype(float) + rows["citation_ok"].astype(float) - 2.0 * rows["error_type"].isin(["hallucinated", "distractor_for_absent"])
+    return worth.to_numpy().reshape(-1, len(FIELDS)).sum(axis=1) / len(FIELDS)
 
 
 @query("select doc_id, sum(correct::int + citation_ok::int - 2 * (error_type in ('hallucinated', 'distractor_for_absent'))::int) / 7.0::double as reward from scored group by doc_id", from_claims=True)
 def own_reward(spark: SparkSession, sf: str) -> DataFrame:
     """A reward function of a user's, over each document's seven rows."""
-    return rewards.rewarded(facts(spark, sf), _grounded_share)
+    rows = facts(spark, sf).select("doc_id", "field_pos", "field", "correct", "citation_ok", "error_type")
+    return rewards.rewarded_at_once(rows, _grounded_shares)
 
 
 _PRICED = f"case error_type when 'correct' then 2.0 * (0.5 + 0.5 * {_CREDIT}) when 'correct_null' then 1.0 when 'missed' then -0.25 else -1.0 end"

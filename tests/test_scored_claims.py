@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fieldproof.constants import FIELDS
+from fieldproof.functions import geometry as G
+from fieldproof.functions import text as T
+from fieldproof.operators import rewards
 
 
 def test_a_total_that_ends_like_the_smaller_amount(spark, tmp_path):
@@ -29,3 +32,32 @@ def test_a_total_that_ends_like_the_smaller_amount(spark, tmp_path):
     found = duck.execute(entry.oracle_sql()["scored_fields"])
     names = [d[0] for d in found.description]
     assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in made.select(*[f"`{c}`" for c in names]).collect())
+
+
+def test_rewards_of_many_documents_at_once(spark):
+    rows = spark.range(40).select(F.when(F.col("id") % 5 > 0, F.concat(F.lit("r"), F.col("id") % 3)).alias("run_id"), F.concat(F.lit("d"), "id").alias("doc_id"), F.posexplode(F.array(*map(F.lit, FIELDS))).alias("field_pos", "field"))
+    rows = rows.withColumn("worth", F.crc32(F.concat("doc_id", "field")) % 7)
+    one = {(r.run_id, r.doc_id): r.reward for r in rewards.rewarded(rows, lambda doc: float(doc["worth"].sum())).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        # documents that go on in the next batch, and batches that end with a document
+        for size in (3, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            made = rewards.rewarded_at_once(rows.repartition(3), lambda many: many["worth"].to_numpy().reshape(-1, len(FIELDS)).sum(axis=1))
+            assert {(r.run_id, r.doc_id): r.reward for r in made.collect()} == one and made.count() == 40
+            assert made.columns == ["run_id", "doc_id", "reward"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    many = lambda rows: [1.0] * (len(rows) // len(FIELDS))
+    for f, where in ((lambda rows: [1.0], "true"), (lambda rows: [float("nan")] * (len(rows) // len(FIELDS)), "true"), (many, "doc_id != 'd7' or field_pos > 0")):
+        with pytest.raises(Exception, match="document"):
+            rewards.rewarded_at_once(rows.where(where), f).collect()
+
+
+def test_a_bound_value_is_named_once(spark):
+    box, other = F.col("first_box"), F.col("other_box")
+    assert str(T.rounded(F.col("the_value"), 3)).count("the_value") == 1
+    # corners are named, but the overlap is not copied into the union and again into each step of rounding
+    assert str(T.rounded(G.iou(box, other), 3)).count("first_box") < 30
+    text = spark.createDataFrame([(0.0005, 2.5, -0.00049999, None)], "a double, b double, c double, d double")
+    assert [*text.select(*[T.rounded(F.col(c), 3) for c in "abcd"]).first()] == [round(0.0005, 3), 2.5, round(-0.00049999, 3), None]
