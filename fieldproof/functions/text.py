@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from datetime import datetime
 from functools import lru_cache
 
@@ -97,6 +98,14 @@ def forms_of(values: Column) -> Column:
     return F.arrow_udf(_forms, f"array<{FORMS}>").asNondeterministic()(values)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f names it.
+
+    Written out, the copies of a value multiply with each step, until the code of a row is too large to be compiled.
+    """
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def rounded(value: Column, digits: int | None = 4) -> Column:
     """The value rounded as Python rounds: of its exact binary value, ties to even; as it is for digits=None.
 
@@ -106,11 +115,17 @@ def rounded(value: Column, digits: int | None = 4) -> Column:
     if digits is None:
         return x
     scale = float(10**digits)
-    high = x * 134217729.0 - (x * 134217729.0 - x)
-    whole = F.floor(x * scale)
-    over = (high * scale - (whole + 0.5)) + (x - high) * scale
-    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2)) == 1))
-    return F.when(F.abs(x) < 1e9, (whole + F.when(up, 1).otherwise(0)) / scale).otherwise(F.bround(x, digits))
+
+    def stepped(x: Column, whole: Column, high: Column) -> Column:
+        over = (high * scale - (whole + 0.5)) + (x - high) * scale
+        up = bound(over, lambda o: (o > 0) | ((o == 0) & (F.pmod(whole, F.lit(2)) == 1)))
+        return (whole + F.when(up, 1).otherwise(0)) / scale
+
+    def near(x: Column) -> Column:
+        high = bound(x * 134217729.0, lambda y: y - (y - x))
+        return F.when(F.abs(x) < 1e9, bound(F.floor(x * scale), lambda w: bound(high, lambda h: stepped(x, w, h)))).otherwise(F.bround(x, digits))
+
+    return bound(x, near)
 
 
 def form_for(field: Column, made: Column) -> Column:

@@ -20,16 +20,11 @@ from ..schemas import PARSED
 
 def json_text(raw: Column) -> Column:
     """The JSON part of a text: of the first fenced block if there is one, from the first bracket to its last closer."""
-    trimmed = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
     fence = r"(?s)```(?:json)?\s*(.*?)```"
-    body = F.when(trimmed.rlike(fence), F.regexp_extract(trimmed, fence, 1)).otherwise(trimmed)
-    brace, bracket = F.locate("{", body), F.locate("[", body)
-    start = F.when(brace == 0, bracket).when(bracket == 0, brace).otherwise(F.least(brace, bracket))
-    closer = F.when((brace > 0) & (brace == start), F.lit("}")).otherwise(F.lit("]"))
-    back = F.instr(F.reverse(body), "}")
-    back = F.when(closer == "}", back).otherwise(F.instr(F.reverse(body), "]"))
-    end = F.when(back > 0, F.length(body) - back + 1).otherwise(0)
-    return F.when((start > 0) & (end > start), F.substring(body, start, end - start + 1))
+    body = F.when(raw.rlike(fence), F.regexp_extract(raw, fence, 1)).otherwise(raw)
+    # up to the first bracket, then from it to the last closer of its kind
+    found = F.regexp_extract(body, r"(?s)^[^{\[]*+(\{.*\}|\[.*\])", 1)
+    return F.nullif(found, F.lit(""))
 
 
 def _page(v: Any) -> int | None:

@@ -78,12 +78,13 @@ def score_fields(rows: DataFrame) -> DataFrame:
         .otherwise(wrong))
     box = F.col("pred.bbox")
     overlap = F.when(p.isNotNull() & F.col("gold").isNotNull(), T.rounded(G.iou(box, F.col("gold.bbox")), 3)).otherwise(0.0)
-    inside = F.filter(segments, lambda s: G.covered(s["layout"]["bbox"], box) >= 0.5)
-    # folding a joined text is joining the folded ones, but for the marks at its end
-    cited = F.regexp_replace(F.array_join(F.transform(inside, lambda s: s["forms"]["whole"]), " "), T.END_MARKS, "")
-    supported = F.when(
-        p.isNotNull() & ~G.missing(box),
-        (F.size(inside) > 0) & (F.coalesce(F.exists(inside, lambda s: kinds(s) == p), F.lit(False)) | ((F.length(p) > 3) & cited.contains(p))))
+
+    def holds(inside: Column) -> Column:
+        # folding a joined text is joining the folded ones, but for the marks at its end
+        cited = F.regexp_replace(F.array_join(F.transform(inside, lambda s: s["forms"]["whole"]), " "), T.END_MARKS, "")
+        return (F.size(inside) > 0) & (F.coalesce(F.exists(inside, lambda s: kinds(s) == p), F.lit(False)) | ((F.length(p) > 3) & cited.contains(p)))
+
+    supported = F.when(p.isNotNull() & ~G.missing(box), T.bound(F.filter(segments, lambda s: G.covered(s["layout"]["bbox"], box) >= 0.5), holds))
     out = rows.withColumns({
         "gold_value": F.col("gold.value"), "pred_value": F.col("pred.value"), "gold_present": g.isNotNull(), "pred_present": p.isNotNull(),
         "error_type": kind, "iou": overlap, "evidence_supported": F.coalesce(supported, F.lit(False)), "pred_bbox": box, "gold_bbox": F.col("gold.bbox")})
