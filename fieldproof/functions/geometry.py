@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import PAGE_HEIGHT, PAGE_WIDTH
-from .text import rounded
+from .text import bound, rounded
 
 
 def _side(box: Column, low: int) -> Column:
@@ -30,9 +30,11 @@ def intersection(a: Column, b: Column) -> Column:
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union; 0 where a box is missing or the union is empty."""
-    inter = intersection(a, b)
-    union = area(a) + area(b) - inter
-    return F.when(missing(a) | missing(b) | (union <= 0), F.lit(0.0)).otherwise(inter / F.nullif(union, F.lit(0.0)))
+
+    def share(inter: Column) -> Column:
+        return bound(area(a) + area(b) - inter, lambda union: F.when(union <= 0, F.lit(0.0)).otherwise(inter / F.nullif(union, F.lit(0.0))))
+
+    return F.when(missing(a) | missing(b), F.lit(0.0)).otherwise(bound(intersection(a, b), share))
 
 
 def covered(segment: Column, box: Column) -> Column:
@@ -59,8 +61,17 @@ def scaled(box: Column, sx: Column, sy: Column) -> Column:
 def rotated(box: Column, degrees: Column, width: float = PAGE_WIDTH, height: float = PAGE_HEIGHT) -> Column:
     """The upright hull of the box turned about the page's centre, clipped to the page; degree 0 leaves it as it is."""
     cx, cy, t = width / 2, height / 2, F.radians(degrees)
-    corners = [(box[i] - cx, box[j] - cy) for i in (0, 2) for j in (1, 3)]
-    xs = [F.lit(cx) + dx * F.cos(t) + dy * F.sin(t) for dx, dy in corners]
-    ys = [F.lit(cy) - dx * F.sin(t) + dy * F.cos(t) for dx, dy in corners]
-    hull = F.array(F.greatest(F.lit(0.0), F.least(*xs)), F.greatest(F.lit(0.0), F.least(*ys)), F.least(F.lit(float(width)), F.greatest(*xs)), F.least(F.lit(float(height)), F.greatest(*ys)))
-    return F.when(F.coalesce(degrees, F.lit(0.0)) == 0, box).otherwise(hull)
+
+    def products(turn: Column) -> Column:
+        dx, dy = (box[0] - cx, box[2] - cx), (box[1] - cy, box[3] - cy)
+        return F.array(*[d * turn[k] for ds in (dx, dy) for k in (0, 1) for d in ds])
+
+    def hull(p: Column) -> Column:
+        # of each corner's sum: the least is the sum of the least parts, as adding keeps the order
+        dx_cos, dx_sin, dy_cos, dy_sin = ((p[i], p[i + 1]) for i in (0, 2, 4, 6))
+        low = F.lit(cx) + F.least(*dx_cos) + F.least(*dy_sin), F.lit(cy) - F.greatest(*dx_sin) + F.least(*dy_cos)
+        high = F.lit(cx) + F.greatest(*dx_cos) + F.greatest(*dy_sin), F.lit(cy) - F.least(*dx_sin) + F.greatest(*dy_cos)
+        return F.array(F.greatest(F.lit(0.0), low[0]), F.greatest(F.lit(0.0), low[1]), F.least(F.lit(float(width)), high[0]), F.least(F.lit(float(height)), high[1]))
+
+    turned = bound(F.array(F.cos(t), F.sin(t)), lambda turn: bound(products(turn), hull))
+    return F.when(F.coalesce(degrees, F.lit(0.0)) == 0, box).otherwise(turned)

@@ -130,7 +130,9 @@ def _grid(part: Grid, y: str, words: dict[str, str]) -> tuple[str, str]:
         text, role, field, shown = CONTENT[name]
         at = _uniform(_text(f"order-{name}")) if part.shuffled else f"{len(made)}D"
         made.append(f"if({shown}, named_struct('at', {at}, 'word', {words[name]}, 'text', cast({text} as string), 'role', {_text(role)}, 'field', {_text(field) if field else 'cast(null as string)'}), null)")
-    entries = f"array_sort(array_compact(array({', '.join(made)})))"
+    entries = f"array_compact(array({', '.join(made)}))"
+    if part.shuffled:
+        entries = f"array_sort({entries})"
     left, top = f"({part.x} + {part.width}D * (i % {part.columns}))", f"({y} + {part.pitch} * (i div {part.columns}))"
     word = _segment("e.word", left, top, "13D", "'label'", None)
     value = _segment("e.text", f"{left} + if({part.below}, 0D, {part.tab}D)", f"{top} + if({part.below}, 19D, -3D)", part.size, "e.role", "e.field")

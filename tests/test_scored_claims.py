@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 from decimal import Decimal
 
 import duckdb
@@ -10,10 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fieldproof.constants import FIELDS
+from fieldproof.constants import FIELDS, PAGE_HEIGHT, PAGE_WIDTH
 from fieldproof.functions import geometry as G
 from fieldproof.functions import text as T
-from fieldproof.operators import rewards
+from fieldproof.operators import generator, rewards
 
 
 def test_a_total_that_ends_like_the_smaller_amount(spark, tmp_path):
@@ -61,3 +62,20 @@ def test_a_bound_value_is_named_once(spark):
     assert str(T.rounded(G.iou(box, other), 3)).count("first_box") < 30
     text = spark.createDataFrame([(0.0005, 2.5, -0.00049999, None)], "a double, b double, c double, d double")
     assert [*text.select(*[T.rounded(F.col(c), 3) for c in "abcd"]).first()] == [round(0.0005, 3), 2.5, round(-0.00049999, 3), None]
+
+
+def test_documents_of_one_small_file_are_made_by_many_tasks(spark):
+    base = spark.range(30).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("s"), "id").alias("set_id")).coalesce(1)
+    assert generator.counterfactuals(base).select("set_id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_turned_box_is_named_by_its_corners(spark):
+    assert str(G.rotated(F.col("the_box"), F.col("angle"))).count("the_box") < 12
+    boxes = [(0.0, 0.0, 30.0, 20.0), (100.5, 200.25, 400.0, 260.0), (900.0, 1200.0, 980.0, 1260.0)]
+    for degrees in (-3.0, 0.0, 1.7, 90.0):
+        made = spark.createDataFrame([(list(b), degrees) for b in boxes], "b array<double>, d double").select(G.rotated(F.col("b"), F.col("d")).alias("r"))
+        t, cx, cy = math.radians(degrees), PAGE_WIDTH / 2, PAGE_HEIGHT / 2
+        for (x0, y0, x1, y1), row in zip(boxes, made.collect()):
+            xs, ys = zip(*[(cx + (x - cx) * math.cos(t) + (y - cy) * math.sin(t), cy - (x - cx) * math.sin(t) + (y - cy) * math.cos(t)) for x in (x0, x1) for y in (y0, y1)])
+            hull = [max(0.0, min(xs)), max(0.0, min(ys)), min(float(PAGE_WIDTH), max(xs)), min(float(PAGE_HEIGHT), max(ys))]
+            assert list(row.r) == pytest.approx([x0, y0, x1, y1] if degrees == 0 else hull, abs=1e-9)
