@@ -24,10 +24,15 @@ def gold_array(labels: DataFrame) -> DataFrame:
 
 def long_rows(outputs: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """outputs (keys, doc_id, raw_output) joined to labels, a row per field with all normal forms; layout normalised."""
-    keep = [k for k in keys if k in outputs.columns]
-    extra = [c for c in ("latency_ms",) if c in outputs.columns]
     # Python's evaluation loses what Spark knows of a table's partitions, so all joins by doc_id come before it
-    joined = with_parsed(outputs.join(gold_array(labels).select("doc_id", "gold", F.coalesce("layout", F.array().cast(labels.schema["layout"].dataType)).alias("layout")), "doc_id"))
+    return long_rows_of(outputs.join(gold_array(labels).select("doc_id", "gold", F.coalesce("layout", F.array().cast(labels.schema["layout"].dataType)).alias("layout")), "doc_id"), keys)
+
+
+def long_rows_of(answered: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """:func:`long_rows` of rows (keys, doc_id, raw_output, gold, layout) that hold an output and its label already."""
+    keep = [k for k in keys if k in answered.columns]
+    extra = [c for c in ("latency_ms",) if c in answered.columns]
+    joined = with_parsed(answered)
     n = F.size("layout")
     texts = F.concat(F.transform("layout", lambda s: s["text"]), F.transform("parsed.fields", lambda p: p["value"]), F.transform("gold", lambda g: g["value"]))
     made = joined.withColumn("forms", T.forms_of(texts))

@@ -278,7 +278,7 @@ _DOCUMENT = f"""parts as (select doc_id, any_value(json_valid) as json_valid, an
 @query(f", {_DOCUMENT} select * from documents_scored", from_claims=True)
 def document_scores(spark: SparkSession, sf: str) -> DataFrame:
     parts = [F.col(f"reward_components.{c}").alias(f"{c}_part") for c in ("format", "accuracy", "grounding")]
-    return claims.scored_documents(spark, sf).select("doc_id", "json_valid", "schema_valid", "parse_error", "field_accuracy", "grounded_accuracy", "all_correct", "reward", *parts)
+    return scoring.document_scores(claims.rows_for_one(spark, sf)).select("doc_id", "json_valid", "schema_valid", "parse_error", "field_accuracy", "grounded_accuracy", "all_correct", "reward", *parts)
 
 
 @query(f""", {_DOCUMENT}, d as (select count(*) as n_docs, avg(json_valid::int) as json_valid_rate, avg(schema_valid::int) as schema_valid_rate, avg(all_correct::int) as doc_exact_match, avg(reward) as mean_reward from documents_scored),

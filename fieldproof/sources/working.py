@@ -16,6 +16,11 @@ def once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataF
     return spark.read.parquet(_path(spark, name, lambda path: make().write.parquet(path)))
 
 
+def is_made(spark: SparkSession, name: str) -> bool:
+    """Whether :func:`once` has made the table of this name in this session."""
+    return (spark.sparkContext.applicationId, name) in _made
+
+
 def once_json(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> str:
     """The folder of the JSON Lines files of this name, as :func:`once`."""
     return _path(spark, name, lambda path: make().write.json(path))
