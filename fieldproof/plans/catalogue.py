@@ -365,9 +365,10 @@ def review_reasons(spark: SparkSession, sf: str) -> DataFrame:
   from documents_scored d join docs on d.doc_id = docs.doc_id where docs.k <= 200""", from_claims=True)
 def replay_bundles(spark: SparkSession, sf: str) -> DataFrame:
     """What replays show of a hand-written list of documents; the list is the feature."""
-    chosen = claims.outputs(spark, sf).where("cast(doc_id as bigint) <= 200").select("doc_id", F.lit("look").alias("note"))
-    run = F.lit("r").alias("run_id")
-    bundles = review.replay_bundle(claims.labels(spark, sf), with_parsed(claims.outputs(spark, sf).select(run, "*")), claims.scored_documents(spark, sf).select(run, "*"), chosen)
+    few, run = claims.unwritten(spark, sf).where("k <= 200"), F.lit("r").alias("run_id")
+    chosen = few.select(F.col("k").cast("string").alias("doc_id"), F.lit("look").alias("note"))
+    documents = scoring.document_scores(claims.scored_of(few)).select(run, "*")
+    bundles = review.replay_bundle(claims.labels_of(few), with_parsed(claims.outputs_of(few).select(run, "*")), documents, chosen)
     part = lambda path: F.get_json_object("bundle", path)
     predictions = F.size(F.from_json(part("$.predictions"), "array<struct<run_id: string>>"))
     return bundles.select("doc_id", "split", part("$.note").alias("note"), part("$.gold.claimant_name.value").alias("gold_name"), part("$.predictions[0].scores.reward").cast("double").cast("string").alias("reward"), predictions.alias("n_predictions"))

@@ -32,6 +32,13 @@ def test_a_lone_report_reads_no_written_table(spark, nothing_made, name):
     assert not [word for word in ALONE[name] if word in plan]
 
 
+def test_bundles_score_the_chosen_documents_only(spark, nothing_made):
+    made = entry.queries()["replay_bundles"](spark, SF)
+    assert not working._made
+    scans = [line for line in made._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line and "o_orderkey" in line]
+    assert scans and all("LessThanOrEqual(o_orderkey,200)" in line for line in scans)
+
+
 def test_rows_without_joins_are_those_of_the_joins(spark):
     joined, plain = claims.scored_rows(spark, SF), claims.scored_of(claims.unwritten(spark, SF))
     assert set(scoring.META) <= set(plain.columns) and sorted(plain.columns) == sorted(joined.columns)
