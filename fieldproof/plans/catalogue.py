@@ -304,7 +304,7 @@ _FLIPS = "flips as (select set_id, field, count(distinct coalesce(p_norm, '#none
 
 @query(f", {_FLIPS} select count(*) as counterfactual_sets, sum((not f)::int)::double / count(*) as counterfactual_consistency from (select set_id, bool_or(flipped) as f from flips group by 1)", from_claims=True)
 def counterfactual_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    return fairness.consistency(facts(spark, sf), digits=None)
+    return fairness.consistency(claims.rows_for_one(spark, sf), digits=None)
 
 
 @query(f", {_FLIPS} select field, count(distinct set_id) as n_sets, sum(flipped::int)::double / count(*) as flip_rate from flips group by field", from_claims=True)

@@ -11,7 +11,7 @@ from fieldproof.sources import working
 
 SF = "/root/testdata/sf0.001"
 #: What a query's plan has no use for: edit distances tell error types, covered segments (filter) support, ceilings of overlap the IoU.
-ALONE = {"document_scores": ()}
+ALONE = {"document_scores": (), "counterfactual_consistency": ("levenshtein", "bbox")}
 
 
 @pytest.fixture
