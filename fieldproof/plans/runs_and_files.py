@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import analysis, compare, costs, parse, rewards, scoring, training
 from ..sources import files, written
 from ..sources.working import once_folder
+from . import claims
 from .catalogue import _CREDIT, query
 from .claims import facts, table
 
@@ -188,7 +189,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select doc_id, count(*) filter (where not pred_present) as null_fields, case when bool_or(pred_present and box != 'none') then 4000.0 else 0.0 end::double as mean_box_area from scored group by doc_id""", from_claims=True)
 def answer_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Absent fields and mean box area of each answer."""
-    return training.sample_signals(facts(spark, sf))
+    return training.sample_signals(claims.rows_for_one(spark, sf))
 
 
 def _grounded_shares(rows):
