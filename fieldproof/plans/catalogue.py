@@ -74,7 +74,7 @@ def cost_by_error_type(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select 'group' as key, "group" as value, sum(case when field != 'claimant_name' then correct::int end)::double / count(case when field != 'claimant_name' then correct::int end) as other_fields_accuracy,
   sum(case when field = 'claimant_name' then correct::int end)::double / count(case when field = 'claimant_name' then correct::int end) as name_accuracy, count(distinct doc_id) as n_docs from scored group by "group\"""", from_claims=True)
 def group_parity(spark: SparkSession, sf: str) -> DataFrame:
-    return fairness.parity(facts(spark, sf), "group", digits=None)
+    return fairness.parity(claims.rows_for_one(spark, sf), "group", digits=None)
 
 
 @query("""select 'gender' as key, max(o) - min(o) as other_fields_accuracy_gap, max(n) - min(n) as name_accuracy_gap from (

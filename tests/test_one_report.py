@@ -11,7 +11,7 @@ from fieldproof.sources import working
 
 SF = "/root/testdata/sf0.001"
 #: What a query's plan has no use for: edit distances tell error types, covered segments (filter) support, ceilings of overlap the IoU.
-ALONE = {"document_scores": (), "counterfactual_consistency": ("levenshtein", "bbox"), "answer_signals": ("levenshtein", "whole")}
+ALONE = {"document_scores": (), "counterfactual_consistency": ("levenshtein", "bbox"), "answer_signals": ("levenshtein", "whole"), "group_parity": ("whole",)}
 
 
 @pytest.fixture
@@ -32,6 +32,13 @@ def test_a_lone_report_reads_no_written_table(spark, nothing_made, name):
     assert not [word for word in ALONE[name] if word in plan]
 
 
+def test_a_report_reads_the_fact_table_where_there_is_one(spark, nothing_made):
+    alone = entry.queries()["group_parity"](spark, SF).collect()
+    claims.facts(spark, SF)
+    made = entry.queries()["group_parity"](spark, SF)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString() and sorted(made.collect()) == sorted(alone)
+
+
 def test_bundles_score_the_chosen_documents_only(spark, nothing_made):
     made = entry.queries()["replay_bundles"](spark, SF)
     assert not working._made
