@@ -325,7 +325,7 @@ def failure_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select doc_id, field, iou from scored where error_type = 'correct' and iou < 0.6", from_claims=True)
 def right_values_cited_badly(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.right_values(facts(spark, sf), most_iou=0.6).select("doc_id", "field", "iou")
+    return analysis.right_values(claims.rows_for_one(spark, sf), most_iou=0.6).select("doc_id", "field", "iou")
 
 
 _QUALITIES = ("clean", "moderate", "poor")

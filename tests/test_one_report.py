@@ -11,7 +11,9 @@ from fieldproof.sources import working
 
 SF = "/root/testdata/sf0.001"
 #: What a query's plan has no use for: edit distances tell error types, covered segments (filter) support, ceilings of overlap the IoU.
-ALONE = {"document_scores": (), "counterfactual_consistency": ("levenshtein", "bbox"), "answer_signals": ("levenshtein", "whole"), "group_parity": ("whole",), "failure_sample": ("whole",)}
+ALONE = {
+    "counterfactual_consistency": ("levenshtein", "bbox"), "document_scores": (), "answer_signals": ("levenshtein", "whole"), "group_parity": ("whole",), "failure_sample": ("whole",),
+    "right_values_cited_badly": ("whole",)}
 
 
 @pytest.fixture
